@@ -1,3 +1,10 @@
 """Datalog, graph and series analytics compiled to Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions travel to the executors with their code, so that these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
