@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination_report
+from .packing import pack_documents
 from .sharding import assign_shards
 from .simhash import near_duplicate_classes
 from .url_filters import url_verdicts
@@ -33,6 +36,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -53,14 +64,36 @@ select page_id, cut.host, cut.path, rule, coalesce(verdict, 'allow') as verdict
 from cut left join best on cut.host = best.host and cut.path = best.path
 """
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""
+with d as (select doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWERED}, '{_ALNUM}') as w from benchmark),
+bw as (
+  select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as win
+  from (select item, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+dw as (
+  select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)),
+m as (select doc_id, dw.n, i, item from dw join bw on dw.n = bw.n and dw.win = bw.win),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
+items as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as names from m group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = items.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filters": op4_url_filters,
+        "op5_decontamination": op5_decontamination,
         "op6_simhash": op6_simhash,
+        "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL}
+    return {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL}

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import store
+from ..session import store, with_fields
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -92,5 +93,4 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "do
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(jump(key, shards))], names=[*batch.schema.names[:-1], "_shard"])
 
     keyed = docs.withColumn("_shard", F.xxhash64(F.col(id_col)))
-    out = keyed.drop("_shard").schema.add("_shard", "int")
-    keyed.mapInArrow(place, out).write.partitionBy("_shard").parquet(path)
+    keyed.mapInArrow(place, with_fields(docs.schema, _shard=T.IntegerType())).write.partitionBy("_shard").parquet(path)
