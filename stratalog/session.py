@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -74,3 +75,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that clash with none there is, whatever their case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_fields(schema: T.StructType, **fields: T.DataType) -> T.StructType:
+    """A copy of the schema with more nullable fields."""
+    return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in fields.items())])
