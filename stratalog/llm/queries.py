@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
 from .packing import pack_documents
+from .quality_classifier import quality_scores
+from .quality_rules import quality_verdicts
 from .sharding import assign_shards
 from .simhash import near_duplicate_classes
 from .url_filters import url_verdicts
@@ -27,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -40,6 +46,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -87,9 +97,11 @@ from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = it
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
         "op4_url_filters": op4_url_filters,
         "op5_decontamination": op5_decontamination,
         "op6_simhash": op6_simhash,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
     }
