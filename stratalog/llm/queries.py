@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
 from .packing import pack_documents
+from .pii import pseudonymise
 from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
 from .sharding import assign_shards
 from .simhash import near_duplicate_classes
 from .url_filters import url_verdicts
+from .warc import archive_and_index
 
 #: (host, path, verdict)
 URL_RULES = [
@@ -24,11 +26,23 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: Stands in for the secret that whoever runs the operator keeps.
+PSEUDONYM_KEY = b"demonstration key, not a secret"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)[0]
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -60,6 +74,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as payload_bytes from pages),
+d as (select page_id, payload_bytes, sha1(body) as payload_digest from p),
+f as (select payload_digest, max(page_id) as head from d where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, d.payload_digest, case when page_id < head then 'revisit' else 'response' end as record_type,
+       case when page_id < head then head end as refers_to
+from d left join f on d.payload_digest = f.payload_digest
+"""
+
 OP4_SQL = f"""
 with rules(rh, rp, rv) as (values {_RULE_ROWS}),
 cut as (
@@ -97,6 +120,8 @@ from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = it
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op2_warc": op2_warc,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filters": op4_url_filters,
         "op5_decontamination": op5_decontamination,
@@ -108,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL}
