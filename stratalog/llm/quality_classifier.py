@@ -202,3 +202,12 @@ def quality_scores(
     machine = fit(docs, labels.where(~held(F.col(id_col))), id_col, text_col, label_col, metadata, sample)
     scored = docs.select(F.col(id_col), held(F.col(id_col)).alias("held_out"), score_column(docs, machine, text_col, metadata).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_low_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: Sequence[str] = (), threshold: float = 0.3, sample: int = 6_000
+) -> DataFrame:
+    """The rows of docs that score ``threshold`` or more, with the columns of docs; labels of the held-out fifth stay unused here too."""
+    held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    machine = fit(docs, labels.where(~held), id_col, text_col, label_col, metadata, sample)
+    return docs.where(score_column(docs, machine, text_col, metadata) >= threshold)

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, store
-from .text import lower_words
+from ..session import cut, free_names, store
+from .text import lower_words, mix
 
 #: The bits of a fingerprint in three blocks: fingerprints that differ in two bits at most agree on one block at least.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -187,3 +187,155 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes = tied.join(best, "_root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+
+# --- similarity above a threshold ---------------------------------------------------------
+#
+# Two bits suffice for texts that differ in a word or two. For a stated similarity of shingle
+# sets, fingerprints are wider, and shards are drawn on sampled bits: a pair of Jaccard
+# similarity s differs in a bit with probability acos(2s / (1 + s)) / pi.
+
+WIDE = 256
+TABLES, KEY_BITS = 64, 20
+_WAYS = np.random.default_rng(5)
+#: Bits that make up the key of each table.
+SAMPLED = np.stack([_WAYS.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
+SHARD_MEMBERS = 4096
+
+
+def wide_radius(similarity: float, bits: int = WIDE) -> int:
+    """The expected number of differing bits at a Jaccard similarity of the shingle sets."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """256-bit SimHash over the set of word shingles; all zeros for a text without words."""
+    words = lower_words(text)
+    if not words:
+        return bytes(WIDE // 8)
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    shingles = {join(s) for s in zip(*(words[i:] for i in range(width)), strict=False)} if len(words) > width else {join(words)}
+    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)]
+        wide = np.stack([mix(part + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))) for k in range(WIDE // 64)], 1).astype("<u8")
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp) to (key, node, fp) for each table."""
+    powers = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    for batch in batches:
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            node, fp = part.column(0), part.column(1)
+            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+            keys = np.stack([bits[:, SAMPLED[t]] @ powers + (t << KEY_BITS) for t in range(TABLES)], 1).ravel()
+            back = pa.array(np.repeat(np.arange(part.num_rows), TABLES))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), node.take(back), fp.take(back)], names=["key", "node", "fp"])
+
+
+class Shard:
+    """Single-link classes of one shard: a BK-tree of leaders, each with the values close around it.
+
+    A value within half the radius of a leader joins it and stays out of the tree. A new value
+    searches the tree up to one and a half times the radius; a leader beyond the radius itself may
+    still have a member within it, so its members are tried. A dense shard thus has few leaders and
+    costs time in proportion to its values. Beyond SHARD_MEMBERS, members are no longer remembered,
+    only leaders, so that memory is bounded too.
+    """
+
+    def __init__(self, radius: int):
+        self.radius, self.tree = radius, BKTree()
+        self.nodes: list[int] = []
+        self.members: list[list[int]] = []
+        self.parent: list[int] = []
+        self.held = 0
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def add(self, node: int, value: int) -> Iterator[tuple[int, int]]:
+        near = self.tree.near(value, self.radius + self.radius // 2)
+        near = sorted(((self.tree.values[i] ^ value).bit_count(), i) for i in near)
+        joined: set[int] = set()
+        for d, i in near:
+            if (root := self.root(i)) not in joined and (d <= self.radius or any((m ^ value).bit_count() <= self.radius for m in self.members[i])):
+                joined.add(root)
+                yield self.nodes[i], node
+        if near and near[0][0] <= self.radius // 2:
+            home = self.root(near[0][1])
+            if self.held < SHARD_MEMBERS:
+                self.members[near[0][1]].append(value)
+                self.held += 1
+        else:
+            home = len(self.parent)
+            self.tree.add(value)
+            self.nodes.append(node)
+            self.members.append([])
+            self.parent.append(home)
+        for r in joined:
+            self.parent[r] = home
+
+
+def _similar(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each run of equal keys; keys that stand alone are passed over without leaving Arrow."""
+    shard, last, before = None, None, None
+    for batch in batches:
+        keys, found = batch.column(0).to_numpy(), []
+        same = keys[1:] == keys[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if len(keys):
+            shared[0] |= keys[0] == last
+            shared[-1] = True  # the next batch may go on with it
+        rows = np.flatnonzero(shared)
+        taken = pa.array(rows)
+        for key, node, fp in zip(keys[rows].tolist(), batch.column(1).take(taken).to_pylist(), batch.column(2).take(taken).to_pylist(), strict=True):
+            if key != before:
+                shard, before = Shard(radius), key
+            found += shard.add(node, int.from_bytes(fp, "little"))
+        last = keys[-1] if len(keys) else last
+        both = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["src", "dst"])
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (src, dst) among nodes (node long, fp binary) with an estimated Jaccard similarity of ``similarity`` or more.
+
+    Each of 64 tables shards the fingerprints by 20 of their 256 bits. A pair
+    of similarity 0.8 shares a shard in one table at least with probability
+    0.91, one of 0.85 with 0.98, one of 0.9 with 0.999. Shards are streamed in
+    key order, so their size bounds no memory.
+    """
+    radius = wide_radius(similarity)
+    keyed = nodes.select("node", "fp").mapInArrow(_keyed, "key long, node long, fp binary")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _similar(radius, batches), "src long, dst long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, one of each class of near duplicates: the first in the order of the table.
+
+    Texts are alike if their sets of five-word shingles have an (estimated)
+    Jaccard similarity of 0.8 or more, and classes are closed under that.
+    Null, empty and blank texts are one class. No id is needed: null, repeated
+    or missing ids and any other columns do not matter.
+
+    Rows are written once with number and fingerprint. Equal fingerprints
+    collapse to one node before anything else, and only fingerprints are
+    dealt out by key; a text moves once, when the chosen rows are gathered.
+    """
+    number, fp = free_names(docs.columns, "_row", "_fp")
+
+    @F.pandas_udf("binary")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, width) for t in texts], dtype=object)
+
+    marked = store(docs.withColumns({number: F.monotonically_increasing_id(), fp: fingerprints(F.col(text_col))}), "marked")
+    nodes = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(number).alias("node")))
+    linked = connected_components(similar_links(nodes, similarity))
+    dropped = linked.where("node != root").select("node")
+    kept = nodes.join(dropped, "node", "left_anti").select(F.col("node").alias(number))
+    return marked.join(kept, number, "left_semi").select(*docs.columns)
