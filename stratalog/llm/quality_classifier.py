@@ -181,12 +181,14 @@ def score_column(docs: DataFrame, machine: Machine, text_col: str = "text", meta
         buckets, m = Buckets(), shared.value
         for texts, *more in batches:
             out = np.empty(len(texts))
+            more = more[: len(metadata)]
             for i, text in enumerate(texts):
                 at, x = features(text, [None if pd.isna(c.iat[i]) else float(c.iat[i]) for c in more], buckets)
                 out[i] = m.score(at, x, np.zeros(1, np.int64))[0]
             yield pd.Series(out)
 
-    return score(F.col(text_col), *_metadata(metadata))
+    # a single column would come without its tuple
+    return score(F.col(text_col), *(_metadata(metadata) or [F.lit(None).cast("double")]))
 
 
 def quality_scores(
