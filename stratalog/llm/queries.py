@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination_report
+from .licenses import TEMPLATES, Index, scan_licences
 from .packing import pack_documents
 from .pii import pseudonymise
 from .quality_classifier import quality_scores
@@ -60,6 +62,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source is a tree with a directory for each language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licences(table(spark, sf_dir, "documents"), path)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), metadata=("n_chars",))
 
@@ -117,6 +125,42 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = items.doc_id
 """
 
+_INDEX = Index(TEMPLATES, 0.75)
+_POSTINGS = ", ".join(
+    f"('{term}', {i}, '{_INDEX.names[i]}', {weight!r}::double)" for term, by in _INDEX.weights.items() for i, weight in enumerate(by) if weight
+)
+_IDF = ", ".join(f"('{term}', {weight!r}::double)" for term, weight in _INDEX.idf.items())
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_SQL = f"""
+with postings(term, template, licence, weight) as (values {_POSTINGS}),
+idf(term, idf) as (values {_IDF}),
+files as (
+  select doc_id, coalesce(text, '') as body, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') as dir,
+         coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || cast(doc_id as varchar) || '.txt' as path
+  from documents),
+lines as (select doc_id, unnest(string_split(body, chr(10))) as line from files),
+texts as (select distinct line, regexp_extract_all({_LOW.format("line")}, '[a-z0-9]+') as w from lines),
+tf as (select line, term, count(*) as n from (select line, unnest(w) as term from texts) group by all),
+norms as (select line, sqrt(sum(pow(n * coalesce(idf, {_INDEX.other!r}), 2))) as norm from tf left join idf using (term) group by line),
+dots as (select line, template, licence, sum(n * weight) as dot from tf join postings using (term) group by all),
+best as (
+  select line, max(struct_pack(cosine := round(dot / norm, 6), licence := licence)) as m
+  from dots join norms using (line) group by line),
+stated as (
+  select doc_id, max(struct_pack(cosine := m.cosine, licence := m.licence, words := len(w))) as m
+  from lines join best using (line) join texts using (line) where m.cosine >= 0.75 group by doc_id),
+own as (
+  select f.doc_id, path, dir, m.licence as licence, m.cosine as cosine,
+         m is not null and m.words >= 0.25 * len(regexp_extract_all({_LOW.format("body")}, '[a-z0-9]+')) as speaks
+  from files f left join stated s on f.doc_id = s.doc_id),
+speaking as (select dir, arg_min(licence, path) as licence from own where speaks group by dir)
+select doc_id, path, coalesce(own.licence, speaking.licence) as licence,
+       case when own.licence is not null then 'header' when speaking.licence is not null then 'inherited' end as basis,
+       case when own.licence is null then speaking.dir end as licence_dir, cosine
+from own left join speaking on own.dir = speaking.dir
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -126,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": op4_url_filters,
         "op5_decontamination": op5_decontamination,
         "op6_simhash": op6_simhash,
+        "op7_licences": op7_licences,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
@@ -133,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_licences": OP7_SQL}
