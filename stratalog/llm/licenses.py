@@ -20,28 +20,28 @@ LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"
 #: (licence, wording): notices in common use and the opening words of licence texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL-3.0", "redistribute or modify it under the GNU General Public License"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License, v. 2.0"),
 ]
 
+#: Words that are common in prose of some language or in version numbers: decisive terms are chosen among the others where these suffice.
+COMMON = frozenset("a and any are at by can conditions file following for free in is it may mit not of or person project public that the this to use version with without work you you under source form forms terms".split())
+
 
 class Index:
     """Weights of the templates' terms.
@@ -61,7 +61,7 @@ class Index:
         for i, own in enumerate(words):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in own.items()))
             rest = 1.0
-            for t, n in sorted(own.items(), key=lambda x: (-x[1] * self.idf[x[0]], x[0])):
+            for t, n in sorted(own.items(), key=lambda x: (x[0] in COMMON or len(x[0]) < 2, -x[1] * self.idf[x[0]], x[0])):
                 w = n * self.idf[t] / norm
                 self.weights[t][i] = w * self.idf[t]
                 if rest >= threshold**2:
@@ -109,7 +109,7 @@ def scan_licences(
     id_col: str = "doc_id",
     text_col: str = "text",
     templates: Sequence[tuple[str, str]] = TEMPLATES,
-    threshold: float = 0.75,
+    threshold: float = 0.8,
     file_share: float = 0.25,
 ) -> DataFrame:
     """Licence of every row: stated in the file, or inherited from the nearest directory above that states one.

@@ -125,7 +125,7 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = items.doc_id
 """
 
-_INDEX = Index(TEMPLATES, 0.75)
+_INDEX = Index(TEMPLATES, 0.8)
 _POSTINGS = ", ".join(
     f"('{term}', {i}, '{_INDEX.names[i]}', {weight!r}::double)" for term, by in _INDEX.weights.items() for i, weight in enumerate(by) if weight
 )
@@ -149,7 +149,7 @@ best as (
   from dots join norms using (line) group by line),
 stated as (
   select doc_id, max(struct_pack(cosine := m.cosine, licence := m.licence, words := len(w))) as m
-  from lines join best using (line) join texts using (line) where m.cosine >= 0.75 group by doc_id),
+  from lines join best using (line) join texts using (line) where m.cosine >= 0.8 group by doc_id),
 own as (
   select f.doc_id, path, dir, m.licence as licence, m.cosine as cosine,
          m is not null and m.words >= 0.25 * len(regexp_extract_all({_LOW.format("body")}, '[a-z0-9]+')) as speaks
