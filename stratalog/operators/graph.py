@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import glob_regex, thousandths
 from ..session import cut
 from .components import connected_components
+from .kernels import strong_components_in_task
 
 __all__ = ["affected", "arch_violations", "bottleneck", "bottleneck_static", "component_metrics", "connected_components", "container_edges", "curvature", "degrees", "event_chains", "hub_threshold", "modularity", "neighbours", "node_status", "pagerank", "personalized_pagerank", "reach", "shortest_paths", "strong_components", "transitive_closure"]
 
@@ -134,39 +135,45 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"no closure after {max_rounds} rounds")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 100, one_task: int = 200_000) -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, named by their least node.
 
-    Forward and backward labels: in each round the least node of every weakly connected rest is a pivot;
-    what it reaches and what reaches it is its component, and edges between the four kinds of nodes
-    (either, both, none) drop out. Nodes that nothing enters or leaves are trimmed first.
+    A graph of up to ``one_task`` edges goes to one task as a whole. Beyond that,
+    colouring: every node takes the least node that reaches it as its colour. Within a colour, what
+    reaches the node that gave it is one component; all colours yield theirs in the same round, and
+    edges between colours or at found nodes drop out. Nodes that nothing enters or leaves go first.
     """
     rest = cut(edges.select("src", "dst").where("src != dst").distinct())
+    if rest.limit(one_task + 1).count() <= one_task:
+        return strong_components_in_task(rest.withColumn("g", F.lit(0))).drop("g")
     done = None
     for _ in range(max_rounds):
-        while True:  # trim
-            n = rest.count()
+        n = rest.count()
+        while n:  # trim
             rest = cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if rest.count() == n:
+            left = rest.count()
+            if left == n:
                 break
+            n = left
         if not n:
             break
-        roots = connected_components(rest)
-        pivots = roots.select(F.col("root").alias("node")).distinct()
-        ahead = reach(rest, pivots).select("node", F.lit(1).alias("f"))
-        behind = reach(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots).select("node", F.lit(2).alias("b"))
-        label = cut(roots.join(ahead, "node", "left").join(behind, "node", "left").select("node", "root", (F.coalesce("f", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("kind")))
-        own = label.where("kind = 3").select("node", F.col("root").alias("component"))
-        done = own if done is None else done.unionByName(own)
-        kinds = label.where("kind != 3").select("node", "kind")
-        rest = cut(
-            rest.join(kinds.select(F.col("node").alias("src"), F.col("kind").alias("ks")), "src").join(kinds.select(F.col("node").alias("dst"), F.col("kind").alias("kd")), "dst").where("ks = kd").select("src", "dst")
-        )
+        colour = cut(rest.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node")))
+        moved = colour
+        while not moved.isEmpty():
+            seen = rest.join(moved, rest.src == moved.node).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("nc"))
+            moved = cut(seen.join(colour, "node").where("nc < c").select("node", F.col("nc").alias("c")))
+            colour = cut(colour.join(moved.withColumnRenamed("c", "nc"), "node", "left").select("node", F.coalesce("nc", "c").alias("c")))
+        inside = rest.join(colour.withColumnsRenamed({"node": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"node": "dst", "c": "cd"}), "dst").where("cs = cd").select("src", "dst")
+        inside = cut(inside)
+        own = reach(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = c").select("node")).select("node")
+        found = cut(own.join(colour, "node").select("node", F.col("c").alias("component")))
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        rest = cut(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     if done is None:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    done = cut(done)
-    sizes = done.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    return done.join(sizes, "component").select("node", F.col("least").alias("component"))
+    sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return done.join(sizes, "component").select("node", "component")
 
 
 def cycle_records(components: DataFrame) -> DataFrame:

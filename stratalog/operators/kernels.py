@@ -6,12 +6,15 @@ graph has to fit in one task, which is the nature of these algorithms.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..lang.stratify import components
+
 
 def _adjacency(pdf: pd.DataFrame) -> dict:
     out: dict = defaultdict(set)
@@ -298,27 +301,38 @@ def hitting_times(edges: DataFrame, group: str = "g", sweeps: int = 200) -> Data
     return edges.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, src {kinds['src']}, dst {kinds['src']}, steps_x1000 long")
 
 
+def _components(pdf: pd.DataFrame) -> tuple[list[list], dict, dict]:
+    """Strongly connected components (members sorted), the name of each node's text, and the graph by text."""
+    text = {str(n): n for n in sorted({*pdf["src"], *pdf["dst"]})}
+    graph: dict = {t: {} for t in text}
+    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        if a != b:
+            graph[str(a)][str(b)] = False
+    return [sorted(p, key=text.get) for p in components(graph)], text, graph
+
+
+def strong_components_in_task(edges: DataFrame, group: str = "g") -> DataFrame:
+    """(group, node, component): strongly connected components of two nodes or more, by their least node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, text, _ = _components(pdf)
+        return pd.DataFrame([(pdf[group].iat[0], text[n], text[p[0]]) for p in parts if len(p) > 1 for n in p], columns=[group, "node", "component"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    return edges.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, node {kinds['src']}, component {kinds['src']}")
+
+
 def structure_matrix(edges: DataFrame, group: str = "g") -> DataFrame:
     """(group, node, position, level): nodes by components in topological order from those nothing enters, ties by least member; one level for each component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from ..lang.stratify import components
-
-        names = sorted({*pdf["src"], *pdf["dst"]})
-        text = {str(n): n for n in names}
-        graph: dict = {str(n): {} for n in names}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            if a != b:
-                graph[str(a)][str(b)] = False
-        parts = [sorted(p, key=lambda s: text[s]) for p in components(graph)]
+        parts, text, graph = _components(pdf)
         home = {n: i for i, p in enumerate(parts) for n in p}
         waits = [0] * len(parts)
         ahead = [{home[b] for a in p for b in graph[a]} - {i} for i, p in enumerate(parts)]
         for ends in ahead:
             for j in ends:
                 waits[j] += 1
-        import heapq
-
         ready = [(text[p[0]], i) for i, p in enumerate(parts) if not waits[i]]
         heapq.heapify(ready)
         rows, level = [], 0
