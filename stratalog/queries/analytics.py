@@ -1,6 +1,461 @@
-def queries():
-    return {}
+"""Series, co-change, distributions, spans, snapshots and checks over the tables, and their DuckDB statements."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tuple_hash
+from ..operators import cochange as C
+from ..operators import diff as D
+from ..operators import distribution as V
+from ..operators import relational as R
+from ..operators import series as S
+from ..operators import spans as P
+from .common import TREE_SQL, table, tree
+
+Query = Callable[[SparkSession, str], DataFrame]
+DAY, DAYS = 86_400_000, 30
+HALF = "timestamp '2024-01-16 00:00:00'"
+
+
+# --- stand-ins ---------------------------------------------------------------------------
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a commit, its parts the files."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("idx"), F.col("l_partkey").alias("file"))
+
+
+COMMITS = "c as (select distinct l_orderkey as idx, l_partkey as file from lineitem)"
+PAIRS = f"""{COMMITS}, small as (select idx from c group by 1 having count(*) <= 50), k as (select * from c semi join small using (idx)),
+t as (select file, count(*) as t from k group by 1),
+n as (select a.file as a, b.file as b, count(*) as count from k a join k b on a.idx = b.idx and a.file < b.file group by 1, 2 having count(*) >= 2),
+p as (select a, b, count, x.t as total_a, y.t as total_b, cast(floor(count::double / (x.t + y.t - count) * 100 + 0.5) as bigint) as jaccard_x100 from n join t x on x.file = a join t y on y.file = b)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cochange_pairs(_commits(spark, sf_dir), min_count=2)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumns({"ms": F.unix_millis(F.col("ts").cast("timestamp")), "cents": F.floor(F.col("value") * 100).cast("bigint")})
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("key"), "ms", "cents")
+    return S.bucketed(e, F.col("ms"), 1704067200000, DAY, F.col("cents"))
+
+
+SERIES = f"""s as (
+  select event_type as kind, cast(user_id as varchar) as key, (epoch_ms(ts) - 1704067200000) // {DAY} as bucket, count(*) as count,
+         cast(floor(avg(cast(floor(value * 100) as bigint))) as bigint) as mean
+  from events where epoch_ms(ts) >= 1704067200000 group by 1, 2, 3)"""
+DENSE = f"""{SERIES}, d as (
+  select g.kind, g.key, g.bucket, coalesce(count, 0) as count, coalesce(mean, 0) as mean
+  from (select kind, key, unnest(range({DAYS})) as bucket from (select distinct kind, key from s)) g left join s using (kind, key, bucket))"""
+SPIKES = f"{DENSE}, k as (select *, kind || ':' || key as s from d qualify count >= greatest(1.0, 1.5 * avg(count) over (partition by kind, key)))"
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.densify(_series(spark, sf_dir), DAYS)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select(F.col("user_id"), F.col("event_type"), F.lit(1).cast("bigint").alias("n"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    cut = F.expr("timestamp_ntz '2024-01-16 00:00:00'")
+    return e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut)
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of event as a kind of span, under the span before it."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    pairs = F.when(kind.isin("view", "click"), F.create_map(F.lit("code.filepath"), F.concat(F.lit("/app/src/"), user, F.lit(".ts")), F.lit("code.function"), kind))
+    pairs = pairs.when(kind == "purchase", F.create_map(F.lit("db.system"), F.lit("postgresql"), F.lit("db.statement"), F.concat(F.lit("SELECT * FROM orders_"), user, F.lit(" WHERE id = 1"))))
+    pairs = pairs.when(kind == "signup", F.create_map(F.lit("db.system"), F.lit("redis"), F.lit("db.statement"), F.concat(F.lit("GET user:"), user, F.lit(":name")), F.lit("event.name"), F.lit("signed-up")))
+    pairs = pairs.otherwise(F.create_map(F.lit("http.method"), F.lit("GET"), F.lit("http.target"), F.concat(F.lit("/u/"), user, F.lit("?e=1")), F.lit("http.status_code"), F.lit("500")))
+    e = _events(spark, sf_dir)
+    return e.select(F.col("event_id").alias("span_id"), (F.col("event_id") - 1).alias("parent_id"), pairs.alias("attributes"), F.col("ms").alias("start_ms"), F.col("ms").alias("end_ms"), F.col("cents").alias("duration_ms"))
+
+
+def _p95(value: str) -> str:
+    return f"list_sort(list({value}))[least(count(*) - 1, cast(floor(count(*) * 0.95::double) as bigint)) + 1]"
+
+
+CENTS = "cast(floor(value * 100) as bigint)"
+
+
+def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders up to 1998 and from 1997 on, the later ones with finished states."""
+    o = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
+    return o.where("y <= 1998"), o.where("y >= 1997").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")))
+
+
+OLD_NEW = """old as (select * from orders where year(o_orderdate) <= 1998),
+new as (select * replace (case when o_orderstatus = 'P' then 'F' else o_orderstatus end as o_orderstatus) from orders where year(o_orderdate) >= 1997)"""
+
+
+# --- queries -----------------------------------------------------------------------------
+
+
+def q_cochange_symmetric(s: SparkSession, d: str) -> DataFrame:
+    return C.symmetric(_pairs(s, d)).select("a", "b", "jaccard_x100")
+
+
+def q_direction(s: SparkSession, d: str) -> DataFrame:
+    return C.direction(_commits(s, d), _pairs(s, d))
+
+
+DIRECTION = f"""with {PAIRS},
+w as (select a, b, idx, max(ia) as ia, max(ib) as ib from (
+  select a, b, idx, 1 as ia, 0 as ib from n join c on file = a union all select a, b, idx, 0, 1 from n join c on file = b) group by 1, 2, 3),
+l as (select *, max(case when ia = 1 and ib = 0 then idx end) over v as la, max(case when ib = 1 and ia = 0 then idx end) over v as lb from w
+      window v as (partition by a, b order by idx rows between unbounded preceding and 1 preceding))
+select a, b, count(*) filter (la < lb) as a_first, count(*) filter (lb < la) as b_first from l where ia = 1 and ib = 1 group by 1, 2"""
+
+
+def q_prune(s: SparkSession, d: str) -> DataFrame:
+    base = tree(s, d)
+    two = base.alias("x").join(base.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
+    return C.prune_transitive(base.unionByName(two))
+
+
+def q_persistence(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select(F.year("o_orderdate").alias("snapshot"), F.col("o_custkey").alias("cycle"))
+    return C.cycle_persistence(o, 10).select("cycle", "snapshots", "ratio_x1000", "first", "last")
+
+
+def q_stability(s: SparkSession, d: str) -> DataFrame:
+    g = table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("relation"), F.year("o_orderdate").alias("snapshot")).agg((F.count("*") % 3).alias("hash"))
+    return C.relation_stability(g)
+
+
+def q_lag_excess(s: SparkSession, d: str) -> DataFrame:
+    return S.lag_excess(_dense(s, d), DAYS)
+
+
+LAG = f"""with {SPIKES},
+n as (select s, count(*) as nf, count(*) filter (bucket < {DAYS} - 1) as spikes from k group by 1),
+j as (select a.s as driver, b.s as follower, count(*) as joint from k a join k b on b.bucket = a.bucket + 1 and a.s != b.s group by 1, 2),
+x as (select driver, follower, y.spikes, joint, joint::double / y.spikes - z.nf::double / {DAYS} as e from j join n y on y.s = driver join n z on z.s = follower where y.spikes >= 3)
+select driver, follower, spikes, joint, cast(floor(e * 1000) as bigint) as excess_x1000 from x where e >= 0.15::double"""
+
+
+def q_rollup(s: SparkSession, d: str) -> DataFrame:
+    p = S.lag_excess(_dense(s, d), DAYS, min_excess=0.3)
+    named = lambda c: F.concat(F.lit("symbol:"), F.substring_index(c, ":", -1), F.lit(":"), F.substring_index(c, ":", 1))
+    return S.file_rollup(p.withColumns({"driver": named(F.col("driver")), "follower": named(F.col("follower"))}))
+
+
+ROLLUP = LAG.replace("0.15::double", "0.3::double").replace("select driver, follower, spikes, joint, cast", ", y as (select split_part(driver, ':', 2) as driver_file, split_part(follower, ':', 2) as follower_file, joint, cast", 1)
+ROLLUP = ROLLUP + ") select driver_file, follower_file, cast(sum(joint) as bigint) as observations, max(excess_x1000) as excess_x1000 from y where driver_file != follower_file group by 1, 2"
+
+
+def q_hamming(s: SparkSession, d: str) -> DataFrame:
+    """A 12-bit code of each customer's nation, balance and segment, compared within nations."""
+    c = table(s, d, "customer").select(
+        F.col("c_custkey").alias("i"), "c_nationkey", (F.shiftleft(F.floor(F.col("c_acctbal") / 100).cast("bigint").bitwiseAND(127), 5) + F.length("c_mktsegment")).cast("bigint").alias("code")
+    )
+    return V.hamming_pairs(c, "i", "code", ["c_nationkey"], 1)
+
+
+def q_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Greedy choice of suppliers that cover most part retail value in cents."""
+    li = table(s, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
+    p = table(s, d, "part").select("p_partkey", F.floor(F.col("p_retailprice")).cast("bigint").alias("w"))
+    return V.max_coverage(li.join(p, "p_partkey"), "l_suppkey", "p_partkey", "w", 3)
+
+
+COVER_1 = "g as (select distinct l_suppkey, p_partkey, cast(floor(p_retailprice) as bigint) as w from lineitem join part on l_partkey = p_partkey), b1 as (select l_suppkey, cast(sum(w) as bigint) as gain from g group by 1 order by 2 desc, 1 limit 1)"
+COVER = f"""with {COVER_1},
+r1 as (select * from g where p_partkey not in (select p_partkey from g semi join b1 using (l_suppkey))),
+b2 as (select l_suppkey, cast(sum(w) as bigint) as gain from r1 group by 1 order by 2 desc, 1 limit 1),
+r2 as (select * from r1 where p_partkey not in (select p_partkey from g semi join b2 using (l_suppkey))),
+b3 as (select l_suppkey, cast(sum(w) as bigint) as gain from r2 group by 1 order by 2 desc, 1 limit 1)
+select 1 as step, * from b1 union all select 2, * from b2 union all select 3, * from b3"""
+
+
+def q_ncd(s: SparkSession, d: str) -> DataFrame:
+    """Documents that share their first 40 characters."""
+    docs = table(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("name"), F.substring("text", 1, 1 << 30).alias("body"))
+    return V.compression_distance(docs, "doc_id", "name", "body")
+
+
+def q_snapshot_diff(s: SparkSession, d: str) -> DataFrame:
+    old, new = _old_new(s, d)
+    return D.keyed_diff(old, new, ["o_orderkey"], ["o_orderstatus"])
+
+
+def q_array_diff(s: SparkSession, d: str) -> DataFrame:
+    old, new = (x.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items")) for x in _old_new(s, d))
+    return D.array_diff(old, new, "o_custkey", "items").select("o_custkey", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+ARRAYS = f"""with {OLD_NEW}, o as (select o_custkey, list(distinct o_orderpriority) as b from old group by 1), n as (select o_custkey, list(distinct o_orderpriority) as a from new group by 1),
+x as (select coalesce(o.o_custkey, n.o_custkey) as o_custkey, coalesce(a, []) as a, coalesce(b, []) as b from o full outer join n on o.o_custkey = n.o_custkey)
+select o_custkey, array_to_string(list_sort(list_filter(a, lambda i: not list_contains(b, i))), ',') as added, array_to_string(list_sort(list_filter(b, lambda i: not list_contains(a, i))), ',') as removed
+from x where len(list_filter(a, lambda i: not list_contains(b, i))) + len(list_filter(b, lambda i: not list_contains(a, i))) > 0"""
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    return D.fact_ids(df.select("o_orderkey", "o_orderstatus"), "Order", ["o_orderkey", "o_orderstatus"]).withColumn("relation", F.lit("Order"))
+
+
+FACT = """sha256('Order' || chr(0) || '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}')"""
+
+
+def q_delta(s: SparkSession, d: str) -> DataFrame:
+    old, new = _old_new(s, d)
+    return D.delta(_facts(old), _facts(new))
+
+
+def q_append(s: SparkSession, d: str) -> DataFrame:
+    old, new = _old_new(s, d)
+    return D.append_new(_facts(old), _facts(new)).select("id", "o_orderkey")
+
+
+def q_compact(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    bases = _facts(o).select("id", "o_orderkey").join(o.select("o_orderkey", F.year("o_orderdate").alias("base")), "o_orderkey").select("base", "id")
+    return D.compact(_facts(o), bases, keep=3).select("id")
+
+
+def q_upsert(s: SparkSession, d: str) -> DataFrame:
+    old, new = (x.select("o_custkey", "o_orderkey", "o_orderstatus") for x in _old_new(s, d))
+    return D.upsert(old, new, ["o_custkey"], "o_orderkey")
+
+
+def q_prefix(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")).where("path != ''")
+    roots = pages.select(F.substring_index("path", "/", 1).alias("prefix")).union(pages.select(F.substring_index("path", "/", 2))).distinct()
+    return R.longest_prefix(pages, roots, "path", "prefix")
+
+
+def q_export(s: SparkSession, d: str) -> DataFrame:
+    li, p = table(s, d, "lineitem"), table(s, d, "part")
+    flag = lambda f, q: li.where((F.col("l_returnflag") == f) & (F.col("l_quantity") >= q)).select(F.col("l_partkey").alias("symbol"))
+    return R.export_confidence(p.select(F.col("p_partkey").alias("symbol")), flag("R", 50), flag("A", 50), flag("N", 50), p.where("p_size > 25").select(F.col("p_partkey").alias("symbol")))
+
+
+def q_naming(s: SparkSession, d: str) -> DataFrame:
+    return R.naming_violations(table(s, d, "part").select(F.col("p_name").alias("name")), {"one-word": "^[a-z]+$", "no-ring": "^(?!.*ring).*$"})
+
+
+def q_savings(s: SparkSession, d: str) -> DataFrame:
+    e = _events(s, d).select("user_id", "event_id", "cents", (F.col("event_type") == "view").alias("dedup"))
+    return R.savings(e, "user_id", "event_id", "cents", "dedup")
+
+
+SAVINGS = f"""with e as (select user_id, event_id, {CENTS} as cents, event_type = 'view' as dedup from events),
+b as (select *, last_value(case when not dedup then cents end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as base from e)
+select user_id, count(*) as calls, count(*) filter (dedup) as deduplicated, cast(sum(case when dedup then greatest(0, coalesce(base, 0) - cents) else 0 end) as bigint) as saved from b group by 1"""
+
+_EV = "e as (select *, ts < timestamp '2024-01-16 00:00:00' as early from events)"
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "cochange_pairs": (_pairs, f"with {PAIRS} select * from p"),
+    "cochange_symmetric": (q_cochange_symmetric, f"with {PAIRS} select a, b, jaccard_x100 from p union all select b, a, jaccard_x100 from p"),
+    "cochange_conditional": (
+        lambda s, d: C.conditional(_pairs(s, d), 0.05),
+        f"with {PAIRS}, q as (select a, b, count, total_a from p union all select b, a, count, total_b from p) select a, b, cast(floor(count::double / total_a * 100 + 0.5) as bigint) as p_x100 from q where count::double / total_a >= 0.05::double",
+    ),
+    "cochange_log_growth": (
+        lambda s, d: C.log_growth(_pairs(s, d)),
+        f"with {PAIRS}, q as (select a as file, count from p union all select b, count from p) select file, cast(floor(ln(sum(count)::double / count(*) + 1) * 1000 + 0.5) as bigint) as growth_x1000, count(*) as partners from q group by 1 having count(*) >= 2",
+    ),
+    "cochange_lag_one_excess": (
+        lambda s, d: C.lag_one_excess(_commits(s, d), min_joint=2, min_excess=0.02),
+        f"""with {COMMITS}, t as (select max(idx) + 1 as t from c), n as (select file, count(*) as n, max(idx) as last from c group by 1),
+        j as (select x.file as a, y.file as b, count(*) as joint from c x join c y on y.idx = x.idx + 1 and x.file != y.file group by 1, 2 having count(*) >= 2),
+        r as (select a, b, joint, cast(floor((joint::double / (u.n - case when u.last = t - 1 then 1 else 0 end) - v.n::double / t) * 1000 + 0.5) as bigint) as excess_x1000 from j join n u on u.file = a join n v on v.file = b, t where t >= 4)
+        select * from r where excess_x1000 >= 20""",
+    ),
+    "cochange_lift": (
+        lambda s, d: C.lift(_commits(s, d)),
+        f"with {COMMITS}, t as (select count(distinct idx) as t from c), n as (select l_partkey as file, count(*) as n from lineitem group by 1), j as (select x.file as a, y.file as b, count(*) as count from c x join c y on y.idx = x.idx and x.file < y.file group by 1, 2 having count(*) >= 3) select a, b, count, cast(floor((count * t)::double / (u.n * v.n) * 1000 + 0.5) as bigint) as lift_x1000 from j join n u on u.file = a join n v on v.file = b, t where (count * t)::double / (u.n * v.n) >= 2",
+    ),
+    "cochange_direction": (q_direction, DIRECTION),
+    "cochange_prune_transitive": (q_prune, f"with {TREE_SQL} select distinct src, dst from tree"),
+    "cycle_persistence": (
+        q_persistence,
+        "select o_custkey as cycle, count(distinct year(o_orderdate)) as snapshots, cast(floor(count(distinct year(o_orderdate))::double / 10 * 1000 + 0.5) as bigint) as ratio_x1000, cast(min(year(o_orderdate)) as integer) as first, cast(max(year(o_orderdate)) as integer) as last from orders group by 1",
+    ),
+    "relation_stability": (
+        q_stability,
+        "with g as (select o_orderpriority as relation, year(o_orderdate) as snapshot, count(*) % 3 as h from orders group by 1, 2), l as (select relation, h, lag(h) over (partition by relation order by snapshot) as b from g) select relation, cast(floor((count(*) filter (h = b))::double / count(*) * 1000 + 0.5) as bigint) as unchanged_x1000 from l where b is not null group by 1",
+    ),
+    "series_bucketed": (_series, f"with {SERIES} select * from s"),
+    "series_dense": (_dense, f"with {DENSE} select * from d"),
+    "series_spikes": (lambda s, d: S.spikes(_dense(s, d)), f"with {SPIKES} select kind, key, bucket, count, mean from k"),
+    "series_lag_excess": (q_lag_excess, LAG),
+    "series_file_rollup": (q_rollup, ROLLUP),
+    "series_log_divergence": (
+        lambda s, d: S.log_divergence(_dense(s, d)),
+        f"""with {DENSE}, l as (select *, abs(lead(mean) over (partition by kind, key order by bucket) - mean) as step, stddev_pop(mean) over (partition by kind, key) as sd from d)
+        select kind, key, case when max(sd) > 0 then cast(floor(avg(ln(1 + step / nullif(sd, 0))) * 1000) as bigint) else 0 end as lambda_x1000 from l group by 1, 2 having count(*) filter (mean > 0) >= 5""",
+    ),
+    "series_log_latency": (
+        lambda s, d: S.log_latency(_events(s, d).groupBy("user_id").agg(F.count("*").alias("n"), V.nearest_rank(F.col("cents"), 0.95).alias("p95")), "user_id", "p95", "n"),
+        f"select user_id, cast(floor(ln({_p95(CENTS)} + 1) * 1000 + 0.5) as bigint) as log_x1000 from events group by 1 having count(*) >= 3",
+    ),
+    "percentile_nearest_rank": (
+        lambda s, d: _events(s, d).groupBy("event_type").agg(V.nearest_rank(F.col("cents"), 0.95).alias("p95")),
+        f"select event_type, {_p95(CENTS)} as p95 from events group by 1",
+    ),
+    "entropy": (
+        lambda s, d: V.entropy(table(s, d, "events"), "user_id", "event_type"),
+        "with n as (select user_id, event_type, count(*) as n from events group by 1, 2) select user_id, cast(floor((log2(sum(n)) - sum(n * log2(n)) / sum(n)) * 1000 + 0.5) as bigint) as entropy_x1000, cast(sum(n) as bigint) as total, count(*) as n_values from n group by 1 having sum(n) >= 3",
+    ),
+    "kl_divergence": (
+        lambda s, d: V.kl_divergence(*reversed(_halves(s, d)), "user_id", "event_type"),
+        f"""with {_EV}, a as (select user_id, event_type, count(*) filter (not early) as a, count(*) filter (early) as b from e group by 1, 2),
+        w as (select *, sum(a + 1) over (partition by user_id) as ta, sum(b + 1) over (partition by user_id) as tb, sum(a) over (partition by user_id) as seen from a)
+        select user_id, cast(floor(sum((a + 1)::double / ta * ln(((a + 1)::double / ta) / ((b + 1)::double / tb))) * 1000 + 0.5) as bigint) as kl_x1000 from w where seen > 0 group by 1""",
+    ),
+    "pareto_rank": (
+        lambda s, d: V.pareto_rank(_events(s, d).groupBy("event_type", "user_id").agg(F.sum("cents").alias("w")), "event_type", "user_id", "w"),
+        f"""with w as (select event_type, user_id, sum({CENTS}) as w from events group by 1, 2),
+        r as (select event_type, row_number() over (partition by event_type order by w desc, user_id) as k, sum(w) over (partition by event_type order by w desc, user_id) as run, sum(w) over (partition by event_type) as total, count(*) over (partition by event_type) as keys from w)
+        select event_type, cast(min(k) as bigint) as rank, max(keys) as keys from r where run >= 0.8::double * total group by 1""",
+    ),
+    "wasserstein": (
+        lambda s, d: V.wasserstein(*reversed(_halves(s, d)), "user_id", "event_type", "n"),
+        f"""with {_EV}, a as (select user_id, event_type, count(*) filter (not early) as a, count(*) filter (early) as b from e group by 1, 2),
+        r as (select *, abs(sum(a - b) over (partition by user_id order by event_type)) as gap from a)
+        select user_id, cast(floor(sum(gap)::double / greatest(sum(a), sum(b)) * 1000 + 0.5) as bigint) as distance_x1000 from r group by 1""",
+    ),
+    "distribution_movers": (
+        lambda s, d: V.movers(*reversed(_halves(s, d)), "user_id", "n", 5),
+        f"""with {_EV}, c as (select user_id, count(*) filter (not early) - count(*) filter (early) as change from e group by 1)
+        (select 'gain' as direction, * from c where change > 0 order by change desc, user_id limit 5) union all (select 'loss', * from c where change < 0 order by change, user_id limit 5)""",
+    ),
+    "coverage_drift": (
+        lambda s, d: V.coverage_drift(*(x.select("o_custkey") for x in _old_new(s, d)), ["o_custkey"]),
+        f"with {OLD_NEW} select distinct o_custkey, 'only_a' as side from old where o_custkey not in (select o_custkey from new) union all select distinct o_custkey, 'only_b' from new where o_custkey not in (select o_custkey from old)",
+    ),
+    "edge_distance": (
+        lambda s, d: V.edge_distance(*(x.select("o_custkey", "o_orderpriority") for x in _old_new(s, d)), ["o_custkey", "o_orderpriority"]),
+        f"with {OLD_NEW}, a as (select distinct o_custkey as c, o_orderpriority as p, 1 as x from old), b as (select distinct o_custkey as c, o_orderpriority as p, 1 as y from new), j as (select x, y from a full outer join b using (c, p)) select count(*) filter (y is null) as only_a, count(*) filter (x is null) as only_b, count(*) as total, cast(floor((count(*) filter (y is null) + count(*) filter (x is null))::double / count(*) * 1000 + 0.5) as bigint) as distance_x1000 from j",
+    ),
+    "hamming_pairs": (
+        q_hamming,
+        "with c as (select c_custkey as i, c_nationkey as n, (cast(floor(c_acctbal / 100) as bigint) & 127) * 32 + length(c_mktsegment) as code from customer) select x.i as a, y.i as b, cast(bit_count(xor(x.code, y.code)) as bigint) as distance from c x join c y on x.n = y.n and x.i < y.i where bit_count(xor(x.code, y.code)) <= 1",
+    ),
+    "max_coverage": (q_coverage, COVER),
+    "compression_distance": (q_ncd, None),
+    "timing_stats": (
+        lambda s, d: V.timing_stats(_events(s, d), "event_type", "cents"),
+        f"""with e as (select event_type, {CENTS} as c from events), g as (select event_type, count(*) as n, avg(c) as m, list_sort(list(c)) as l, stddev_pop(c) as sd from e group by 1),
+        h as (select *, l[least(n - 1, n // 2) + 1] as median, l[least(n - 1, cast(floor(n * 0.95::double) as bigint)) + 1] as p95 from g)
+        select event_type, n, cast(floor(m * 1000 + 0.5) as bigint) as mean_x1000, median, p95, cast(floor(sd * 1000 + 0.5) as bigint) as sigma_x1000, cast(floor(ln(p95 + 1) / ln(median + 1) * 1000 + 0.5) as bigint) as spread_x1000 from h""",
+    ),
+    "timing_diff": (
+        lambda s, d: V.timing_diff(*(x.groupBy("user_id").agg(F.sum("n").alias("n")) for x in reversed(_halves(s, d))), "user_id", "n"),
+        f"with {_EV}, c as (select user_id, count(*) filter (not early) as n, count(*) filter (early) as b from e group by 1) select user_id, n, case when b > 0 then round((n - b)::double / b * 100, 2) end as percent from c where n > 0",
+    ),
+    "spans_symbols": (
+        lambda s, d: P.symbols_touched(_spans(s, d), "/app"),
+        f"select 'src/' || user_id || '.ts' as file, event_type as fn, count(*) as count, {_p95(CENTS)} as p95 from events where event_type in ('view', 'click') group by 1, 2",
+    ),
+    "spans_routes": (
+        lambda s, d: P.route_hits(_spans(s, d)),
+        f"select 'GET' as method, '/u/' || user_id as path, 500::bigint as status, count(*) as count, {_p95(CENTS)} as p95 from events where event_type = 'error' group by user_id",
+    ),
+    "spans_queries": (
+        lambda s, d: P.queries_run(_spans(s, d)),
+        "select 'orders_' || user_id as \"table\", 'SELECT' as op, count(*) as count, max(epoch_ms(ts)) // 1000 as last_second from events where event_type = 'purchase' group by user_id",
+    ),
+    "spans_redis": (lambda s, d: P.redis_operations(_spans(s, d)), "select 'GET' as op, 'user:*:name' as pattern, count(*) as count from events where event_type = 'signup'"),
+    "spans_events": (
+        lambda s, d: P.events_emitted(_spans(s, d)),
+        "select 'signed-up' as type, count(*) as count, max(epoch_ms(ts)) // 1000 as last_second from events where event_type = 'signup'",
+    ),
+    "spans_call_edges": (
+        lambda s, d: P.call_edges(_spans(s, d), "/app"),
+        "with s as (select event_id, 'src/' || user_id || '.ts' as f, event_type as n from events where event_type in ('view', 'click')) select a.f as from_file, a.n as from_fn, b.f as to_file, b.n as to_fn, count(*) as count from s b join s a on a.event_id = b.event_id - 1 group by 1, 2, 3, 4",
+    ),
+    "spans_series": (
+        lambda s, d: P.series_keys(_spans(s, d), "/app").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")),
+        "select 'symbol' as kind, count(*) as n, count(distinct user_id || event_type) as keys from events where event_type in ('view', 'click') union all select 'route', count(*), count(distinct user_id) from events where event_type = 'error' union all select 'table', count(*), count(distinct user_id) from events where event_type = 'purchase' union all select 'event', count(*), 1 from events where event_type = 'signup'",
+    ),
+    "snapshot_diff": (
+        q_snapshot_diff,
+        f"with {OLD_NEW} select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, case when o.o_orderkey is null then 'added' when n.o_orderkey is null then 'removed' else 'changed' end as change from old o full outer join new n on o.o_orderkey = n.o_orderkey where o.o_orderstatus is distinct from n.o_orderstatus or o.o_orderkey is null or n.o_orderkey is null",
+    ),
+    "array_diff": (q_array_diff, ARRAYS),
+    "ratchet_new": (
+        lambda s, d: D.new_violations(*reversed([x.select("o_custkey", "o_orderpriority") for x in _old_new(s, d)]), ["o_custkey", "o_orderpriority"]),
+        f"with {OLD_NEW} select o_custkey, o_orderpriority from new except select o_custkey, o_orderpriority from old",
+    ),
+    "fact_ids": (lambda s, d: _facts(table(s, d, "orders")).select("o_orderkey", "id"), f"select o_orderkey, {FACT} as id from orders"),
+    "fact_delta": (
+        q_delta,
+        f"with {OLD_NEW}, a as (select {FACT} as id from old), b as (select {FACT} as id from new) select id, 'added' as change from (select * from b except select * from a) union all select id, 'removed' from (select * from a except select * from b)",
+    ),
+    "fact_append": (q_append, f"with {OLD_NEW} select {FACT} as id, o_orderkey from new where {FACT} not in (select {FACT} from old)"),
+    "fact_compact": (q_compact, f"select {FACT} as id from orders where year(o_orderdate) in (select distinct year(o_orderdate) from orders order by 1 desc limit 3)"),
+    "fact_head": (lambda s, d: D.head(_facts(table(s, d, "orders"))), None),
+    "memory_upsert": (
+        q_upsert,
+        f"with {OLD_NEW}, u as (select o_custkey, o_orderkey, o_orderstatus, 0 as k from old union all select o_custkey, o_orderkey, o_orderstatus, 1 from new) select o_custkey, o_orderkey, o_orderstatus from u qualify row_number() over (partition by o_custkey order by o_orderkey desc, k desc) = 1",
+    ),
+    "coverage_drop": (
+        lambda s, d: D.coverage_drop(*(x.groupBy(F.col("o_orderstatus").alias("metric")).agg(F.count("*").alias("value")) for x in _old_new(s, d))),
+        f"with {OLD_NEW}, a as (select o_orderstatus as metric, count(*) as before from old group by 1), b as (select o_orderstatus as metric, count(*) as after from new group by 1) select metric, before, after from a join b using (metric) where (before - after)::double / before >= 0.1::double",
+    ),
+    "tuple_hash": (
+        lambda s, d: table(s, d, "nation").select(F.col("n_name").alias("name"), tuple_hash("Nation", (F.col("n_name"), "symbol"), (F.col("n_nationkey"), "number")).alias("hash")),
+        "select n_name as name, substring(sha256('Nation' || chr(0) || 's:' || n_name || chr(0) || 'n:' || n_nationkey), 1, 16) as hash from nation",
+    ),
+    "longest_prefix": (
+        q_prefix,
+        "with p as (select distinct regexp_extract(url, '://([^?#]*)', 1) as path from pages where regexp_extract(url, '://([^?#]*)', 1) != '') select path, array_to_string(string_split(path, '/')[1:2], '/') as prefix from p",
+    ),
+    "glob_match": (
+        lambda s, d: R.glob_match(table(s, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("file")).distinct(), {"english": "**/en/*", "blog": "blog.*/**"}),
+        "with p as (select distinct regexp_extract(url, '://([^?#]*)', 1) as file from pages) select 'english' as pattern, file from p where regexp_full_match(file, '(.*/)?en/[^/]*') union all select 'blog', file from p where regexp_full_match(file, 'blog\\.[^/]*/.*')",
+    ),
+    "shared_edges": (
+        lambda s, d: R.shared_edges(table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_nationkey").alias("name")), table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_nationkey").alias("name")), "name"),
+        "select 's' || s_suppkey as src, 'c' || c_custkey as dst, s_nationkey as name from supplier join customer on s_nationkey = c_nationkey",
+    ),
+    "export_confidence": (
+        q_export,
+        "with u as (select l_partkey as p, l_returnflag as f from lineitem where l_quantity >= 50) select p_partkey as symbol, case when p_partkey in (select p from u where f = 'R') then 'used' when p_partkey in (select p from u where f = 'A') then 'test-only' when p_partkey in (select p from u where f = 'N') then 'possibly-dynamic' when p_size > 25 then 'local-only' else 'safe-to-remove' end as confidence from part",
+    ),
+    "dependency_gaps": (
+        lambda s, d: R.dependency_gaps(table(s, d, "part").select(F.col("p_partkey").alias("package")), table(s, d, "lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("package"))),
+        "select p_partkey as package, 'unused' as gap from part where p_partkey not in (select l_partkey from lineitem where l_quantity = 1) union all select distinct l_partkey, 'missing' from lineitem where l_quantity = 1 and l_partkey not in (select p_partkey from part)",
+    ),
+    "state_gaps": (
+        lambda s, d: R.state_gaps(table(s, d, "part").select(F.col("p_brand").alias("concept"), F.col("p_type").alias("state")), table(s, d, "part").where("p_size > 10").select(F.col("p_brand").alias("concept"), F.col("p_type").alias("state"))),
+        "select p_brand as concept, p_type as state from part except select p_brand, p_type from part where p_size > 10",
+    ),
+    "migration_order": (
+        lambda s, d: R.migration_order(table(s, d, "nation").select(F.concat("n_nationkey", F.lit("_create.sql")).alias("file"), F.col("n_name").alias("name")), table(s, d, "nation").alias("a").join(table(s, d, "nation").alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(F.col("a.n_name").alias("src"), F.col("b.n_name").alias("dst"))),
+        "select a.n_name as src, b.n_name as dst from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
+    ),
+    "naming_violations": (
+        q_naming,
+        "select 'one-word' as rule, p_name as name from (select distinct p_name from part) where not regexp_full_match(p_name, '[a-z]+') union all select 'no-ring', p_name from (select distinct p_name from part) where p_name like '%ring%'",
+    ),
+    "top_per_group": (
+        lambda s, d: R.top_per_group(table(s, d, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], [F.desc("p_size"), F.col("p_partkey")], 3),
+        "select p_brand, p_partkey, p_size from part qualify row_number() over (partition by p_brand order by p_size desc, p_partkey) <= 3",
+    ),
+    "telemetry_savings": (q_savings, SAVINGS),
+    "edge_type_pivot": (
+        lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0),
+        'select l_suppkey, count(*) filter (l_returnflag = \'A\') as "A", count(*) filter (l_returnflag = \'N\') as "N", count(*) filter (l_returnflag = \'R\') as "R" from lineitem group by 1',
+    ),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for name, (q, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
