@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, datalog, graphs
+from . import analytics, datalog, graphs, structures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return datalog.queries() | analytics.queries() | graphs.queries()
+    return datalog.queries() | analytics.queries() | graphs.queries() | structures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return datalog.oracle_sql() | analytics.oracle_sql() | graphs.oracle_sql()
+    return datalog.oracle_sql() | analytics.oracle_sql() | graphs.oracle_sql() | structures.oracle_sql()
