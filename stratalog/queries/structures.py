@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -197,7 +198,7 @@ CODES_SQL = """select p_partkey, cast((least(p_size % 20, 15) << 8) | ((p_partke
 def q_squares(s: SparkSession, d: str) -> DataFrame:
     """Line price by quantity, in whole thousandths."""
     fit = T.least_squares(table(s, d, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return s.createDataFrame([(int(fit["l_quantity"] * 10 + 0.5),)], "slope_x10 bigint")
+    return s.createDataFrame([(math.floor(fit["l_quantity"] * 10 + 0.5),)], "slope_x10 bigint")
 
 
 def q_recall(s: SparkSession, d: str) -> DataFrame:
