@@ -1,6 +1,7 @@
 """Rule texts over extracted facts: input relations, checks of source structure, and checks of what a run has shown."""
 
 from .corpus import rule_names, static_program, static_text
+from .extraction import extraction_program, extraction_text
 from .runtime import runtime_program, runtime_text
 
-__all__ = ["rule_names", "runtime_program", "runtime_text", "static_program", "static_text"]
+__all__ = ["extraction_program", "extraction_text", "rule_names", "runtime_program", "runtime_text", "static_program", "static_text"]

@@ -149,3 +149,26 @@ def test_cycle_example(spark):
     rows = {("src/a.ts", "cycle-1", "false"), ("src/b.ts", "cycle-1", "false")}
     assert len(evaluate(spark, program, frames(spark, program, {"CycleNode": rows})).rows("Violation")) == 2
     assert len(evaluate(spark, program, frames(spark, program, {"CycleNode": {(*r[:2], "true") for r in rows}})).rows("Violation")) == 0
+
+
+def test_extraction_rules():
+    """Each rule fires on facts made for it; test files and exempted lines fall silent where the rule says so."""
+    from stratalog.rules import extraction_program
+
+    program = extraction_program()
+    assert len(program.rules) == 43 and not any(naive(program, {})[rel] for rel in program.outputs)
+    for rule in program.rules:
+        facts, env = fired(program, rule)
+        head = tuple(env[t.name] if isinstance(t, Var) else t.value for t in rule.head.terms)
+        assert head in naive(program, facts)[rule.head.rel], rule
+        for atom in rule.negative:
+            blocked = tuple(env[t.name] if isinstance(t, Var) else t.value for t in atom.terms)
+            assert head not in naive(program, facts | {atom.rel: {*facts.get(atom.rel, ()), blocked}})[rule.head.rel], (rule, atom)
+
+
+def test_timeout_example(spark):
+    from stratalog.rules import extraction_program
+
+    program = extraction_program()
+    facts = {"NumericLiteralAst": {("a.ts", 1, "30000", 30000, "CallExpression", "setInterval", 1, 0, 0, 0), ("b.test.ts", 2, "5000", 5000, "CallExpression", "setInterval", 1, 0, 0, 0)}, "TimeoutFnName": {("setInterval",)}, "FileTag": {("b.test.ts", "test")}}
+    assert evaluate(spark, program, frames(spark, program, facts)).rows("MagicNumber") == [("a.ts", 1, "30000", "setInterval", "timeout")]
