@@ -339,4 +339,5 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5
     linked = connected_components(similar_links(nodes, similarity))
     dropped = linked.where("node != root").select("node")
     kept = nodes.join(dropped, "node", "left_anti").select(F.col("node").alias(number))
-    return marked.join(kept, number, "left_semi").select(*docs.columns)
+    # what is kept grows with the input: the same join at every size, never a broadcast
+    return marked.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)
