@@ -119,11 +119,14 @@ def compression_distance(df: DataFrame, id_col: str, name: str, text: str, bucke
     return joint.where(ncd <= most).select(F.col("ia").alias("a"), F.col("ib").alias("b"), thousandths(ncd).alias("ncd_x1000"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at floor(n p) of the sorted values of a group, 0 for none."""
-    ordered = F.array_sort(F.collect_list(values))
-    n = F.size(ordered)
-    return F.when(n > 0, F.get(ordered, F.least(n - 1, F.floor(n * F.lit(p)).cast("int")))).otherwise(0)
+def nearest_rank(values: str, p: float, kind: str = "bigint") -> Column:
+    """The value at floor(n p) of the sorted values of a group, for p below 1; 0 for none.
+
+    percentile_disc takes the value at ceil(n p), counted from one, and p is
+    raised a little for the case that n p is whole. It counts equal values before the
+    shuffle and holds distinct ones only, so a group may have any number of rows.
+    """
+    return F.coalesce(F.expr(f"percentile_disc({p + 1e-12!r}D) within group (order by `{values}`)").cast(kind), F.lit(0).cast(kind))
 
 
 def max_coverage(sets: DataFrame, candidate: str, item: str, weight: str, budget: int = 5) -> DataFrame:
@@ -148,8 +151,9 @@ def max_coverage(sets: DataFrame, candidate: str, item: str, weight: str, budget
 
 def timing_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, mean, median, p95, sigma_x1000, spread_x1000) of repeated runs."""
+    kind = df.schema[value].dataType.simpleString()
     g = df.groupBy(key).agg(
-        F.count("*").alias("n"), F.avg(value).alias("m"), nearest_rank(F.col(value), 0.5).alias("median"), nearest_rank(F.col(value), 0.95).alias("p95"), F.stddev_pop(value).alias("s")
+        F.count("*").alias("n"), F.avg(value).alias("m"), nearest_rank(value, 0.5, kind).alias("median"), nearest_rank(value, 0.95, kind).alias("p95"), F.stddev_pop(value).alias("s")
     )
     return g.select(key, "n", thousandths(F.col("m")).alias("mean_x1000"), "median", "p95", thousandths(F.col("s")).alias("sigma_x1000"), thousandths(F.ln(F.col("p95") + 1) / F.ln(F.col("median") + 1)).alias("spread_x1000"))
 

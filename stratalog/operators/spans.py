@@ -34,13 +34,13 @@ def sql_table(statement: Column) -> Column:
 def symbols_touched(spans: DataFrame, root: str = "") -> DataFrame:
     file, fn = symbol(root)
     s = spans.select(file.alias("file"), fn.alias("fn"), "duration_ms").where("file is not null and fn is not null")
-    return s.groupBy("file", "fn").agg(F.count("*").alias("count"), nearest_rank(F.col("duration_ms"), 0.95).alias("p95"))
+    return s.groupBy("file", "fn").agg(F.count("*").alias("count"), nearest_rank("duration_ms", 0.95).alias("p95"))
 
 
 def route_hits(spans: DataFrame) -> DataFrame:
     """Grouped by the raw path and reported without the query string, so a reported path can come twice."""
     s = spans.select(attribute("http.request.method", "http.method").alias("method"), attribute("http.route", "url.path", "http.target").alias("raw"), attribute("http.response.status_code", "http.status_code").cast("bigint").alias("status"), "duration_ms")
-    g = s.where("method is not null and raw is not null").groupBy("method", "raw", "status").agg(F.count("*").alias("count"), nearest_rank(F.col("duration_ms"), 0.95).alias("p95"))
+    g = s.where("method is not null and raw is not null").groupBy("method", "raw", "status").agg(F.count("*").alias("count"), nearest_rank("duration_ms", 0.95).alias("p95"))
     return g.select("method", F.substring_index("raw", "?", 1).alias("path"), F.coalesce("status", F.lit(0)).alias("status"), "count", "p95")
 
 

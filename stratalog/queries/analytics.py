@@ -297,11 +297,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         select kind, key, case when max(sd) > 0 then cast(floor(avg(ln(1 + step / nullif(sd, 0))) * 1000) as bigint) else 0 end as lambda_x1000 from l group by 1, 2 having count(*) filter (mean > 0) >= 5""",
     ),
     "series_log_latency": (
-        lambda s, d: S.log_latency(_events(s, d).groupBy("user_id").agg(F.count("*").alias("n"), V.nearest_rank(F.col("cents"), 0.95).alias("p95")), "user_id", "p95", "n"),
+        lambda s, d: S.log_latency(_events(s, d).groupBy("user_id").agg(F.count("*").alias("n"), V.nearest_rank("cents", 0.95).alias("p95")), "user_id", "p95", "n"),
         f"select user_id, cast(floor(ln({_p95(CENTS)} + 1) * 1000 + 0.5) as bigint) as log_x1000 from events group by 1 having count(*) >= 3",
     ),
     "percentile_nearest_rank": (
-        lambda s, d: _events(s, d).groupBy("event_type").agg(V.nearest_rank(F.col("cents"), 0.95).alias("p95")),
+        lambda s, d: _events(s, d).groupBy("event_type").agg(V.nearest_rank("cents", 0.95).alias("p95")),
         f"select event_type, {_p95(CENTS)} as p95 from events group by 1",
     ),
     "entropy": (
