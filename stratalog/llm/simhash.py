@@ -193,140 +193,196 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 #
 # Two bits suffice for texts that differ in a word or two. For a stated similarity of shingle
 # sets, fingerprints are wider, and shards are drawn on sampled bits: a pair of Jaccard
-# similarity s differs in a bit with probability acos(2s / (1 + s)) / pi.
+# similarity s differs in a bit with probability acos(2s / (1 + s)) / pi. Fingerprints only
+# name candidates; what links is the Jaccard similarity of the sets themselves.
 
 WIDE = 512
-TABLES, KEY_BITS = 64, 20
+TABLES, KEY_BITS = 64, 12
 _WAYS = np.random.default_rng(5)
 #: Bits that make up the key of each table.
 SAMPLED = np.stack([_WAYS.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
-SHARD_MEMBERS = 4096
+#: Runs up to this length are compared by shifting whole batches, longer ones row by row.
+SHORT_RUN = 128
 
 
 def wide_radius(similarity: float, bits: int = WIDE) -> int:
-    """Three in four pairs of just this Jaccard similarity of their shingle sets differ in so many bits at most, and nearly all of 0.05 more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 0.67 * np.sqrt(bits * p * (1 - p)))
+    """Three standard deviations above the bits in which a pair of just this Jaccard similarity differs.
 
+    Sets of a few shingles tie more often than the formula for large ones says: four and five of
+    similarity 0.8 differ in 0.1875 of the bits, not in 0.1515, the most of all sizes. A quarter more covers them.
+    """
+    p = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + 3 * np.sqrt(bits * p * (1 - p))))
 
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """512-bit SimHash over the set of word shingles; all zeros for a text without words."""
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; none for a text without words."""
     words = lower_words(text)
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     join, digest = b" ".join, xxhash.xxh64_intdigest
     shingles = {join(s) for s in zip(*(words[i:] for i in range(width)), strict=False)} if len(words) > width else {join(words)}
-    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+    return np.unique(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """512-bit SimHash over the set of word shingles, then 128 bits that tell sets apart; zeros first for a text without words."""
+    hashes = shingle_set(text, width)
     ones = np.zeros(WIDE, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
         wide = np.stack([mix(part + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))) for k in range(WIDE // 64)], 1).astype("<u8")
         ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes() + xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp) to (key, node, fp) for each table."""
+    """(node, fp, other columns) to (key, node, fp, other columns) for each table; the lowest bit of a key is left free."""
     powers = 1 << np.arange(KEY_BITS, dtype=np.int64)
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            node, fp = part.column(0), part.column(1)
-            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
-            keys = np.stack([bits[:, SAMPLED[t]] @ powers + (t << KEY_BITS) for t in range(TABLES)], 1).ravel()
+            bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+            keys = np.stack([bits[:, SAMPLED[t]] @ powers + (t << KEY_BITS) for t in range(TABLES)], 1).ravel() << 1
             back = pa.array(np.repeat(np.arange(part.num_rows), TABLES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), node.take(back), fp.take(back)], names=["key", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(back) for c in part.columns)], names=["key", *part.schema.names])
+
+
+def _near_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows within the radius that share a key but for its lowest bit; where a shard has both values of that bit, pairs across it. Keys are sorted."""
+    side, base = keys & 1, keys >> 1
+    starts = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(keys))
+    lengths = ends - starts
+    short = lengths <= SHORT_RUN
+    crossed = side[starts] != side[ends - 1] if len(keys) else short
+    end, cross = np.repeat(np.where(short, ends, 0), lengths), np.repeat(crossed, lengths)
+    rows = np.arange(len(keys))
+    for step in range(1, SHORT_RUN):
+        rows = rows[end[rows] > rows + step]
+        if not len(rows):
+            break
+        near = np.bitwise_count(fps[rows] ^ fps[rows + step]).sum(1, dtype=np.uint16) <= radius
+        a = rows[near]
+        a = a[~cross[a] | (side[a] != side[a + step])]
+        yield a, a + step
+    for start, stop, cross_run in zip(starts[~short].tolist(), ends[~short].tolist(), crossed[~short].tolist(), strict=True):
+        middle = start + int(np.searchsorted(side[start:stop], 1)) if cross_run else stop
+        for i in range(start, middle):
+            first = middle if cross_run else i + 1
+            b = first + np.flatnonzero(np.bitwise_count(fps[first:stop] ^ fps[i]).sum(1, dtype=np.uint16) <= radius)
+            yield np.full(len(b), i), b
+
+
+def _pairs_of(radius: int, keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, classes: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Rows (src, dst): of every node its least neighbour, or with classes all pairs of neighbours of different ones."""
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    for a, b in _near_rows(keys, fps, radius):
+        if classes is None:
+            np.minimum.at(least, a, nodes[b])
+            np.minimum.at(least, b, nodes[a])
+        else:
+            apart = classes[a] != classes[b]
+            yield np.stack([nodes[a[apart]], nodes[b[apart]]], 1)
+    if classes is None:
+        some = least < np.iinfo(np.int64).max
+        yield np.stack([nodes[some], least[some]], 1)
 
 
-class Shard:
-    """Single-link classes of one shard: a BK-tree of leaders, each with the values close around it.
+def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of (key, node, fp) or (key, node, fp, class) sorted by key, one whole shard after another."""
+    held: list[np.ndarray] | None = None
 
-    A value within half the radius of a leader joins it and stays out of the tree. A new value
-    searches the tree up to one and a half times the radius; a leader beyond the radius itself may
-    still have a member within it, so its members are tried. A dense shard thus has few leaders and
-    costs time in proportion to its values. Beyond SHARD_MEMBERS, members are no longer remembered,
-    only leaders, so that memory is bounded too.
+    def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for pairs in _pairs_of(radius, *columns[:3], columns[3] if len(columns) > 3 else None):
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["src", "dst"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps, *(c.to_numpy() for c in batch.columns[3:])]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        last = int(np.searchsorted(held[0], held[0][-1] >> 1 << 1))  # where the shard begins that the next batch may go on with
+        yield from out([x[:last] for x in held])
+        held = [x[last:] for x in held]
+    if held:
+        yield from out(held)
+
+
+def candidate_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Distinct pairs (src < dst) of nodes (node long, fp binary, perhaps class long) within the radius that share a shard.
+
+    Each of 64 tables shards the fingerprints by 12 of their 512 bits. By
+    calculation a pair of similarity 0.8 shares one with probability 0.9999,
+    and one of four and five shingles, the worst case, with 0.996. Of
+    every node in a shard its least neighbour is named, or, where nodes have a
+    class, all neighbours of other classes.
     """
+    names, kinds = nodes.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    assert names[:2] == ["node", "fp"]
+    keyed = nodes.mapInArrow(_keyed, f"key long, {kinds}")
+    return keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(radius, batches), "src long, dst long").distinct()
 
-    def __init__(self, radius: int):
-        self.radius, self.tree = radius, BKTree()
-        self.nodes: list[int] = []
-        self.members: list[list[int]] = []
-        self.parent: list[int] = []
-        self.held = 0
 
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets (node, hashes: sorted 64-bit numbers as binary) have this Jaccard similarity or more."""
 
-    def add(self, node: int, value: int) -> Iterator[tuple[int, int]]:
-        near = self.tree.near(value, self.radius + self.radius // 2)
-        near = sorted(((self.tree.values[i] ^ value).bit_count(), i) for i in near)
-        joined: set[int] = set()
-        for d, i in near:
-            if (root := self.root(i)) not in joined and (d <= self.radius or any((m ^ value).bit_count() <= self.radius for m in self.members[i])):
-                joined.add(root)
-                yield self.nodes[i], node
-        if near and near[0][0] <= self.radius // 2:
-            home = self.root(near[0][1])
-            if self.held < SHARD_MEMBERS:
-                self.members[near[0][1]].append(value)
-                self.held += 1
-        else:
-            home = len(self.parent)
-            self.tree.add(value)
-            self.nodes.append(node)
-            self.members.append([])
-            self.parent.append(home)
-        for r in joined:
-            self.parent[r] = home
-
-
-def _similar(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal keys; keys that stand alone are passed over without leaving Arrow."""
-    shard, last, before = None, None, None
-    for batch in batches:
-        keys, found = batch.column(0).to_numpy(), []
-        same = keys[1:] == keys[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        if len(keys):
-            shared[0] |= keys[0] == last
-            shared[-1] = True  # the next batch may go on with it
-        rows = np.flatnonzero(shared)
-        taken = pa.array(rows)
-        for key, node, fp in zip(keys[rows].tolist(), batch.column(1).take(taken).to_pylist(), batch.column(2).take(taken).to_pylist(), strict=True):
-            if key != before:
-                shard, before = Shard(radius), key
-            found += shard.add(node, int.from_bytes(fp, "little"))
-        last = keys[-1] if len(keys) else last
-        both = np.array(found, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["src", "dst"])
-
-
-def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (src, dst) among nodes (node long, fp binary) with an estimated Jaccard similarity of ``similarity`` or more.
-
-    Each of 64 tables shards the fingerprints by 20 of their 512 bits. A pair
-    of similarity 0.8 shares a shard in one table at least with probability
-    0.91, one of 0.85 with 0.98, one of 0.9 with 0.999. Shards are streamed in
-    key order, so their size bounds no memory.
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
+                own.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["src", "dst"]).filter(pa.array(own, pa.bool_()))
+
+    first = sets.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
+    second = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
+    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "a", "b").mapInArrow(holds, "src long, dst long")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """Links (src, dst) among nodes (node long, fp binary) that connect what candidate pairs of this Jaccard similarity or more connect.
+
+    Candidates are checked on the shingle sets of their texts (node, text),
+    in two rounds: first those of every node with its least neighbour, which
+    join most of a group of any size at a row for each member and table; then
+    all pairs between the classes so found. A pair is left out only where both
+    ends are linked already.
     """
     radius = wide_radius(similarity)
-    keyed = nodes.select("node", "fp").mapInArrow(_keyed, "key long, node long, fp binary")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _similar(radius, batches), "src long, dst long").distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                hashes = [shingle_set(t.as_py(), width).astype("<u8").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+
+    pairs = store(candidate_pairs(nodes, radius), "candidates")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = store(texts.join(ends, "node", "left_semi").mapInArrow(hashed, "node long, hashes binary"), "sets")
+    links = cut(alike(pairs, sets, similarity))
+    classes = connected_components(links).withColumnRenamed("node", "_node")
+    left = nodes.join(ends, "node", "left_semi").join(classes, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("root", "node").alias("class"))
+    more = candidate_pairs(left, radius).join(pairs, ["src", "dst"], "left_anti")
+    return links.unionByName(alike(more, sets, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one of each class of near duplicates: the first in the order of the table.
 
-    Texts are alike if their sets of five-word shingles have an (estimated)
-    Jaccard similarity of 0.8 or more, and classes are closed under that.
-    Null, empty and blank texts are one class. No id is needed: null, repeated
-    or missing ids and any other columns do not matter.
+    Texts are alike if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, and classes are closed under that. Fingerprints
+    find the candidates, the sets decide. Null, empty and blank texts are one
+    class. No id is needed: null, repeated or missing ids and any other
+    columns do not matter.
 
-    Rows are written once with number and fingerprint. Equal fingerprints
-    collapse to one node before anything else, and only fingerprints are
-    dealt out by key; a text moves once, when the chosen rows are gathered.
+    Rows are written once with number and fingerprint. Equal sets collapse to
+    one node before anything else, and only fingerprints are dealt out by key;
+    sets move for candidates only, and a text once, when the chosen rows are
+    gathered.
     """
     number, fp = free_names(docs.columns, "_row", "_fp")
 
@@ -336,7 +392,9 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5
 
     marked = store(docs.withColumns({number: F.monotonically_increasing_id(), fp: fingerprints(F.col(text_col))}), "marked")
     nodes = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(number).alias("node")))
-    linked = connected_components(similar_links(nodes, similarity))
+    prints = nodes.select("node", F.substring("fp", 1, WIDE // 8).alias("fp"))
+    texts = marked.select(F.col(number).alias("node"), F.col(text_col).alias("text"))
+    linked = connected_components(similar_links(prints, texts, similarity, width))
     dropped = linked.where("node != root").select("node")
     kept = nodes.join(dropped, "node", "left_anti").select(F.col("node").alias(number))
     return marked.join(kept, number, "left_semi").select(*docs.columns)

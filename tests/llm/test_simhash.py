@@ -124,3 +124,51 @@ def test_near_duplicates_with_edits(spark):
             rows.append((base * 10 + copy, " ".join(own)))
     kept = [r["doc_id"] // 10 for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(set(kept)) == list(range(40)) and len(kept) <= 41
+
+
+def pairs_near(rng, n, low, high, sizes=(60, 200)):
+    """Pairs of texts of invented words, their Jaccard similarity drawn between low and high."""
+    out = []
+    while len(out) < n:
+        size = rng.randrange(*sizes)
+        a = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        b = list(a)
+        for _ in range(rng.randrange(1, 1 + size // 8)):
+            b[rng.randrange(size)] = f"x{rng.randrange(10**9)}"
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if low <= len(x & y) / len(x | y) < high:
+            out += [(" ".join(a), " ".join(b))]
+    return out
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Just above 0.8 all pairs are found, just below it none is."""
+    rng = random.Random(21)
+    pairs = [*pairs_near(rng, 200, 0.8, 0.82), *pairs_near(rng, 200, 0.75, 0.8), *pairs_near(rng, 100, 0.8, 0.85, (9, 40))]
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    sets = {i: shingles(t) for i, t in rows}
+    kept = [r["doc_id"] for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(kept) == sorted(set(alike_components(sets, 0.8).values()))
+
+
+def test_near_duplicates_of_a_chain(spark):
+    """Neighbours alone are alike; the least candidate of many is not, so the second round has to link them."""
+    rng = random.Random(4)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        for _ in range(2):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**9)}"
+    rng.shuffle(rows)
+    sets = {n: shingles(t) for n, (_, t) in enumerate(rows)}
+    data = [(n, t) for n, (_, t) in enumerate(rows)]
+    kept = [r["doc_id"] for r in S.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(kept) == sorted(set(alike_components(sets, 0.8).values()))
+
+
+def test_near_duplicates_are_those_of_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    root = alike_components(sets, 0.8)
+    kept = [r["doc_id"] for r in S.drop_near_duplicates(docs).collect()]
+    assert sorted(root[i] for i in kept) == sorted(set(root.values()))
