@@ -201,6 +201,8 @@ TABLES, KEY_BITS = 64, 12
 _WAYS = np.random.default_rng(5)
 #: Bits that make up the key of each table.
 SAMPLED = np.stack([_WAYS.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
+#: Shards of more rows are compared block by block, in a task for each pair of blocks of about so many.
+SHARD_MEMBERS = 8192
 #: Runs up to this length are compared by shifting whole batches, longer ones row by row.
 SHORT_RUN = 128
 
@@ -236,15 +238,49 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes() + xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp, other columns) to (key, node, fp, other columns) for each table; the lowest bit of a key is left free."""
+def _keys(fps: pa.Array) -> np.ndarray:
+    """A row for each fingerprint, with its shard in each table."""
     powers = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    return np.stack([bits[:, SAMPLED[t]] @ powers + (t << KEY_BITS) for t in range(TABLES)], 1)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp) to the number of rows in each shard of this task."""
+    counts = np.zeros(TABLES << KEY_BITS, np.int64)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            counts += np.bincount(_keys(batch.column(0).slice(i, 2000)).ravel(), minlength=len(counts))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["key", "n"])
+
+
+def _keyed(blocks: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp, other columns) to (key, node, fp, other columns) for each table.
+
+    A shard that is split into blocks has a key for each pair of blocks, to which the rows of both
+    go; the lowest bit tells the second block of a pair, so that each pair of rows meets.
+    """
+    many = np.ones(TABLES << KEY_BITS, np.int64)
+    many[list(blocks)] = list(blocks.values())
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
-            keys = np.stack([bits[:, SAMPLED[t]] @ powers + (t << KEY_BITS) for t in range(TABLES)], 1).ravel() << 1
-            back = pa.array(np.repeat(np.arange(part.num_rows), TABLES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(back) for c in part.columns)], names=["key", *part.schema.names])
+            keys = _keys(part.column(1)).ravel()
+            rows = np.repeat(np.arange(part.num_rows), TABLES)
+            yield _with_keys(keys[many[keys] == 1] << 1, rows[many[keys] == 1], part)
+            split = np.flatnonzero(many[keys] > 1)
+            dealt = mix(part.column(0).to_numpy().astype(np.uint64))
+            for at in (split[i : i + 256] for i in range(0, len(split), 256)):
+                n = many[keys[at]]
+                own = np.repeat((dealt[rows[at]] % n.astype(np.uint64)).astype(np.int64), n)
+                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pair = 1 + np.minimum(own, other) * np.repeat(n, n) + np.maximum(own, other)
+                yield _with_keys((pair * (TABLES << KEY_BITS) + np.repeat(keys[at], n)) << 1 | (own > other), np.repeat(rows[at], n), part)
+
+
+def _with_keys(keys: np.ndarray, rows: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    back = pa.array(rows)
+    return pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(back) for c in part.columns)], names=["key", *part.schema.names])
 
 
 def _near_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -310,18 +346,22 @@ def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield from out(held)
 
 
-def candidate_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, radius: int, members: int = SHARD_MEMBERS) -> DataFrame:
     """Distinct pairs (src < dst) of nodes (node long, fp binary, perhaps class long) within the radius that share a shard.
 
     Each of 64 tables shards the fingerprints by 12 of their 512 bits. By
     calculation a pair of similarity 0.8 shares one with probability 0.9999,
     and one of four and five shingles, the worst case, with 0.996. Of
     every node in a shard its least neighbour is named, or, where nodes have a
-    class, all neighbours of other classes.
+    class, all neighbours of other classes. Shards of more than ``members`` rows, of
+    which there are few, are counted first and split into pairs of blocks, so
+    no task holds more than about twice as many and every pair is compared.
     """
     names, kinds = nodes.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
     assert names[:2] == ["node", "fp"]
-    keyed = nodes.mapInArrow(_keyed, f"key long, {kinds}")
+    sizes = nodes.select("fp").mapInArrow(_sizes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    blocks = {r["key"]: -(-r["n"] // members) for r in sizes.where(F.col("n") > members).collect()}
+    keyed = nodes.mapInArrow(lambda batches: _keyed(blocks, batches), f"key long, {kinds}")
     return keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(radius, batches), "src long, dst long").distinct()
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -172,3 +173,45 @@ def test_near_duplicates_are_those_of_brute_force(spark, sf):
     root = alike_components(sets, 0.8)
     kept = [r["doc_id"] for r in S.drop_near_duplicates(docs).collect()]
     assert sorted(root[i] for i in kept) == sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("members", [8192, 150, 7])
+@pytest.mark.parametrize("classed", [False, True])
+def test_candidates_of_dense_shards(spark, members, classed):
+    """Fingerprints about few centres fill shards well over the limit; every near pair that shares a shard is compared all the same."""
+    rng, radius = random.Random(6), 60
+    prints = []
+    for _ in range(2):
+        centre = rng.getrandbits(512)
+        for _ in range(150):
+            v = centre
+            for _ in range(rng.randrange(50)):
+                v ^= 1 << rng.randrange(512)
+            prints.append(v)
+    keys = [{(t, sum((v >> int(b) & 1) << k for k, b in enumerate(S.SAMPLED[t]))) for t in range(S.TABLES)} for v in prints]
+    near = {(i, j) for i, j in itertools.combinations(range(300), 2) if (prints[i] ^ prints[j]).bit_count() <= radius and keys[i] & keys[j]}
+    rows = [(i, v.to_bytes(64, "little"), *([i % 3] if classed else [])) for i, v in enumerate(prints)]
+    df = spark.createDataFrame(rows, "node long, fp binary" + ", class long" * classed)
+    found = {tuple(r) for r in S.candidate_pairs(df, radius, members).collect()}
+    assert len(near) > 5000
+    if classed:
+        assert found == {(i, j) for i, j in near if i % 3 != j % 3}
+    else:
+        assert found <= near and {i for p in found for i in p} == {i for p in near for i in p}
+        least = {i: min(sum(p) - i for p in near if i in p) for i in {i for p in near for i in p}}
+        assert all(tuple(sorted((i, j))) in found for i, j in least.items())
+
+
+def test_a_late_member_of_a_dense_shard_is_found():
+    """Near a member that came after thousands of others, but not near what they gather around."""
+    rng = np.random.default_rng(2)
+    centre = np.zeros(512, np.uint8)
+    rows = np.repeat(centre[None], 4300, 0)
+    for row in rows[1:]:
+        row[rng.choice(400, 10, replace=False)] ^= 1
+    rows[-2, 400:430] ^= 1
+    rows[-1, 400:512] ^= 1
+    fps = np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
+    radius = int((rows[-1] ^ rows[-2]).sum())
+    pairs = {(int(x), int(y)) for a, b in S._near_rows(np.zeros(4300, np.int64), fps, radius) for x, y in zip(a[a >= 4290], b[a >= 4290], strict=True)}
+    assert (4298, 4299) in pairs and (rows[-1] ^ rows[0]).sum() > radius
