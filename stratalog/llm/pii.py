@@ -83,24 +83,37 @@ LATE = [d for d in map(DAY0.__add__, map(dt.timedelta, range(DAYS))) if d.day >
 LATE_AT = {(d - DAY0).days: i for i, d in enumerate(LATE)}
 
 
+#: Length of an IBAN by country: where groups are spaced, it tells where the number ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+SPACED_IBAN = "|".join(
+    rf"(?:{'|'.join(names.split())})\d\d(?:[ ][A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[ ][A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_LENGTHS.items()
+)
+
+
 class Pseudonyms:
     """Finds and replaces the personal data of texts under one key; ``by`` -1 undoes it."""
 
     KINDS = ("email", "secret", "iban", "card", "date", "ssn", "phone", "ip")
     #: Every alternative starts where no character of its kind comes before, and repeats within limits: time stays linear.
     PATTERN = re.compile(
-        r"""(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))
-        |(?P<lead>(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|api[_\- ]?key|access[_\- ]?key)[ ]?[:=][ ]?["']?))(?P<secret>[A-Za-z0-9_\-]{16,128})(?![A-Za-z0-9_\-])
-        |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9]))
-        |(?<!\d)(?<!\d[.,\-])(?:
-          (?P<card>\d{13,19}|\d{4}(?P<sep>[ \-])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}(?P<sep2>[ \-])\d{6}(?P=sep2)\d{5})
+        rf"""(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9]))
+        |(?P<lead>(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|api[_\- ]?key|access[_\- ]?key)[ ]?[:=][ ]?["']?))(?P<secret>[A-Za-z0-9_\-]{{16,128}})(?![A-Za-z0-9_\-])
+        |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![A-Za-z0-9]))
+        |(?P<iban2>(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d[ ])(?:{SPACED_IBAN})(?![A-Za-z0-9]))
+        |(?<!\d)(?<!\d[.\-])(?:
+          (?P<card>\d{{13,19}}|\d{{4}}(?P<sep>[ \-])\d{{4}}(?P=sep)\d{{4}}(?P=sep)\d{{4}}|\d{{4}}(?P<sep2>[ \-])\d{{6}}(?P=sep2)\d{{5}})
           |(?P<date>(?:19|20)\d\d(?P<dash>[\-/.])\d\d(?P=dash)\d\d|\d\d(?P<slash>[\-/.])\d\d(?P=slash)(?:19|20)\d\d)
-          |(?P<ssn>\d{3}-\d{2}-\d{4})
-          |(?P<phone2>\d{3}[\-. ]\d{3}[\-.]\d{4})
-          |(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})
+          |(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})
+          |(?P<phone4>1[\-. ]\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}})
+          |(?P<phone2>\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}})
+          |(?P<ip>\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}})
         )(?!\d)(?![.\-]\d)
-        |(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d))
-        |(?P<phone3>\(\d{3}\)[ ]?\d{3}[\-. ]\d{4}(?!\d))""",
+        |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .\-]?(?:\(\d{{2,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}(?!\d))
+        |(?P<phone3>\(\d{{3}}\)[ ]?\d{{3}}[\-. ]\d{{4}}(?!\d))""",
         re.VERBOSE | re.ASCII,
     )
     HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
@@ -180,6 +193,10 @@ class Pseudonyms:
         country, rest = value[:2], self.characters("iban" + value[:2], value[4:])
         return f"{country}{98 - _mod97(f'{country}00{rest}'):02d}{rest}"
 
+    def iban2(self, value: str) -> str | None:
+        new = self.iban(value.replace(" ", ""))
+        return new and " ".join(new[i : i + 4] for i in range(0, len(new), 4))
+
     def date(self, value: str) -> str | None:
         first = value[4] in "-/."
         sep = value[4 if first else 2]
@@ -216,6 +233,10 @@ class Pseudonyms:
 
     phone2 = phone3 = phone
 
+    def phone4(self, value: str) -> str | None:
+        """With the country's 1 in front: the same pseudonym as without."""
+        return value[:2] + self.phone(value[2:])
+
     def ip(self, value: str) -> str | None:
         octets = value.split(".")
         if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
@@ -238,9 +259,13 @@ class Pseudonyms:
                     self.known.clear()
                 self.known[at] = getattr(self, kind)(value)
             out = self.known[at]
+            if out is None and kind == "iban2":  # what only looks like one may hold other values in its groups
+                rest, more = self.replace(value[5:])
+                found.update(more)
+                return value[:5] + rest
             if out is None:
                 return m[0]
-            found[kind.rstrip("23")] += 1
+            found[kind.rstrip("234")] += 1
             return (m["lead"] or "") + out
 
         return self.PATTERN.sub(new, text), found
@@ -251,8 +276,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
 
     Kinds: e-mail addresses; secrets after a word that announces them; IBANs
     (mod 97), payment cards (Luhn), calendar dates from 1900 to 2099, US
-    social security numbers, telephone numbers and IPv4 addresses. What looks
-    like one of them but fails its validation stays as it is. Null and empty
+    social security numbers, telephone numbers and IPv4 addresses. Values may
+    follow a digit and a comma, as in lists and CSV; a digit and a dot or dash
+    before a number, or a dot or dash and a digit after it, make it part of a
+    longer one, which is none of these kinds. IBANs may be spaced in fours.
+    What looks like one of them but fails its validation stays as it is. Null and empty
     texts stay null and empty; all other columns and all rows pass through, and
     the names of the new columns step aside for columns of the same name.
     ``undo`` with the same key brings the texts back: a pseudonym is as valid

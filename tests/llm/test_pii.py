@@ -114,3 +114,40 @@ def test_hard_rows(spark):
     assert P.pseudonymise(empty_docs(spark), KEY)[0].count() == 0
     with pytest.raises(ValueError):
         P.Pseudonyms(b"")
+
+
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("42,4111111111111111,x", ["4111111111111111"]),
+        ("42,123-45-6789", ["123-45-6789"]),
+        ("7,2021-03-04,z", ["2021-03-04"]),
+        ("1,192.168.0.1,2", ["192.168.0.1"]),
+        ("123-45-6789,987-65-4321,899-99-9999", ["123-45-6789", "899-99-9999"]),
+        ("4111111111111111,5500005555555559", ["4111111111111111", "5500005555555559"]),
+        ("8.8.8.8,1.1.1.1", ["8.8.8.8", "1.1.1.1"]),
+        ("415-555-2671,415-555-2672", ["415-555-2671", "415-555-2672"]),
+        ("9,1-555-123-4567", ["1-555-123-4567"]),
+        ("call 1 555 123 4567", ["1 555 123 4567"]),
+        ("call 555 123 4567 now", ["555 123 4567"]),
+        ("DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+        ("to GB82 WEST 1234 5698 7654 32 NOW", ["GB82 WEST 1234 5698 7654 32"]),
+        ("BE68 5390 0754 7034 4111 1111 1111 1111", ["BE68 5390 0754 7034", "4111 1111 1111 1111"]),
+        ("AT12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ],
+)
+def test_values_in_lists_and_spaced(text, values):
+    out, found = P.Pseudonyms(KEY).replace(text)
+    assert found.total() == len(values) and not any(v in out for v in values)
+    assert P.Pseudonyms(KEY, -1).replace(out)[0] == text
+
+
+@pytest.mark.parametrize("text", ["3.4111111111111111", "5-123-45-6789", "1.2.3.4.5", "DE89 3704 0044 0532 0130 01", "2021-03-04-05", "1,4111111111111112"])
+def test_continuations_and_false_values_stay(text):
+    assert P.Pseudonyms(KEY).replace(text)[0] == text
+
+
+def test_spaced_values_are_the_same_person():
+    own = P.Pseudonyms(KEY)
+    assert own.iban2("DE89 3704 0044 0532 0130 00").replace(" ", "") == own.iban("DE89370400440532013000")
+    assert own.phone4("1-415-555-2671") == "1-" + own.phone("415-555-2671")
