@@ -331,7 +331,7 @@ def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for pairs in _pairs_of(radius, *columns[:3], columns[3] if len(columns) > 3 else None):
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -352,8 +352,8 @@ def candidate_pairs(nodes: DataFrame, radius: int, members: int = SHARD_MEMBERS)
     Each of 64 tables shards the fingerprints by 12 of their 512 bits. By
     calculation a pair of similarity 0.8 shares one with probability 0.9999,
     and one of four and five shingles, the worst case, with 0.996. Of
-    every node in a shard its least neighbour is named, or, where nodes have a
-    class, all neighbours of other classes. Shards of more than ``members`` rows, of
+    every node its least neighbour is named, or, where nodes have a class, all
+    neighbours of other classes. Shards of more than ``members`` rows, of
     which there are few, are counted first and split into pairs of blocks, so
     no task holds more than about twice as many and every pair is compared.
     """
@@ -362,24 +362,20 @@ def candidate_pairs(nodes: DataFrame, radius: int, members: int = SHARD_MEMBERS)
     sizes = nodes.select("fp").mapInArrow(_sizes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     blocks = {r["key"]: -(-r["n"] // members) for r in sizes.where(F.col("n") > members).collect()}
     keyed = nodes.mapInArrow(lambda batches: _keyed(blocks, batches), f"key long, {kinds}")
-    return keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(radius, batches), "src long, dst long").distinct()
+    pairs = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(radius, batches), "src long, dst long")
+    if "class" not in names:
+        pairs = pairs.groupBy("src").agg(F.min("dst").alias("dst"))
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets (node, hashes: sorted 64-bit numbers as binary) have this Jaccard similarity or more."""
-
-    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
-                own.append(both >= similarity * (len(a) + len(b) - both))
-            yield batch.select(["src", "dst"]).filter(pa.array(own, pa.bool_()))
-
+    """The pairs whose sets (node, hashes: distinct numbers) have this Jaccard similarity or more; a row at a time, as sets may be long."""
     first = sets.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
     second = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
-    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "a", "b").mapInArrow(holds, "src long, dst long")
+    a, b, both = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
+    near = F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+    held = pairs.join(first, "src").join(second, "dst")
+    return held.where(F.when(near, both >= (a + b - both) * F.lit(similarity)).otherwise(False)).select("src", "dst")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -387,7 +383,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, w
 
     Candidates are checked on the shingle sets of their texts (node, text),
     in two rounds: first those of every node with its least neighbour, which
-    join most of a group of any size at a row for each member and table; then
+    join most of a group of any size at a row for each member; then
     all pairs between the classes so found. A pair is left out only where both
     ends are linked already.
     """
@@ -395,14 +391,14 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, w
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                hashes = [shingle_set(t.as_py(), width).astype("<u8").tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                hashes = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     pairs = store(candidate_pairs(nodes, radius), "candidates")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = store(texts.join(ends, "node", "left_semi").mapInArrow(hashed, "node long, hashes binary"), "sets")
+    sets = store(texts.join(ends, "node", "left_semi").mapInArrow(hashed, "node long, hashes array<long>"), "sets")
     links = cut(alike(pairs, sets, similarity))
     classes = connected_components(links).withColumnRenamed("node", "_node")
     left = nodes.join(ends, "node", "left_semi").join(classes, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("root", "node").alias("class"))
