@@ -16,7 +16,7 @@ from stratalog.llm.packing import pack_documents
 from stratalog.llm.pii import pseudonymise
 from stratalog.llm.quality_classifier import drop_low_quality
 from stratalog.llm.queries import PSEUDONYM_KEY, table
-from stratalog.llm.simhash import drop_near_duplicates
+from stratalog.llm.similar import drop_near_duplicates
 from stratalog.session import store
 
 

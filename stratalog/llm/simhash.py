@@ -186,251 +186,3 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     best = tied.groupBy("_root").agg(F.min("_least").alias("component_id"))
     classes = tied.join(best, "_root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-
-# --- similarity above a threshold ---------------------------------------------------------
-#
-# Two bits suffice for texts that differ in a word or two. For a stated similarity of shingle
-# sets, fingerprints are wider, and shards are drawn on sampled bits: a pair of Jaccard
-# similarity s differs in a bit with probability acos(2s / (1 + s)) / pi. Fingerprints only
-# name candidates; what links is the Jaccard similarity of the sets themselves.
-
-WIDE = 512
-TABLES, KEY_BITS = 64, 12
-_WAYS = np.random.default_rng(5)
-#: Bits that make up the key of each table.
-SAMPLED = np.stack([_WAYS.choice(WIDE, KEY_BITS, replace=False) for _ in range(TABLES)])
-#: Shards of more rows are compared block by block, in a task for each pair of blocks of about so many.
-SHARD_MEMBERS = 8192
-#: Runs up to this length are compared by shifting whole batches, longer ones row by row.
-SHORT_RUN = 128
-
-
-def wide_radius(similarity: float, bits: int = WIDE) -> int:
-    """Three standard deviations above the bits in which a pair of just this Jaccard similarity differs.
-
-    Sets of a few shingles tie more often than the formula for large ones says: four and five of
-    similarity 0.8 differ in 0.1875 of the bits, not in 0.1515, the most of all sizes. A quarter more covers them.
-    """
-    p = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * p + 3 * np.sqrt(bits * p * (1 - p))))
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; none for a text without words."""
-    words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    join, digest = b" ".join, xxhash.xxh64_intdigest
-    shingles = {join(s) for s in zip(*(words[i:] for i in range(width)), strict=False)} if len(words) > width else {join(words)}
-    return np.unique(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
-
-
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """512-bit SimHash over the set of word shingles, then 128 bits that tell sets apart; zeros first for a text without words."""
-    hashes = shingle_set(text, width)
-    ones = np.zeros(WIDE, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)]
-        wide = np.stack([mix(part + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))) for k in range(WIDE // 64)], 1).astype("<u8")
-        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes() + xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
-
-
-def _keys(fps: pa.Array) -> np.ndarray:
-    """A row for each fingerprint, with its shard in each table."""
-    powers = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    return np.stack([bits[:, SAMPLED[t]] @ powers + (t << KEY_BITS) for t in range(TABLES)], 1)
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp) to the number of rows in each shard of this task."""
-    counts = np.zeros(TABLES << KEY_BITS, np.int64)
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            counts += np.bincount(_keys(batch.column(0).slice(i, 2000)).ravel(), minlength=len(counts))
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["key", "n"])
-
-
-def _keyed(blocks: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp, other columns) to (key, node, fp, other columns) for each table.
-
-    A shard that is split into blocks has a key for each pair of blocks, to which the rows of both
-    go; the lowest bit tells the second block of a pair, so that each pair of rows meets.
-    """
-    many = np.ones(TABLES << KEY_BITS, np.int64)
-    many[list(blocks)] = list(blocks.values())
-    for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            keys = _keys(part.column(1)).ravel()
-            rows = np.repeat(np.arange(part.num_rows), TABLES)
-            yield _with_keys(keys[many[keys] == 1] << 1, rows[many[keys] == 1], part)
-            split = np.flatnonzero(many[keys] > 1)
-            dealt = mix(part.column(0).to_numpy().astype(np.uint64))
-            for at in (split[i : i + 256] for i in range(0, len(split), 256)):
-                n = many[keys[at]]
-                own = np.repeat((dealt[rows[at]] % n.astype(np.uint64)).astype(np.int64), n)
-                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pair = 1 + np.minimum(own, other) * np.repeat(n, n) + np.maximum(own, other)
-                yield _with_keys((pair * (TABLES << KEY_BITS) + np.repeat(keys[at], n)) << 1 | (own > other), np.repeat(rows[at], n), part)
-
-
-def _with_keys(keys: np.ndarray, rows: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
-    back = pa.array(rows)
-    return pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(back) for c in part.columns)], names=["key", *part.schema.names])
-
-
-def _near_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of rows within the radius that share a key but for its lowest bit; where a shard has both values of that bit, pairs across it. Keys are sorted."""
-    side, base = keys & 1, keys >> 1
-    starts = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys))
-    lengths = ends - starts
-    short = lengths <= SHORT_RUN
-    crossed = side[starts] != side[ends - 1] if len(keys) else short
-    end, cross = np.repeat(np.where(short, ends, 0), lengths), np.repeat(crossed, lengths)
-    rows = np.arange(len(keys))
-    for step in range(1, SHORT_RUN):
-        rows = rows[end[rows] > rows + step]
-        if not len(rows):
-            break
-        near = np.bitwise_count(fps[rows] ^ fps[rows + step]).sum(1, dtype=np.uint16) <= radius
-        a = rows[near]
-        a = a[~cross[a] | (side[a] != side[a + step])]
-        yield a, a + step
-    for start, stop, cross_run in zip(starts[~short].tolist(), ends[~short].tolist(), crossed[~short].tolist(), strict=True):
-        middle = start + int(np.searchsorted(side[start:stop], 1)) if cross_run else stop
-        for i in range(start, middle):
-            first = middle if cross_run else i + 1
-            b = first + np.flatnonzero(np.bitwise_count(fps[first:stop] ^ fps[i]).sum(1, dtype=np.uint16) <= radius)
-            yield np.full(len(b), i), b
-
-
-def _pairs_of(radius: int, keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, classes: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Rows (src, dst): of every node its least neighbour, or with classes all pairs of neighbours of different ones."""
-    least = np.full(len(nodes), np.iinfo(np.int64).max)
-    for a, b in _near_rows(keys, fps, radius):
-        if classes is None:
-            np.minimum.at(least, a, nodes[b])
-            np.minimum.at(least, b, nodes[a])
-        else:
-            apart = classes[a] != classes[b]
-            yield np.stack([nodes[a[apart]], nodes[b[apart]]], 1)
-    if classes is None:
-        some = least < np.iinfo(np.int64).max
-        yield np.stack([nodes[some], least[some]], 1)
-
-
-def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of (key, node, fp) or (key, node, fp, class) sorted by key, one whole shard after another."""
-    held: list[np.ndarray] | None = None
-
-    def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for pairs in _pairs_of(radius, *columns[:3], columns[3] if len(columns) > 3 else None):
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps, *(c.to_numpy() for c in batch.columns[3:])]
-        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-        last = int(np.searchsorted(held[0], held[0][-1] >> 1 << 1))  # where the shard begins that the next batch may go on with
-        yield from out([x[:last] for x in held])
-        held = [x[last:] for x in held]
-    if held:
-        yield from out(held)
-
-
-def candidate_pairs(nodes: DataFrame, radius: int, members: int = SHARD_MEMBERS) -> DataFrame:
-    """Distinct pairs (src < dst) of nodes (node long, fp binary, perhaps class long) within the radius that share a shard.
-
-    Each of 64 tables shards the fingerprints by 12 of their 512 bits. By
-    calculation a pair of similarity 0.8 shares one with probability 0.9999,
-    and one of four and five shingles, the worst case, with 0.996. Of
-    every node its least neighbour is named, or, where nodes have a class, all
-    neighbours of other classes. Shards of more than ``members`` rows, of
-    which there are few, are counted first and split into pairs of blocks, so
-    no task holds more than about twice as many and every pair is compared.
-    """
-    names, kinds = nodes.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    assert names[:2] == ["node", "fp"]
-    sizes = nodes.select("fp").mapInArrow(_sizes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    blocks = {r["key"]: -(-r["n"] // members) for r in sizes.where(F.col("n") > members).collect()}
-    keyed = nodes.mapInArrow(lambda batches: _keyed(blocks, batches), f"key long, {kinds}")
-    pairs = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(lambda batches: _candidates(radius, batches), "src long, dst long")
-    if "class" not in names:
-        pairs = pairs.groupBy("src").agg(F.min("dst").alias("dst"))
-    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets (node, hashes: distinct numbers) have this Jaccard similarity or more; a row at a time, as sets may be long."""
-    first = sets.select(F.col("node").alias("src"), F.col("hashes").alias("a"))
-    second = sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
-    a, b, both = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
-    near = F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
-    held = pairs.join(first, "src").join(second, "dst")
-    return held.where(F.when(near, both >= (a + b - both) * F.lit(similarity)).otherwise(False)).select("src", "dst")
-
-
-def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """Links (src, dst) among nodes (node long, fp binary) that connect what candidate pairs of this Jaccard similarity or more connect.
-
-    Candidates are checked on the shingle sets of their texts (node, text),
-    in two rounds: first those of every node with its least neighbour, which
-    join most of a group of any size at a row for each member; then
-    all pairs between the classes so found. A pair is left out only where both
-    ends are linked already.
-    """
-    radius = wide_radius(similarity)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
-                hashes = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    pairs = store(candidate_pairs(nodes, radius), "candidates")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = store(texts.join(ends, "node", "left_semi").mapInArrow(hashed, "node long, hashes array<long>"), "sets")
-    links = cut(alike(pairs, sets, similarity))
-    classes = connected_components(links).withColumnRenamed("node", "_node")
-    left = nodes.join(ends, "node", "left_semi").join(classes, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("root", "node").alias("class"))
-    more = candidate_pairs(left, radius).join(pairs, ["src", "dst"], "left_anti")
-    return links.unionByName(alike(more, sets, similarity))
-
-
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, one of each class of near duplicates: the first in the order of the table.
-
-    Texts are alike if their sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, and classes are closed under that. Fingerprints
-    find the candidates, the sets decide. Null, empty and blank texts are one
-    class. No id is needed: null, repeated or missing ids and any other
-    columns do not matter.
-
-    Rows are written once with number and fingerprint. Equal sets collapse to
-    one node before anything else, and only fingerprints are dealt out by key;
-    sets move for candidates only, and a text once, when the chosen rows are
-    gathered.
-    """
-    number, fp = free_names(docs.columns, "_row", "_fp")
-
-    @F.pandas_udf("binary")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, width) for t in texts], dtype=object)
-
-    marked = store(docs.withColumns({number: F.monotonically_increasing_id(), fp: fingerprints(F.col(text_col))}), "marked")
-    nodes = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(number).alias("node")))
-    prints = nodes.select("node", F.substring("fp", 1, WIDE // 8).alias("fp"))
-    texts = marked.select(F.col(number).alias("node"), F.col(text_col).alias("text"))
-    linked = connected_components(similar_links(prints, texts, similarity, width))
-    dropped = linked.where("node != root").select("node")
-    kept = nodes.join(dropped, "node", "left_anti").select(F.col("node").alias(number))
-    return marked.join(kept, number, "left_semi").select(*docs.columns)

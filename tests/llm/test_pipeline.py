@@ -18,7 +18,7 @@ from stratalog.llm.queries import PSEUDONYM_KEY
 
 from .helpers import empty_docs, hard_docs
 from .test_decontamination import report
-from .test_simhash import alike_components, shingles
+from .test_similar import alike_components, shingles
 
 
 @pytest.fixture(scope="module")
@@ -50,9 +50,9 @@ def test_quality_stage(stages, spark, sf):
 def test_near_duplicate_stage(stages):
     before, after = rows(stages[1]), rows(stages[2])
     sets = {i: shingles(r["text"]) for i, r in before.items()}
-    tight, loose = alike_components(sets, 0.9), alike_components(sets, 0.65)
-    assert len({tight[i] for i in after}) == len(after), "two of one class stayed"
-    assert {loose[i] for i in after} == set(loose.values()), "a class has gone as a whole"
+    root = alike_components(sets, 0.8)
+    assert len({root[i] for i in after}) == len(after), "two of one class stayed"
+    assert {root[i] for i in after} == set(root.values()), "a class has gone as a whole"
     assert all(after[i] == before[i] for i in after)
 
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 import itertools
 import random
 
-import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -82,136 +81,3 @@ def test_links_of_dense_shards(spark, limit):
     links = [(r[0] & (1 << 64) - 1, r[1] & (1 << 64) - 1) for r in S.fingerprint_links(spark.createDataFrame(signed, "fp long"), limit).collect()]
     truth = [(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 2]
     assert components(values, links) == components(values, truth)
-
-
-def shingles(text):
-    words = blank_words(lower_ascii(text or ""))
-    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
-
-
-def alike_components(sets, least):
-    """Classes of documents whose sets of shingles have a Jaccard similarity of ``least`` or more."""
-    links = [(i, j) for (i, a), (j, b) in itertools.combinations(sets.items(), 2) if len(a & b) >= least * len(a | b)]
-    return components(sets, links)
-
-
-def test_near_duplicates_leave_one_of_each_class(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
-    kept = {r["doc_id"] for r in S.drop_near_duplicates(docs).select("doc_id").collect()}
-    tight, loose = alike_components(sets, 0.9), alike_components(sets, 0.65)
-    assert len({tight[i] for i in kept}) == len(kept), "two of one class stayed"
-    assert {loose[i] for i in kept} == set(loose.values()), "a class has gone as a whole"
-
-
-def test_near_duplicates_of_hard_rows(spark):
-    out = S.drop_near_duplicates(hard_docs(spark))
-    assert out.columns == hard_docs(spark).columns
-    texts = [r["text"] for r in out.collect()]
-    assert sum(1 for t in texts if not (t or "").strip()) == 1, "null, empty and blank are one class"
-    assert len(texts) == len({t for t in texts}) and len([t for t in texts if t and len(t) > 1000]) == 1
-    assert S.drop_near_duplicates(empty_docs(spark)).count() == 0
-
-
-def test_near_duplicates_with_edits(spark):
-    rng = random.Random(8)
-    rows = []
-    for base in range(40):
-        words = [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(200)]
-        for copy in range(3):
-            own = list(words)
-            for _ in range(copy):
-                own[rng.randrange(len(own))] = "edited"
-            rows.append((base * 10 + copy, " ".join(own)))
-    kept = [r["doc_id"] // 10 for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(set(kept)) == list(range(40)) and len(kept) <= 41
-
-
-def pairs_near(rng, n, low, high, sizes=(60, 200)):
-    """Pairs of texts of invented words, their Jaccard similarity drawn between low and high."""
-    out = []
-    while len(out) < n:
-        size = rng.randrange(*sizes)
-        a = [f"w{rng.randrange(10**9)}" for _ in range(size)]
-        b = list(a)
-        for _ in range(rng.randrange(1, 1 + size // 8)):
-            b[rng.randrange(size)] = f"x{rng.randrange(10**9)}"
-        x, y = shingles(" ".join(a)), shingles(" ".join(b))
-        if low <= len(x & y) / len(x | y) < high:
-            out += [(" ".join(a), " ".join(b))]
-    return out
-
-
-def test_near_duplicates_at_the_threshold(spark):
-    """Just above 0.8 all pairs are found, just below it none is."""
-    rng = random.Random(21)
-    pairs = [*pairs_near(rng, 200, 0.8, 0.82), *pairs_near(rng, 200, 0.75, 0.8), *pairs_near(rng, 100, 0.8, 0.85, (9, 40))]
-    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
-    sets = {i: shingles(t) for i, t in rows}
-    kept = [r["doc_id"] for r in S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
-    assert sorted(kept) == sorted(set(alike_components(sets, 0.8).values()))
-
-
-def test_near_duplicates_of_a_chain(spark):
-    """Neighbours alone are alike; the least candidate of many is not, so the second round has to link them."""
-    rng = random.Random(4)
-    words, rows = [f"w{i}" for i in range(150)], []
-    for i in range(60):
-        rows.append((i, " ".join(words)))
-        for _ in range(2):
-            words[rng.randrange(150)] = f"x{rng.randrange(10**9)}"
-    rng.shuffle(rows)
-    sets = {n: shingles(t) for n, (_, t) in enumerate(rows)}
-    data = [(n, t) for n, (_, t) in enumerate(rows)]
-    kept = [r["doc_id"] for r in S.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()]
-    assert sorted(kept) == sorted(set(alike_components(sets, 0.8).values()))
-
-
-def test_near_duplicates_are_those_of_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
-    root = alike_components(sets, 0.8)
-    kept = [r["doc_id"] for r in S.drop_near_duplicates(docs).collect()]
-    assert sorted(root[i] for i in kept) == sorted(set(root.values()))
-
-
-@pytest.mark.parametrize("members", [8192, 150, 7])
-@pytest.mark.parametrize("classed", [False, True])
-def test_candidates_of_dense_shards(spark, members, classed):
-    """Fingerprints about few centres fill shards well over the limit; every near pair that shares a shard is compared all the same."""
-    rng, radius = random.Random(6), 60
-    prints = []
-    for _ in range(2):
-        centre = rng.getrandbits(512)
-        for _ in range(150):
-            v = centre
-            for _ in range(rng.randrange(50)):
-                v ^= 1 << rng.randrange(512)
-            prints.append(v)
-    keys = [{(t, sum((v >> int(b) & 1) << k for k, b in enumerate(S.SAMPLED[t]))) for t in range(S.TABLES)} for v in prints]
-    near = {(i, j) for i, j in itertools.combinations(range(300), 2) if (prints[i] ^ prints[j]).bit_count() <= radius and keys[i] & keys[j]}
-    rows = [(i, v.to_bytes(64, "little"), *([i % 3] if classed else [])) for i, v in enumerate(prints)]
-    df = spark.createDataFrame(rows, "node long, fp binary" + ", class long" * classed)
-    found = {tuple(r) for r in S.candidate_pairs(df, radius, members).collect()}
-    assert len(near) > 5000
-    if classed:
-        assert found == {(i, j) for i, j in near if i % 3 != j % 3}
-    else:
-        assert found <= near and {i for p in found for i in p} == {i for p in near for i in p}
-        least = {i: min(sum(p) - i for p in near if i in p) for i in {i for p in near for i in p}}
-        assert all(tuple(sorted((i, j))) in found for i, j in least.items())
-
-
-def test_a_late_member_of_a_dense_shard_is_found():
-    """Near a member that came after thousands of others, but not near what they gather around."""
-    rng = np.random.default_rng(2)
-    centre = np.zeros(512, np.uint8)
-    rows = np.repeat(centre[None], 4300, 0)
-    for row in rows[1:]:
-        row[rng.choice(400, 10, replace=False)] ^= 1
-    rows[-2, 400:430] ^= 1
-    rows[-1, 400:512] ^= 1
-    fps = np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
-    radius = int((rows[-1] ^ rows[-2]).sum())
-    pairs = {(int(x), int(y)) for a, b in S._near_rows(np.zeros(4300, np.int64), fps, radius) for x, y in zip(a[a >= 4290], b[a >= 4290], strict=True)}
-    assert (4298, 4299) in pairs and (rows[-1] ^ rows[0]).sum() > radius
