@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -61,11 +64,55 @@ def fewest(items, size):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=9))
 def test_small_problems_are_solved(items):
-    packing, bound = P.pack(Counter(items), 12, nodes=3000)
+    packing, bound = P.pack(Counter(items), 12, None, None, None)
     best = fewest(items, 12)
     assert bound <= best == sum(n for _, n in packing)
 
 
+def old_bound(counts, size):
+    """L2 as it is written down, threshold by threshold."""
+    best = -(-sum(s * n for s, n in counts.items()) // size)
+    for k in range(size // 2 + 1):
+        large = [s for s, n in counts.items() for _ in range(n) if s > size - k]
+        middle = [s for s, n in counts.items() for _ in range(n) if size - k >= s and 2 * s > size]
+        small = [s for s, n in counts.items() for _ in range(n) if 2 * s <= size and s >= k]
+        best = max(best, len(large) + len(middle) + max(0, -(-(sum(small) - sum(size - s for s in middle)) // size)))
+    for k in range(1, P.DUAL + 1):
+        share = lambda s: Fraction(s, size) if (k + 1) * s % size == 0 else Fraction((k + 1) * s // size, k)  # noqa: B023, E731
+        best = max(best, math.ceil(sum(n * share(s) for s, n in counts.items())))
+    return best
+
+
+@settings(max_examples=100, deadline=None)
+@given(histograms, st.integers(30, 41))
+def test_bound(counts, size):
+    assert P.lower_bound(counts, size) == old_bound(counts, size)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(2, 20), st.integers(1, 3), min_size=3, max_size=5))
+def test_without_limits_the_search_ends_with_a_proof(counts):
+    """Several documents of each length: taking a filling once has to be tried too."""
+    packing, bound = P.pack(counts, 20, None, None, None)
+    assert whole(packing, counts, 20) == fewest(list(Counter(counts).elements()), 20) >= bound
+
+
+def test_a_filling_stands_where_the_steps_end():
+    counts = dict.fromkeys(range(1, 60), 2)
+    for steps in (0, 1, 5):
+        options = P.completions(counts, 100, 6, steps)
+        assert options and all(sum(o) == 100 for o in options)
+
+
+def test_skewed_histogram_with_production_limits():
+    """A third of all documents of one length just over a third of the sequence, the rest spread."""
+    rng = np.random.default_rng(5)
+    counts = Counter(rng.integers(1, 2049, 20_000).tolist())
+    counts[683] += 10_000
+    packing, bound = P.pack(counts, 2048)
+    assert whole(packing, counts, 2048) <= bound * 1.005
+
+
 def test_search_improves_on_best_fit():
     """Best fit pairs the 5s with 4s and is left with two more sequences than needed."""
     better = 0
@@ -86,7 +133,6 @@ def test_pieces(length, size):
 
 def check(rows, texts, size=2048):
     slow = Tokenizer.from_file(PATH)
-    slow.encode_special_tokens = True
     by_doc = defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -121,10 +167,41 @@ def test_hard_rows(spark):
     assert P.pack_documents(empty_docs(spark), PATH).count() == 0
 
 
+ODD = [
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "x" * 1_000_000, "é" * 1001, "  \t\n\r\v\f  a\u00a0b\u3000c \x1c\x85 d",
+    "1234567890 ١٢٣ ⅷ ²", "don't I'LL we've 's", "\u200d\U0001f469\u200d\U0001f680 \U0001f1e9\U0001f1ea", "ก็ 한국어 ελληνικά עברית", "\x00\x01\x7f", "a\r\nb\r\n\r\n", "...!!!???---___",
+]
+
+
+def test_ids_are_those_of_the_library():
+    """Whatever the text, as the file loads: added tokens stand for themselves."""
+    library, tokens = Tokenizer.from_file(PATH), P.Tokens(open(PATH, "rb").read())
+    for text in ODD:
+        assert tokens.of(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text[:40]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text())
+def test_ids_of_any_text(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert _both()[1].of(text).tolist() == [*_both()[0].encode(text, add_special_tokens=False).ids, 0]
+
+
+@functools.cache
+def _both():
+    return Tokenizer.from_file(PATH), P.Tokens(open(PATH, "rb").read())
+
+
+def test_names_step_aside(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "piece long, text string")
+    out = P.pack_documents(docs, PATH, id_col="piece")
+    assert out.columns == ["piece", "piece_", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted((r["piece"], r["piece_"], r["length"]) for r in out.collect()) == [(1, 0, 3), (2, 0, 1)]
+
+
 def test_ids_come_back_whole(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     slow = Tokenizer.from_file(PATH)
-    slow.encode_special_tokens = True
     back = defaultdict(list)
     for r in sorted(P.pack_documents(docs, PATH, with_ids=True).collect(), key=lambda r: r["piece"]):
         back[r["doc_id"]] += r["ids"]
@@ -133,5 +210,5 @@ def test_ids_come_back_whole(spark, sf):
 
 
 def test_other_tokenizers_go_the_slow_way():
-    tokens = P.Tokens(public_tokenizers.path("word_bpe_49k.json"))
-    assert tokens.fast is None and tokens.of("two words")[-1] == 0 and P.Tokens(PATH).fast is not None
+    tokens = P.Tokens(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    assert tokens.fast is None and tokens.of("two words")[-1] == 0 and _both()[1].fast is not None

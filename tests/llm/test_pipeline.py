@@ -75,7 +75,6 @@ def test_pseudonym_stage(stages):
 
 def test_packing_stage(stages):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     out, wanted = stages[5].collect(), Counter()
     for i, r in rows(stages[4]).items():
         ids = np.array([*slow.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
