@@ -133,7 +133,7 @@ def q_stability(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_lag_excess(s: SparkSession, d: str) -> DataFrame:
-    return S.lag_excess(_dense(s, d), DAYS)
+    return S.lag_excess(_series(s, d), DAYS)
 
 
 LAG = f"""with {SPIKES},
@@ -144,7 +144,7 @@ select driver, follower, spikes, joint, cast(floor(e * 1000) as bigint) as exces
 
 
 def q_rollup(s: SparkSession, d: str) -> DataFrame:
-    p = S.lag_excess(_dense(s, d), DAYS, min_excess=0.3)
+    p = S.lag_excess(_series(s, d), DAYS, min_excess=0.3)
     named = lambda c: F.concat(F.lit("symbol:"), F.substring_index(c, ":", -1), F.lit(":"), F.substring_index(c, ":", 1))
     return S.file_rollup(p.withColumns({"driver": named(F.col("driver")), "follower": named(F.col("follower"))}))
 
