@@ -219,19 +219,38 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, w
     for turn in range(STAR_ROUNDS + 1):
         left = members.withColumn("class", F.col("node"))
         if classes is not None:
-            left = members.join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "class"))
+            left = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        lead = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("order"), "node", "class"))
         shards = left.groupBy("key").agg(lead.alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
         mixed = store(left.join(shards, "key").select("key", "node", "n", "class", "lead"), "mixed")
         members = mixed.select("key", "node", "n")  # a shard of one class is done with
         if turn < STAR_ROUNDS:
-            pairs = mixed.where("class != lead.class").groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("node").alias("src"), F.col("lead.node").alias("dst"))
-            links.append(cut(alike(pairs, sets, similarity)))
-            classes = connected_components(_union(links))
+            pairs = mixed.where("class != lead.class").groupBy("node", "class").agg(F.min("lead").alias("lead"))
+            pairs = store(pairs.select(F.col("node").alias("src"), F.col("lead.node").alias("dst"), "class", "lead"), "pairs")
+            found = cut(alike(pairs.select("src", "dst"), sets, similarity))
+            links.append(found)
+            classes = cut(joined_classes(classes, pairs.join(found, ["src", "dst"]).select("class", "lead")))
     links.append(cut(compare_shards(mixed.drop("lead"), sets, similarity)))
     return _union(links)
 
 
+def joined_classes(classes: DataFrame | None, steps: DataFrame) -> DataFrame:
+    """(node, class) after the steps (class, lead: order, node, class), each from a class to one that comes before it in the order.
+
+    Every class follows its first step, and the steps of the classes so reached, up to eight in all. Nodes of one
+    class are linked, then; that nodes which are linked may still be in different classes only costs comparisons.
+    """
+    to = steps.groupBy("class").agg(F.min("lead").alias("lead")).select("class", F.col("lead.class").alias("to"))
+    for _ in range(3):
+        onward = to.select(F.col("class").alias("to"), F.col("to").alias("far"))
+        to = to.join(onward, "to", "left").select("class", F.coalesce("far", "to").alias("to"))
+    if classes is None:
+        return to.select(F.col("class").alias("node"), F.col("to").alias("class"))
+    old = classes.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    new = to.select(F.col("class").alias("node"), F.col("to").alias("class"))  # classes of a single node had no row
+    return old.unionByName(new.join(classes.select("node"), "node", "left_anti"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
