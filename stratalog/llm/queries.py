@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination_report
-from .licenses import TEMPLATES, Index, scan_licences
+from .licenses import COMMON, HINTS, TAG, TEMPLATES, scan_licences
 from .packing import pack_documents
 from .pii import pseudonymise
 from .quality_classifier import quality_scores
@@ -63,8 +63,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source is a tree with a directory for each language."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """Each source is a tree with a directory for each language and up to two more below; texts of up to 1,000 characters are its licence files."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    folders = F.array(
+        F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.lit("a"), number % 3), F.concat(F.lit("b"), number % 5)
+    )
+    name = F.when(F.length(F.coalesce("text", F.lit(""))) <= 1000, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
+    path = F.concat_ws("/", F.array_join(F.slice(folders, F.lit(1), (F.lit(2) + F.floor(number / 7) % 3).cast("int")), "/"), name)
     return scan_licences(table(spark, sf_dir, "documents"), path)
 
 
@@ -125,40 +130,50 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = items.doc_id
 """
 
-_INDEX = Index(TEMPLATES, 0.8)
-_POSTINGS = ", ".join(
-    f"('{term}', {i}, '{_INDEX.names[i]}', {weight!r}::double)" for term, by in _INDEX.weights.items() for i, weight in enumerate(by) if weight
-)
-_IDF = ", ".join(f"('{term}', {weight!r}::double)" for term, weight in _INDEX.idf.items())
+_TEXTS = ", ".join("({}, '{}', {}, '{}')".format(i, licence, kind == "title", text.replace("'", "''")) for i, (licence, kind, text) in enumerate(TEMPLATES))
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HINTED = " or ".join(f"contains(lower(body), '{h}')" for h in HINTS)
 
 OP7_SQL = f"""
-with postings(term, template, licence, weight) as (values {_POSTINGS}),
-idf(term, idf) as (values {_IDF}),
+with templates(template, licence, title, wording) as (values {_TEXTS}),
+tw as (select template, generate_subscripts(w, 1) - 1 as place, unnest(w) as term from (select template, regexp_extract_all({_LOW.format("wording")}, '[a-z0-9]+') as w from templates)),
+total as (select ln(1 + count(*)) + 1 as other, count(*) as t from templates),
+idf as (select term, ln((1 + any_value(t))::double / (1 + count(distinct template))) + 1 as idf from tw, total group by term),
+tf as (select template, term, count(*) as n, any_value(idf) as idf from tw join idf using (term) group by all),
+weights as (select template, term, n * idf / norm as weight from tf join (select template, sqrt(sum(pow(n * idf, 2))) as norm from tf group by template) using (template)),
+shapes as (select template, licence, title, m from templates join (select template, count(*) as m from tw group by template) using (template)),
 files as (
-  select doc_id, coalesce(text, '') as body, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') as dir,
-         coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || cast(doc_id as varchar) || '.txt' as path
+  select row_number() over () as r, doc_id, coalesce(text, '') as body, coalesce(doc_id, 0) as k,
+         [coalesce(source, 'unknown'), coalesce(lang, 'unknown'), 'a' || (coalesce(doc_id, 0) % 3), 'b' || (coalesce(doc_id, 0) % 5)] as folders
   from documents),
-lines as (select doc_id, unnest(string_split(body, chr(10))) as line from files),
-texts as (select distinct line, regexp_extract_all({_LOW.format("line")}, '[a-z0-9]+') as w from lines),
-tf as (select line, term, count(*) as n from (select line, unnest(w) as term from texts) group by all),
-norms as (select line, sqrt(sum(pow(n * coalesce(idf, {_INDEX.other!r}), 2))) as norm from tf left join idf using (term) group by line),
-dots as (select line, template, licence, sum(n * weight) as dot from tf join postings using (term) group by all),
-best as (
-  select line, max(struct_pack(cosine := round(dot / norm, 6), licence := licence)) as m
-  from dots join norms using (line) group by line),
-stated as (
-  select doc_id, max(struct_pack(cosine := m.cosine, licence := m.licence, words := len(w))) as m
-  from lines join best using (line) join texts using (line) where m.cosine >= 0.8 group by doc_id),
+placed as (
+  select *, array_to_string(folders[1 : 2 + (k // 7) % 3], '/') as dir, case when length(body) <= 1000 then 'LICENSE-' || k else k || '.txt' end as name from files),
+hinted as (select r, length(body) <= 1000 as named, regexp_extract_all({_LOW.format("body")}, '[a-z0-9]+') as w from placed where {_HINTED}),
+votes as (
+  select r, template, pos - place as start, count(*) as n
+  from (select r, generate_subscripts(w, 1) - 1 as pos, unnest(w) as term from hinted) join tw using (term)
+  where term not in ({", ".join(f"'{w}'" for w in COMMON)}) group by all),
+laid as (select r, template, arg_max(start, struct_pack(n := n, first := -start)) as start from votes group by all),
+under as (
+  select r, template, licence, unnest(w[greatest(start, 0) + 1 : greatest(start, 0) + m]) as term
+  from hinted join laid using (r) join shapes using (template) where named or not title),
+counts as (select r, template, licence, term, count(*) as n from under group by all),
+scored as (
+  select r, template, licence, round(sum(n * coalesce(idf, other) * weight) / sqrt(sum(pow(n * coalesce(idf, other), 2))), 6) as cosine
+  from counts left join idf using (term) left join weights using (term, template), total group by all),
+best as (select r, max(struct_pack(cosine := cosine, licence := licence)) as m from scored where cosine >= 0.8 group by r),
+tags as (select r, regexp_replace(nullif(regexp_extract(body, '{TAG}', 1), ''), '[ \t]+', ' ', 'g') as tag from placed),
 own as (
-  select f.doc_id, path, dir, m.licence as licence, m.cosine as cosine,
-         m is not null and m.words >= 0.25 * len(regexp_extract_all({_LOW.format("body")}, '[a-z0-9]+')) as speaks
-  from files f left join stated s on f.doc_id = s.doc_id),
-speaking as (select dir, arg_min(licence, path) as licence from own where speaks group by dir)
-select doc_id, path, coalesce(own.licence, speaking.licence) as licence,
-       case when own.licence is not null then 'header' when speaking.licence is not null then 'inherited' end as basis,
-       case when own.licence is null then speaking.dir end as licence_dir, cosine
-from own left join speaking on own.dir = speaking.dir
+  select doc_id, dir || '/' || name as path, dir, name like 'LICENSE-%' as named, coalesce(tag, m.licence) as licence,
+         case when tag is not null then 'tag' when m is not null then 'header' end as basis, case when tag is not null then 1.0::double else m.cosine end as cosine
+  from placed left join best using (r) left join tags using (r)),
+speaking as (select dir as given_by, arg_min(licence, path) as given from own where named and licence is not null group by dir),
+above as (
+  select dir, max(struct_pack(depth := length(given_by), given_by := given_by, given := given)) as near
+  from (select distinct dir from own) join speaking on given_by = '' or dir = given_by or starts_with(dir, given_by || '/') group by dir)
+select doc_id, path, coalesce(licence, near.given) as licence, coalesce(basis, case when near is not null then 'inherited' end) as basis,
+       case when licence is null then near.given_by end as licence_dir, cosine
+from own left join above using (dir)
 """
 
 
