@@ -8,6 +8,7 @@ solution is a short list of fillings with the number of sequences filled so.
 
 from __future__ import annotations
 
+import functools
 import json
 import sys
 import zlib
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from types import ModuleType
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from ..session import free_names, store
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Dual feasible functions that the lower bound tries.
 DUAL = 20
 Filling = tuple[int, ...]  #: lengths in one sequence, longest first
@@ -269,10 +274,8 @@ class Tokens:
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
-
         held = json.loads(data)
-        self.slow, self.fast = Tokenizer.from_buffer(data), None
+        self.data, self.fast = data, None
         self.added = tuple(t["content"] for t in held.get("added_tokens") or ())
         ranks = self._ranks(held)
         if ranks:
@@ -280,6 +283,13 @@ class Tokens:
 
             self.fast = tiktoken.Encoding("packing", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def slow(self) -> Tokenizer:
+        """Loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_buffer(self.data)
+
     @staticmethod
     def _ranks(held: dict) -> dict[bytes, int] | None:
         """Token bytes -> id, if ids order the merges and nothing else changes the text."""
