@@ -35,6 +35,8 @@ _ODD = np.random.default_rng(7).integers(0, 1 << 63, TABLES * DRAWS, np.uint64)
 WIDTH = 128
 #: Rounds in which every member of a shard is compared with one of it, before all that is still apart is.
 STAR_ROUNDS = 2
+#: Classes are ordered by their numbers with these bits flipped.
+ORDERS = (0, 0x5A5A5A5A5A5, 0x3C96A5C3965)
 #: Rows and shingles of one block of a shard: a task holds two blocks.
 BLOCK_ROWS, BLOCK_HASHES = 2048, 1 << 21
 #: A side of a join that is measured to be no larger is broadcast, a larger one is merged.
@@ -170,11 +172,13 @@ def compare_shards(mixed: DataFrame, sets: DataFrame, similarity: float) -> Data
     of the others in a unit of its own. A unit is at most two blocks, whatever
     the shard, and in all but unusual shards the others are one block.
     """
-    blocks = lambda: F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_HASHES)).cast("int")
     classes = mixed.groupBy("key", "class").agg(F.count("*").alias("rows"))
-    largest = classes.groupBy("key").agg(F.max(F.struct("rows", "class")).alias("top")).select("key", F.col("top.class").alias("most"))
+    largest = classes.groupBy("key").agg(F.max_by("class", "rows").alias("most"))
     marked = mixed.join(largest, "key").withColumn("minor", (F.col("class") != F.col("most")).cast("int")).drop("most")
-    sides = marked.groupBy("key", "minor").agg(blocks().alias("parts")).groupBy("key").pivot("minor", [0, 1]).agg(F.first("parts")).toDF("key", "B", "C")
+    blocks = lambda minor: F.greatest(
+        F.ceil(F.sum(F.when(F.col("minor") == minor, F.greatest(F.lit(1 / BLOCK_ROWS), F.col("n") / BLOCK_HASHES)))), F.lit(1).cast("bigint")
+    ).cast("int")
+    sides = marked.groupBy("key").agg(blocks(0).alias("B"), blocks(1).alias("C"))
     dealt = marked.join(sides, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.when(F.col("minor") == 1, F.col("C")).otherwise(F.col("B"))).cast("int"))
     unit = lambda kind, i, j, role: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("unit"), role.alias("role"))
     zero, one, two = (F.lit(x) for x in range(3))
@@ -220,27 +224,27 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, w
         left = members.withColumn("class", F.col("node"))
         if classes is not None:
             left = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        lead = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("order"), "node", "class"))
-        shards = left.groupBy("key").agg(lead.alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-        mixed = store(left.join(shards, "key").select("key", "node", "n", "class", "lead"), "mixed")
+        order = F.col("class").bitwiseXOR(F.lit(ORDERS[turn]))  # another order of the classes in each round
+        shards = left.groupBy("key").agg(F.min(order).alias("first"), F.min_by("node", order).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high"))
+        mixed = store(left.join(shards.where("low != high").select("key", "first", "lead"), "key").select("key", "node", "n", "class", "first", "lead"), "mixed")
         members = mixed.select("key", "node", "n")  # a shard of one class is done with
         if turn < STAR_ROUNDS:
-            pairs = mixed.where("class != lead.class").groupBy("node", "class").agg(F.min("lead").alias("lead"))
-            pairs = store(pairs.select(F.col("node").alias("src"), F.col("lead.node").alias("dst"), "class", "lead"), "pairs")
+            pairs = mixed.where(order != F.col("first")).groupBy("node", "class").agg(F.min("first").alias("first"), F.min_by("lead", "first").alias("lead"))
+            pairs = store(pairs.select(F.col("node").alias("src"), F.col("lead").alias("dst"), "class", F.col("first").bitwiseXOR(F.lit(ORDERS[turn])).alias("to"), "first"), "pairs")
             found = cut(alike(pairs.select("src", "dst"), sets, similarity))
             links.append(found)
-            classes = cut(joined_classes(classes, pairs.join(found, ["src", "dst"]).select("class", "lead")))
-    links.append(cut(compare_shards(mixed.drop("lead"), sets, similarity)))
+            classes = cut(joined_classes(classes, pairs.join(found, ["src", "dst"]).select("class", "to", "first")))
+    links.append(cut(compare_shards(mixed.select("key", "node", "class", "n"), sets, similarity)))
     return _union(links)
 
 
 def joined_classes(classes: DataFrame | None, steps: DataFrame) -> DataFrame:
-    """(node, class) after the steps (class, lead: order, node, class), each from a class to one that comes before it in the order.
+    """(node, class) after the steps (class, to, first), each from a class to one whose place ``first`` in the order is before its own.
 
     Every class follows its first step, and the steps of the classes so reached, up to eight in all. Nodes of one
     class are linked, then; that nodes which are linked may still be in different classes only costs comparisons.
     """
-    to = steps.groupBy("class").agg(F.min("lead").alias("lead")).select("class", F.col("lead.class").alias("to"))
+    to = steps.groupBy("class").agg(F.min_by("to", "first").alias("to"))
     for _ in range(3):
         onward = to.select(F.col("class").alias("to"), F.col("to").alias("far"))
         to = to.join(onward, "to", "left").select("class", F.coalesce("far", "to").alias("to"))
