@@ -64,3 +64,33 @@ def test_no_python_in_the_plan(spark, sf):
 
     plan = op4_url_filters(spark, sf)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_very_many_path_rules_on_one_host(spark):
+    """10^5 rules under one host, and prefixes of prefixes; rows carry stacks, not lists of rules."""
+    rng = random.Random(8)
+    rules = [("big.org", f"/{i % 317}/{i}", rng.choice(["allow", "block"])) for i in range(100_000)] + [("big.org", "/" + "d" * k, "block") for k in range(1, 60)] + [("org", "/5", "allow")]
+    picked = rng.sample(rules, 150)
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}big.org{p}{rng.choice(['', '/x', '0', '?q'])}" for _, p, _ in picked] + [f"http://x.big.org/{'d' * n}" for n in (0, 3, 59, 80)] + ["http://other.org/5"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame(rules, SCHEMA)
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.url_verdicts(pages, frame).collect()}
+    assert out == {i: judged(u, rules) for i, u in enumerate(urls)}
+    longest = max(len(str(r)) for r in U.url_verdicts(pages, frame).collect())
+    assert longest < 1000
+
+
+def test_clashes_nulls_and_repeats(spark):
+    """Equal rules that say different things, null paths and hosts, repeated pages, null ids, columns with clashing names, control characters."""
+    rules = [("x.org", "/a", "allow"), ("x.org", "/a", "block"), ("y.org", None, "block"), (None, "/", "block"), ("", "/", "block"), ("X.Net", "/", "block"), ("q.\x01/a.org", "/z", "block"), ("org", "/a\x01", "block")]
+    rows = [(1, "http://x.org/a"), (1, "http://x.org/a"), (None, "http://x.org/a"), (None, None), (2, "http://z.y.org"), (3, "http://x.net/"), (4, "http://org/a\x01b"), (5, "http://w.q.\x01/a.org/z"), (6, "http://x.org/a\x01")]
+    pages = spark.createDataFrame([(*r, "q", "k", 1) for r in rows], "page_id long, url string, host string, key string, run int")
+    out = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.url_verdicts(pages, spark.createDataFrame(rules, SCHEMA)).collect()), key=repr)
+    known = [(h.lower() if h == "X.Net" else h, p or "", v) for h, p, v in rules if h]
+    wanted = []
+    for i, u in rows:
+        h, p, rule, verdict = judged(u, known)
+        wanted.append((i, h, p, "X.Net/" if rule == "x.net/" else rule, verdict))
+    assert out == sorted(wanted, key=repr)
+    clash = U.url_verdicts(pages.select("host", "url"), spark.createDataFrame(rules, SCHEMA), id_col="host")
+    assert clash.columns == ["host", "host_", "path", "rule", "verdict"] and clash.count() == len(rows)
