@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,10 @@ from ..session import scratch_path, store
 
 MIN_REVISIT = 1000
 URN = "urn:x-page:"
+#: Repeated digests up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: An archive file holds about so many bytes of payload at most, unless a single record is larger.
+FILE_BYTES = 256 << 20
 
 
 # --- writing -----------------------------------------------------------------------------
@@ -30,33 +35,51 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
     Of the rows with equal payloads of at least ``min_bytes``, those with the
     largest id answer, all others refer to that id. Rows without an id refer
-    too if any row of theirs has one; otherwise they answer.
+    too if any row of theirs has one; otherwise they answer. Digests that occur
+    once need no answer; the others are broadcast while they are measured to be
+    few, so that payloads stay where they lie, and merged with them beyond.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     seen = pages.select(F.col(id_col).alias("_id"), F.col("url").alias("_url"), payload.alias("_payload")).select(
         "*", F.octet_length("_payload").cast("long").alias("payload_bytes"), F.sha1(F.col("_payload").cast("binary")).alias("payload_digest")
     )
     copies = seen.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("_id").alias("_first"), F.count("*").alias("_n"))
-    copies = copies.where("_n > 1 and _first is not null").drop("_n")
+    copies = store(copies.where("_n > 1 and _first is not null").drop("_n"), "copies")
+    copies = F.broadcast(copies) if copies.count() * 128 <= BROADCAST_BYTES else copies.hint("merge")
     refers = F.when(F.col("_id").isNull() | (F.col("_id") < F.col("_first")), F.col("_first"))
     return seen.join(copies, "payload_digest", "left").withColumn("refers_to", refers).drop("_first")
 
 
+#: What would end or change a header's value, and how it is written there; the percent sign first.
+CODED = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), (" ", "%20"), ("\t", "%09"))
+
+
 def _header(name: str, value: Column) -> Column:
-    """A header line, or nothing for a null; line ends in the value are percent-encoded."""
-    safe = F.regexp_replace(F.regexp_replace(value.cast("string"), "\r", "%0D"), "\n", "%0A")
+    """A header line, or nothing for a null; blanks, line ends and percent signs in the value are coded."""
+    safe = value.cast("string")
+    for plain, code in CODED:
+        safe = F.replace(safe, F.lit(plain), F.lit(code))
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
+def decoded(value: str) -> str:
+    """A header's value as it was before it was coded."""
+    plain = {code: c for c, code in CODED}
+    return re.sub("%(?:25|0D|0A|20|09)", lambda m: plain[m[0]], value)
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", date: Column | None = None, records_per_file: int = 1000) -> None:
     """One record for each row of pages in gzipped WARC 1.1 files below ``path``, response or revisit.
 
     Spark's own text writer lays the records down, so that the archive goes
     wherever Spark can write, commits with its tasks and is never held in one
-    piece. ``date`` is a timestamp column; without one, the capture time is as
+    piece. A file has at most ``records_per_file`` records, and fewer where
+    payloads are large, so that it can be read in one piece. ``date`` is a timestamp column; without one, the capture time is as
     many seconds after 2000 as the id says.
     """
     marked = mark_revisits(pages, id_col, payload_col)
+    largest = pages.agg(F.max(F.octet_length(payload_col))).head()[0] or 1
+    records_per_file = max(1, min(records_per_file, FILE_BYTES // largest))
     revisit = F.col("refers_to").isNotNull()
     moment = date if date is not None else F.timestamp_seconds(F.lit(946684800) + F.coalesce(F.col("_id").try_cast("long") % 10**9, F.lit(0)))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -111,7 +134,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = held[:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        headers = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
+        headers = {name.strip().lower(): value.strip(" \t") for name, _, value in (x.partition(":") for x in lines[1:])}
         begin, length = end + 4, int(headers["content-length"])
         while len(held) < begin + length + 4:
             if not more():
@@ -138,9 +161,9 @@ def _entry(headers: dict[str, str], block: bytes) -> tuple:
     else:
         size, digest = int(headers["warc-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:")
     refers = headers.get("warc-refers-to")
-    refers = refers.removeprefix(f"<{URN}").removesuffix(">") if refers else None
-    url = headers.get("warc-target-uri")
-    return url_key(url), headers.get("warc-date", ""), headers.get("warc-page-id"), url, size, digest, kind, refers
+    refers = decoded(refers.removeprefix(f"<{URN}").removesuffix(">")) if refers else None
+    url, page = (None if x is None else decoded(x) for x in (headers.get("warc-target-uri"), headers.get("warc-page-id")))
+    return url_key(url), headers.get("warc-date", ""), page, url, size, digest, kind, refers
 
 
 RUN_FIELDS = (("url_key", pa.string()), ("captured", pa.string()), ("page", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers", pa.string()))
@@ -177,14 +200,20 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 class LoserTree:
     """k sorted runs as one: each inner node keeps the loser of its match, so the next row costs one path of log k matches."""
 
-    def __init__(self, runs: list[list], key: Callable[[Any], Any]):
-        self.runs, self.key, self.k = runs, key, len(runs)
-        self.at = [0] * self.k
-        self.heads = [key(run[0]) if run else None for run in runs]
+    def __init__(self, runs: list[Iterator], key: Callable[[Any], Any]):
+        self.runs, self.key, self.k = [iter(r) for r in runs], key, len(runs)
+        self.rows: list = [None] * self.k
+        self.heads: list = [None] * self.k  # keys; None where a run has ended
+        for i in range(self.k):
+            self._next(i)
         self.tree = [-1] * max(1, self.k)
         for i in range(self.k):
             self._play(i)
 
+    def _next(self, i: int) -> None:
+        row = next(self.runs[i], None)
+        self.rows[i], self.heads[i] = row, None if row is None else self.key(row)
+
     def _before(self, a: int, b: int) -> bool:
         """Whether run a's head comes first; ended runs come last, ties go to the earlier run."""
         x, y = self.heads[a], self.heads[b]
@@ -209,30 +238,39 @@ class LoserTree:
             i = self.tree[0]
             if self.heads[i] is None:
                 return
-            yield self.runs[i][self.at[i]]
-            self.at[i] += 1
-            self.heads[i] = self.key(self.runs[i][self.at[i]]) if self.at[i] < len(self.runs[i]) else None
+            yield self.rows[i]
+            self._next(i)
             self._play(i)
 
 
+def _rows(parts: list[pa.RecordBatch], piece: int = 512) -> Iterator[tuple]:
+    """The rows of a run's slice, a few at a time."""
+    for part in parts:
+        for i in range(0, part.num_rows, piece):
+            yield from zip(*(c.to_pylist() for c in part.slice(i, piece).columns), strict=True)
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All runs as one history ordered by URL key, time and page, with part and rank: the order is that of (part, rank).
 
     Each part is a range of that order, drawn from a sample, so that a URL
-    captured very often is spread over parts. It receives its slice of every
-    run and merges the slices by a loser tree; a slice is in order unless the
-    shuffle has moved its pieces, and sorting an ordered one is a single pass.
+    captured very often is spread over parts. The shuffle brings it its slice
+    of every run; pieces of a slice may come in any order, so Spark lays them
+    out again, run by run, and spills where it has to. The slices stay packed
+    in columns; a loser tree takes their rows a few at a time.
     """
     fields = [n for n, _ in RUN_FIELDS]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, list[tuple]] = {}
+        slices: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for *row, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(run, []).append(tuple(row))
-        ordered = [sorted(slices[run], key=_order) for run in sorted(slices)]
+            run = batch.column(len(fields)).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i:
+                    slices.setdefault(int(run[i]), []).append(batch.slice(i, j - i).select(fields))
         part, rows, rank = TaskContext.get().partitionId(), [], 0
-        for row in LoserTree(ordered, _order):
+        for row in LoserTree([_rows(slices[run]) for run in sorted(slices)], _order):
             rows.append(row)
             if len(rows) == 5000:
                 yield _batch(rows, part, rank)
@@ -248,8 +286,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         )
 
     page = F.coalesce("page", F.lit(""))
-    ranged = runs.repartitionByRange("url_key", "captured", F.length(page), page)
-    return ranged.select(*fields, "run").mapInArrow(merge, f"{RUN_SCHEMA}, part int, rank long")
+    order = ["url_key", "captured", F.length(page), page]
+    return runs.repartitionByRange(*order).sortWithinPartitions("run", *order).select(*fields, "run").mapInArrow(merge, f"{RUN_SCHEMA}, part int, rank long")
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None, id_col: str = "page_id", payload_col: str = "html", date: Column | None = None) -> DataFrame:

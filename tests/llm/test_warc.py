@@ -86,3 +86,41 @@ def test_broken_archives_are_noticed():
     for broken in (whole[:20], whole[:-6], b"junk\r\n\r\n"):
         with pytest.raises(ValueError):
             list(W.records(iter([broken])))
+
+
+def test_ids_and_urls_come_back_as_they_were(spark):
+    """Blanks, tabs, line ends, percent signs, colons and spaces of other kinds in text ids and URLs."""
+    ids = ["a", " a", "a ", " a\t", "a\r\nX: 1", "a\nb", "a%20", "a%", "%25", "a: b", "\u00a0a\u2003", "\x0ba\x85", "<b>", "\u00e9"]
+    rows = [(i, f"http://x.org/{i}", BIG) for i in ids]
+    table = spark.createDataFrame(rows, "page_id string, url string, html string")
+    out = W.archive_and_index(table).collect()
+    assert sorted((r["page_id"], r["url"]) for r in out) == sorted((i, u) for i, u, _ in rows)
+    assert {r["refers_to"] for r in out} == {None, max(ids, key=lambda i: i.encode())}
+
+
+def test_coded_headers():
+    for text in (" x", "%", "%0D", "%250D", "\r\n\t %"):
+        coded = text
+        for plain, code in W.CODED:
+            coded = coded.replace(plain, code)
+        assert not set(coded) & set(" \t\r\n") and W.decoded(coded) == text
+
+
+def test_large_payloads_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 4000)
+    table = spark.createDataFrame([(i, "http://x.org/", f"{i}" + "z" * 1000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    W.write_warc(table, str(tmp_path / "warc"))
+    assert len(list((tmp_path / "warc").glob("*.gz"))) >= 13
+    assert W.merge_runs(W.capture_runs(spark, str(tmp_path / "warc"))).count() == 40
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_runs_without_local_order(spark, limit, monkeypatch):
+    """Both ways of the join; one URL captured very often, over many files and parts."""
+    monkeypatch.setattr(W, "BROADCAST_BYTES", limit)
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i % 50}.org/", BIG if i % 7 == 0 else f"p{i}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    out = W.archive_and_index(table).collect()
+    history = [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(out, key=lambda r: (r["part"], r["rank"]))]
+    assert history == sorted(history) and len(history) == 3000
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in out), key=repr) == expected(rows)
