@@ -19,9 +19,29 @@ from ..operators.components import connected_components
 from ..session import cut, free_names, store
 from .text import lower_words, mix
 
-#: The bits of a fingerprint in three blocks: fingerprints that differ in two bits at most agree on one block at least.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: The bits of a fingerprint in four blocks: fingerprints that differ in two bits at most agree on two blocks at least.
+BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
 RADIUS = 2
+#: A shard of more fingerprints is dealt out again by a third of its remaining bits, and so on.
+SHARD_LIMIT = 1024
+
+
+def _mask(start: int, bits: int) -> int:
+    return ((1 << bits) - 1) << start
+
+
+def _thirds(mask: int) -> list[int]:
+    """The mask with each third of the other bits; two fingerprints that differ in two of the others at most agree on one of these."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [0, len(free) // 3, 2 * len(free) // 3, len(free)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+#: Bits on which the members of a shard agree, at the first level and after each refinement: 32, 42 or 43, 49 or 50, 54 or 55.
+#: What is left at last are 10 bits, so no shard of distinct fingerprints can be over the limit then.
+MASKS = [[_mask(*a) | _mask(*b) for i, a in enumerate(BLOCKS) for b in BLOCKS[i + 1 :]]]
+while any(64 - m.bit_count() > SHARD_LIMIT.bit_length() - 1 for m in MASKS[-1]):
+    MASKS.append([child for m in MASKS[-1] for child in _thirds(m)])
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -103,7 +123,7 @@ def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each run of equal keys in sorted (key, fp) batches."""
+    """Links of each run of equal shards in sorted (shard, fp) batches."""
     key, values, found = None, [], []
     for batch in batches:
         for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -123,42 +143,36 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["src", "dst"])
 
 
-def fingerprint_links(fps: DataFrame, shard_limit: int = 1024) -> DataFrame:
+def fingerprint_links(fps: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """Links (src, dst) among distinct fingerprints (column fp) that connect whatever a radius of two connects.
 
-    A shard holds the fingerprints that agree on one of the three blocks.
-    Shards of up to ``shard_limit`` fingerprints get a BK-tree in one task. A
-    larger one is not cut short: its fingerprints differ in the remaining
-    bits only, and two of them lie within two bits of each other exactly if
-    they share a point within one bit of both, so each is sent to itself and
-    to its one-bit neighbours and linked with the least fingerprint found there.
-    Rows then grow in proportion to the shard, and no task holds all of it.
+    A shard holds the fingerprints that agree on two of the four blocks, 32
+    bits, so that it stays small in a corpus of any size; each gets a BK-tree.
+    Where texts are so alike that a shard has more than ``shard_limit``
+    fingerprints, these are dealt out once more by each third of the other
+    bits, which loses no pair within the radius, and again as long as shards
+    are over the limit. After three times only ten bits are left to differ in:
+    no tree can be larger than the limit, and a fingerprint has 27 rows for
+    each of its six first shards at most. Only counts are looked at in between.
     """
-    keys = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftleft(F.shiftrightunsigned(F.col("fp"), start).bitwiseAND((1 << bits) - 1), 2).bitwiseOR(F.lit(i)).alias("key"),
-            )
-            for i, (start, bits) in enumerate(BLOCKS)
-        )
-    )
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.key")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = store(rows.join(sizes, "key"), "shards")
-    small = shared.where(F.col("n") <= shard_limit).select("key", "fp")
-    trees = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_grouped, "src long, dst long")
-
-    flips = F.array(
-        *(
-            F.when(F.col("block") == i, F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64) if not s <= b < s + n)))
-            for i, (s, n) in enumerate(BLOCKS)
-        )
-    )
-    spread = shared.where(F.col("n") > shard_limit).select("fp", "block", F.explode(F.flatten(F.filter(flips, lambda a: a.isNotNull()))).alias("point"))
-    least = spread.groupBy("block", "point").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dense = spread.join(least, ["block", "point"]).where("fp != dst").select(F.col("fp").alias("src"), "dst").distinct()
-    return trees.unionByName(dense)
+    way = lambda masks: F.array(*(F.struct(F.lit(i).alias("way"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
+    rows, small = fps.select("fp", F.explode(way(MASKS[0])).alias("k")).select("fp", "k.way", "k.key"), []
+    for level in range(len(MASKS)):
+        sizes = rows.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = store(rows.join(sizes, ["way", "key"]), "shards")
+        small.append(shared.where(F.col("n") <= shard_limit).select(F.xxhash64(F.lit(level), "way", "key").alias("shard"), "fp"))
+        large = shared.where(F.col("n") > shard_limit)
+        if level + 1 == len(MASKS):
+            small.append(large.select(F.xxhash64(F.lit(level), "way", "key").alias("shard"), "fp"))
+        elif large.isEmpty():
+            break
+        else:
+            children = F.slice(way(MASKS[level + 1]), F.col("way") * 3 + 1, F.lit(3))
+            rows = large.select("fp", F.explode(children).alias("k")).select("fp", "k.way", "k.key")
+    dealt = small[0]
+    for more in small[1:]:
+        dealt = dealt.unionByName(more)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_grouped, "src long, dst long")
 
 
 def _signed(x: int) -> int:

@@ -45,8 +45,7 @@ def test_matches_brute_force(spark, sf):
 
 
 def test_hard_rows(spark):
-    short = [(i, t) for i, t in HARD if t is None or len(t) < 1000]
-    assert result(S.near_duplicate_classes(hard_docs(spark, short))) == expected(short)
+    assert result(S.near_duplicate_classes(hard_docs(spark))) == expected(HARD)
     assert S.near_duplicate_classes(empty_docs(spark)).count() == 0
 
 
@@ -65,6 +64,39 @@ def test_tree_search_is_complete(values, value, radius):
     assert found == sorted(v for v in values if (v ^ value).bit_count() <= radius)
 
 
+def test_masks_lose_no_pair():
+    """Whatever two bits differ, two fingerprints agree on one mask of each level, and on a child of every mask they agree on."""
+    for a, b in itertools.combinations(range(64), 2):
+        flipped = 1 << a | 1 << b
+        agreed = [i for i, m in enumerate(S.MASKS[0]) if not m & flipped]
+        assert agreed
+        for level in range(1, len(S.MASKS)):
+            children = [[c for c in range(3 * i, 3 * i + 3) if not S.MASKS[level][c] & flipped] for i in agreed]
+            assert all(children)
+            agreed = [c for own in children for c in own]
+    assert all(1 << (64 - m.bit_count()) <= S.SHARD_LIMIT for m in S.MASKS[-1]) and len(S.MASKS[-1]) == 6 * 27
+
+
+def test_a_large_dense_cluster(spark):
+    """Three thousand fingerprints within a few bits of one centre, all in one shard of every level but the last."""
+    rng, centre = random.Random(17), random.Random(5).getrandbits(64)
+    values = set()
+    while len(values) < 3000:
+        v = centre
+        for b in rng.sample(range(14), rng.randrange(8)):
+            v ^= 1 << b
+        values.add(v)
+    loners = [v ^ (0x7 << 40) for v in sorted(values)[:40]]
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in [*values, *loners]]
+    links = [(r[0] & (1 << 64) - 1, r[1] & (1 << 64) - 1) for r in S.fingerprint_links(spark.createDataFrame(signed, "fp long")).collect()]
+    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+    everything = [*values, *loners]
+    near = {v: [v ^ (1 << a) ^ (1 << b) for a in range(14) for b in range(a)] + [v ^ (1 << a) for a in range(14)] for v in everything}
+    present = set(everything)
+    truth = [(v, w) for v, around in near.items() for w in around if w in present]
+    assert components(everything, links) == components(everything, truth)
+
+
 @pytest.mark.parametrize("limit", [1024, 4])
 def test_links_of_dense_shards(spark, limit):
     """Chains of one-bit and two-bit steps around few centres fill shards well over the limit."""
