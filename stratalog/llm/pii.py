@@ -73,14 +73,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: First digits by which card networks are told, from and to, and the lengths of their numbers.
+NETWORKS = [
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "649", (16, 19)), ("65", "65", (16, 19)),
+    ("3528", "3589", (16, 17, 18, 19)), ("300", "305", (14, 16, 19)), ("36", "36", (14, 16, 19)), ("38", "39", (14, 16, 19)), ("62", "62", (16, 17, 18, 19)),
+    ("5018", "5018", (13, 14, 15, 16, 17, 18, 19)), ("5020", "5020", (13, 14, 15, 16, 17, 18, 19)), ("5038", "5038", (13, 14, 15, 16, 17, 18, 19)), ("6304", "6304", (13, 14, 15, 16, 17, 18, 19)),
+    ("6759", "6759", (13, 14, 15, 16, 17, 18, 19)), ("676", "676", (13, 14, 15, 16, 17, 18, 19)),
+]
+
+
+def network(digits: str) -> int:
+    """How many first digits tell the network of a card number; 0 if none does."""
+    return next((len(low) for low, high, lengths in NETWORKS if low <= digits[: len(low)] <= high and len(digits) in lengths), 0)
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 DAY0, DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
-LATE = [d for d in map(DAY0.__add__, map(dt.timedelta, range(DAYS))) if d.day > 12]
-LATE_AT = {(d - DAY0).days: i for i, d in enumerate(LATE)}
+#: Only a day above 12 shows that a month stands first, so such days and the others are permuted among themselves, however they are written.
+_ALL = [DAY0 + dt.timedelta(i) for i in range(DAYS)]
+EARLY, LATE = [d for d in _ALL if d.day <= 12], [d for d in _ALL if d.day > 12]
+PLACE = {d: i for own in (EARLY, LATE) for i, d in enumerate(own)}
 
 
 #: Length of an IBAN by country: where groups are spaced, it tells where the number ends.
@@ -94,6 +110,10 @@ SPACED_IBAN = "|".join(
 )
 
 
+#: What makes four numbers with dots a version.
+NUMBERED = re.compile(r"(?i)(?<![a-z])(?:v|ver|version|release|rev|build)\.?[ ]?\Z")
+
+
 class Pseudonyms:
     """Finds and replaces the personal data of texts under one key; ``by`` -1 undoes it."""
 
@@ -112,7 +132,8 @@ class Pseudonyms:
           |(?P<phone2>\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}})
           |(?P<ip>\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}})
         )(?!\d)(?![.\-]\d)
-        |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .\-]?(?:\(\d{{2,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}(?!\d))
+        |(?P<phone5>(?<![\w+])\+1[ .\-]?(?:\(\d{{3}}\)|\d{{3}})[ .\-]?\d{{3}}[ .\-]?\d{{4}}(?!\d))
+        |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .\-]?(?:\(\d{{2,4}}\)[ .\-]?)?\d{{2,4}}(?:(?:[ \-]?\d{{2,4}}){{1,4}}|(?:\.\d{{2,4}}){{1,4}})(?!\d)(?!\.\d))
         |(?P<phone3>\(\d{{3}}\)[ ]?\d{{3}}[\-. ]\d{{4}}(?!\d))""",
         re.VERBOSE | re.ASCII,
     )
@@ -176,11 +197,12 @@ class Pseudonyms:
     def card(self, value: str) -> str | None:
         own = [i for i, c in enumerate(value) if c.isdigit()]
         digits = "".join(value[i] for i in own)
-        if not luhn(digits) or len(set(digits)) == 1:
+        kept = network(digits)
+        if not kept or not luhn(digits):
             return None
-        n = len(digits) - 1
-        number = self._permute(f"card:{n}", int(digits[:-1]), 10 ** (n // 2), 10 ** (n - n // 2))
-        body = str(number).zfill(n)
+        head, n = digits[:kept], len(digits) - 1 - kept
+        number = self._permute(f"card:{head}:{n}", int(digits[kept:-1]), 10 ** (n // 2), 10 ** (n - n // 2))
+        body = head + str(number).zfill(n)
         body += next(c for c in "0123456789" if luhn(body + c))
         out = list(value)
         for i, c in zip(own, body, strict=True):
@@ -206,13 +228,15 @@ class Pseudonyms:
         if swapped:
             month, day = day, month
         try:
-            number = (dt.date(year, month, day) - DAY0).days
+            own = dt.date(year, month, day)
         except ValueError:
             return None
-        if swapped:  # only a day above 12 shows that the month stands first, so these dates keep to themselves
-            new = LATE[self._permute("late date", LATE_AT[number], 217, 217, len(LATE))]
+        if own.day > 12:
+            new = LATE[self._permute("late date", PLACE[own], 211, 210, len(LATE))]
+        else:
+            new = EARLY[self._permute("early date", PLACE[own], 170, 170, len(EARLY))]
+        if swapped:
             return f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year}"
-        new = DAY0 + dt.timedelta(self._permute("date", number, 271, 270, DAYS))
         return f"{new.year}{sep}{new.month:02d}{sep}{new.day:02d}" if first else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year}"
 
     def ssn(self, value: str) -> str | None:
@@ -231,13 +255,19 @@ class Pseudonyms:
         country = re.match(r"\+(\d{1,3})(?=[ .\-(])", value)
         return self._digits("phone", value, len(country[1]) if country else 1 if value[0] == "+" else 0)
 
-    phone2 = phone3 = phone
+    phone2 = phone3 = phone5 = phone
+
+    def _shorter(self, value: str) -> int:
+        """Where a telephone number with too many digits ends, by whole groups; 0 if nowhere."""
+        ends = [m.start() for m in re.finditer(r"[ .\-]", value)]
+        return next((end for end in reversed(ends) if self.phone(value[:end])), 0)
 
     def phone4(self, value: str) -> str | None:
         """With the country's 1 in front: the same pseudonym as without."""
         return value[:2] + self.phone(value[2:])
 
     def ip(self, value: str) -> str | None:
+        """Four octets; after a word such as version they are none, see ``replace``."""
         octets = value.split(".")
         if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
             return None
@@ -263,9 +293,14 @@ class Pseudonyms:
                 rest, more = self.replace(value[5:])
                 found.update(more)
                 return value[:5] + rest
-            if out is None:
+            if out is None and kind == "phone" and (end := self._shorter(value)):  # a telephone number with another number behind it
+                rest, more = self.replace(value[end:])
+                found.update(more)
+                found["phone"] += 1
+                return self.phone(value[:end]) + rest
+            if out is None or kind == "ip" and NUMBERED.search(text, max(0, m.start() - 12), m.start()):
                 return m[0]
-            found[kind.rstrip("234")] += 1
+            found[kind.rstrip("2345")] += 1
             return (m["lead"] or "") + out
 
         return self.PATTERN.sub(new, text), found
@@ -275,8 +310,11 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
     """docs with the personal data of ``text_col`` replaced, and a count of each kind in columns whose names are returned too.
 
     Kinds: e-mail addresses; secrets after a word that announces them; IBANs
-    (mod 97), payment cards (Luhn), calendar dates from 1900 to 2099, US
-    social security numbers, telephone numbers and IPv4 addresses. Values may
+    (mod 97), payment cards (first digits of a network, its length, Luhn),
+    calendar dates from 1900 to 2099, US social security numbers, telephone
+    numbers and IPv4 addresses, unless a word such as version stands before
+    them. A card keeps the digits of its network, a date whether its day is
+    above 12: so one day stays one in every notation. Values may
     follow a digit and a comma, as in lists and CSV; a digit and a dot or dash
     before a number, or a dot or dash and a digit after it, make it part of a
     longer one, which is none of these kinds. IBANs may be spaced in fours.
