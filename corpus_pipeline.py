@@ -22,7 +22,7 @@ from stratalog.session import store
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the factorisation machine scores below 0.3."""
-    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_names_and_columns(stages, spark, sf):
 def test_quality_stage(stages, spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     before, after = rows(stages[0]), rows(stages[1])
-    scores = {r["doc_id"]: r["score"] for r in C.quality_scores(stages[0], labels).collect()}
+    scores = {r["doc_id"]: r["score"] for r in C.quality_scores(stages[0], labels, metadata=("n_chars",)).collect()}
     assert set(after) == {i for i, s in scores.items() if s >= 0.3}
     assert all(after[i] == before[i] for i in after) and 0 < len(after) < len(before)
 
