@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], watched: list[str]) -> DataFrame:
@@ -60,15 +65,36 @@ def fact_ids(df: DataFrame, relation: str, columns: list[str]) -> DataFrame:
     return df.withColumn("id", F.sha2(F.concat(F.lit(relation), F.lit("\0"), canonical_json(*columns)).cast("binary"), 256))
 
 
-def head(ids: DataFrame) -> DataFrame:
-    """(relation, n, set_hash): order-free hash of each relation's distinct ids.
+def sorted_digest(rows: DataFrame, group: str, item: str, alias: str) -> DataFrame:
+    """(group, n, alias): SHA-256 of each group's distinct items, sorted and joined by line ends.
 
-    The ids of a relation are hashed in buckets by their first digits and then
-    over the buckets, so that a large relation need not be one string.
+    A digest of an order is sequential by nature: a group's items are sorted by
+    Spark, which spills, and stream through one task that holds nothing of them.
     """
-    d = ids.select("relation", "id").distinct()
-    b = d.groupBy("relation", F.substring("id", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n").cast("binary"), 256).alias("h"))
-    return b.groupBy("relation").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n").cast("binary"), 256).alias("set_hash"))
+    kind = rows.schema[group].dataType.simpleString()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, state, out = None, 0, hashlib.sha256(), []
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and key != now:
+                    out.append((now, n, state.hexdigest()))
+                    n, state = 0, hashlib.sha256()
+                now = key
+                state.update(b"\n" + text.encode() if n else text.encode())
+                n += 1
+        out += [(now, n, state.hexdigest())] if n else []
+        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[group, "n", alias])
+
+    batch_type = to_arrow_type(rows.schema[group].dataType)
+    ordered = rows.select(group, item).distinct().repartition(group).sortWithinPartitions(group, item)
+    return ordered.mapInArrow(digest, f"`{group}` {kind}, n long, {alias} string")
+
+
+def head(ids: DataFrame) -> DataFrame:
+    """(relation, n, set_hash): order-free hash of each relation's distinct ids."""
+    return sorted_digest(ids, "relation", "id", "set_hash")
 
 
 def append_new(store: DataFrame, facts: DataFrame) -> DataFrame:

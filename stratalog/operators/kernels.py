@@ -25,22 +25,23 @@ def _adjacency(pdf: pd.DataFrame) -> dict:
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 
-def cut_nodes(adj: dict) -> list:
-    """Articulation points by low links, without recursion."""
+def cut_parts(adj: dict) -> tuple[dict, int]:
+    """Articulation points with the number of parts that their own component falls into without them, by low links in one walk; and the number of components."""
     order: dict = {}
     low: dict = {}
-    cuts: set = set()
+    parts: dict = {}
+    roots = 0
     for root in adj:
         if root in order:
             continue
+        roots += 1
         order[root] = low[root] = len(order)
-        children, work = 0, [(root, None, iter(adj[root]))]
+        work = [(root, None, iter(adj[root]))]
         while work:
             node, parent, ahead = work[-1]
             for to in ahead:
                 if to not in order:
                     order[to] = low[to] = len(order)
-                    children += node == root
                     work.append((to, node, iter(adj[to])))
                     break
                 if to != parent:
@@ -50,34 +51,22 @@ def cut_nodes(adj: dict) -> list:
                 if work:
                     up = work[-1][0]
                     low[up] = min(low[up], low[node])
-                    if up != root and low[node] >= order[up]:
-                        cuts.add(up)
-        if children > 1:
-            cuts.add(root)
-    return sorted(cuts)
-
-
-def _parts_without(adj: dict, gone) -> int:
-    seen, parts = {gone}, 0
-    for n in adj:
-        if n not in seen:
-            parts += 1
-            seen.add(n)
-            todo = [n]
-            while todo:
-                for to in adj[todo.pop()]:
-                    if to not in seen:
-                        seen.add(to)
-                        todo.append(to)
-    return parts
+                    if low[node] >= order[up]:  # nothing below reaches above: a part of its own
+                        parts[up] = parts.get(up, 0 if up == root else 1) + 1
+    return {n: k for n, k in parts.items() if k > 1}, roots
+
+
+def cut_nodes(adj: dict) -> list:
+    """Articulation points."""
+    return sorted(cut_parts(adj)[0])
 
 
 def articulation_points(edges: DataFrame, group: str = "g") -> DataFrame:
     """(group, node, severity): cut nodes of each undirected graph; severity is the number of parts left without the node."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(pdf)
-        rows = [(pdf[group].iat[0], n, _parts_without(adj, n)) for n in cut_nodes(adj)]
+        cuts, components_ = cut_parts(_adjacency(pdf))
+        rows = [(pdf[group].iat[0], n, k + components_ - 1) for n, k in sorted(cuts.items())]
         return pd.DataFrame(rows, columns=[group, "node", "severity"])
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
@@ -270,16 +259,16 @@ def persistence(edges: DataFrame, group: str = "g") -> DataFrame:
 
 
 def hitting_times(edges: DataFrame, group: str = "g", sweeps: int = 200) -> DataFrame:
-    """(group, src, dst, steps_x1000): mean steps of a random walk, by Gauss-Seidel sweeps in sorted order; a node without edges out stays where it is.
+    """(group, src, dst, steps_x1000): mean steps of a random walk that takes each of a node's distinct ends alike, by Gauss-Seidel sweeps in sorted order; a node without edges out stays where it is.
 
     Targets that cannot be reached do not diverge but end at the number of sweeps.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict = defaultdict(lambda: defaultdict(int))
+        out: dict = defaultdict(set)
         names = sorted({*pdf["src"], *pdf["dst"]})
         for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            out[a][b] += 1
+            out[a].add(b)
         rows = []
         for target in names:
             h = dict.fromkeys(names, 0.0)
@@ -288,11 +277,11 @@ def hitting_times(edges: DataFrame, group: str = "g", sweeps: int = 200) -> Data
                 for n in names:
                     if n == target:
                         continue
-                    ends = out.get(n) or {n: 1}
-                    new = 1 + sum(h[b] * k for b, k in ends.items()) / sum(ends.values())
+                    ends = sorted(out.get(n) or {n})
+                    new = 1 + sum(h[b] for b in ends) / len(ends)
                     change = max(change, abs(new - h[n]))
                     h[n] = new
-                if change < 1e-9:
+                if change < 1e-6:
                     break
             rows += [(pdf[group].iat[0], n, target, int(np.floor(h[n] * 1000))) for n in names if n != target and h[n] > 0]
         return pd.DataFrame(rows, columns=[group, "src", "dst", "steps_x1000"])

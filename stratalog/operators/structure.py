@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .diff import sorted_digest
 from .graph import degrees, reach
 
 
@@ -181,9 +182,7 @@ def least_squares(df: DataFrame, features: list[str], target: str) -> dict[str,
 def input_hash(rows: DataFrame, group: str, *columns: str) -> DataFrame:
     """(group, hash): order-free hash of each group's distinct rows; equal hashes mean that nothing needs computing again."""
     one = F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns)).cast("binary"), 256)
-    ids = rows.select(F.col(group), one.alias("id")).distinct()
-    buckets = ids.groupBy(group, F.substring("id", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n").cast("binary"), 256).alias("h"))
-    return buckets.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n").cast("binary"), 256).alias("hash"))
+    return sorted_digest(rows.select(F.col(group), one.alias("id")), group, "id", "hash").drop("n")
 
 
 def memory_id(kind: Column, fingerprint: Column) -> Column:

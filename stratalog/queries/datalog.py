@@ -62,8 +62,8 @@ CASES = {
         ".decl Out(brand: symbol) .output Out\nOut(B) :- Part(_, B, _, _).", "select distinct p_brand as brand from part", ("Part",)
     ),
     "dl_neg": Case(
-        ".decl Buys(c: number)\n.decl Out(c: number) .output Out\nBuys(C) :- Orders(_, C, _, _).\nOut(C) :- Customer(C, _, _), !Buys(C).",
-        "select c_custkey as c from customer where c_custkey not in (select o_custkey from orders)",
+        ".decl Buys(c: number)\n.decl Out(c: number) .output Out\nBuys(C) :- Orders(_, C, \"P\", _).\nOut(C) :- Customer(C, _, _), !Buys(C).",
+        "select c_custkey as c from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')",
         ("Orders", "Customer"),
     ),
     "dl_neg_wildcard": Case(

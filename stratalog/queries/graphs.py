@@ -31,9 +31,19 @@ def _grouped(df: DataFrame) -> DataFrame:
 
 
 def _trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heavier half of the trade between different nations, as a plain graph."""
-    t = trade(spark, sf_dir).where("src != dst")
-    return t.join(F.broadcast(t.agg(F.expr("percentile(count, 0.5)").alias("m"))), F.col("count") > F.col("m")).select("src", "dst", "count")
+    """The trade between different nations."""
+    return trade(spark, sf_dir).where("src != dst").select("src", "dst", "count")
+
+
+def _region_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's ring as a group of its own."""
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.col("n_regionkey").alias("g"))
+    return ring(spark, sf_dir).join(region, "src").select("g", "src", "dst")
+
+
+HITTING_SQL = """
+with p as (select cast(n_nationkey as bigint) as node, n_regionkey as g, row_number() over (partition by n_regionkey order by n_nationkey) as at, count(*) over (partition by n_regionkey) as m from nation)
+select a.node as src, b.node as dst, cast(((b.at - a.at + a.m) % a.m) * 1000 as bigint) as steps_x1000 from p a join p b on a.g = b.g and a.node != b.node"""
 
 
 def q_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +72,21 @@ def q_personalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.personalized_pagerank(edges, focus).select("node", thousandths(F.col("rank")).alias("rank_x1000"))
 
 
+PERSONAL_SQL = f"""
+with {TRADE_SQL}, e as (select src, dst, count::double as w from trade where src != dst),
+focus as (select cast(r_regionkey as bigint) as node from region),
+b as (select node, case when node in (select node from focus) then 1.0::double / (select count(*) from focus) else 0.0::double end as p from (select src as node from e union select dst from e union select node from focus)),
+s as (select src, dst, w / sum(w) over (partition by src) as share from e),
+r0 as (select node, p as r from b)
+""" + "".join(
+    f""", r{i} as materialized (
+  select b.node, 0.15::double * p + 0.85::double * (coalesce(got, 0) + lost * p) as r
+  from b cross join (select coalesce(sum(r), 0) as lost from r{i - 1} where node not in (select src from s))
+  left join (select dst, sum(r * share) as got from s join r{i - 1} on node = src group by dst) g on g.dst = b.node)"""
+    for i in range(1, 16)
+) + " select node, cast(floor(r * 1000 + 0.5) as bigint) as rank_x1000 from r15"
+
+
 def q_component_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.component_metrics(supply(spark, sf_dir), _brand(spark, sf_dir)).select("component", "ca", "ce", "instability", "distance")
 
@@ -179,7 +204,7 @@ def q_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.structure_matrix(_grouped(tree(spark, sf_dir).where("src not like 'c%'"))).drop("g")
+    return K.structure_matrix(_grouped(tree(spark, sf_dir))).drop("g")
 
 
 _D = f"with {SUPPLY_SQL}, o as (select src, count(*) as o from supply group by 1), i as (select dst, count(*) as i from supply group by 1)"
@@ -211,7 +236,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         select component, ca, ce, round(i, 4) as instability, round(abs(i - 1), 4) as distance from k""",
     ),
     "graph_pagerank": (q_pagerank, PAGERANK_SQL),
-    "graph_personalized_pagerank": (q_personalized, None),
+    "graph_personalized_pagerank": (q_personalized, PERSONAL_SQL),
     "graph_reach_depth": (
         q_reach,
         f"with recursive {TREE_SQL}, r as (select 'world' as node, 0 as depth union all select src, depth + 1 from r join tree on dst = node) select node, min(depth) as depth from r group by 1",
@@ -250,13 +275,22 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         q_arch,
         f"with {TREE_SQL} select 'direct' as rule, src, dst from tree where src like 'c%' and dst similar to 'n1.' union all select 'reach', 'n' || n_nationkey, 'world' from nation",
     ),
-    "graph_articulation": (lambda s, d: K.articulation_points(_grouped(tree(s, d).where("src not like 'c%'"))).drop("g"), None),
+    "graph_articulation": (
+        lambda s, d: K.articulation_points(_grouped(tree(s, d))).drop("g"),
+        f"with {TREE_SQL}, ends as (select src as node from tree union all select dst from tree) select node, count(*) as severity from ends group by 1 having count(*) > 1",
+    ),
     "graph_min_cut": (q_mincut, None),
-    "graph_spectral": (lambda s, d: K.spectral_scopes(_grouped(_trade_links(s, d))).drop("g"), None),
-    "graph_louvain": (lambda s, d: K.communities(_grouped(_trade_links(s, d))).drop("g"), None),
+    "graph_spectral": (
+        lambda s, d: K.spectral_scopes(_region_ring(s, d)),
+        "with r as (select n_regionkey as g, count(*) as n from nation group by 1), q as (select *, 2 - 2 * cos(2 * pi() * (n // 2) / n) as q from r) select g, n as nodes, n as edges, cast(floor(q * 1000 + 0.5) as bigint) as lambda_x1000, cast(floor(sqrt(2 * q) * 1000 + 0.5) as bigint) as cheeger_x1000 from q",
+    ),
+    "graph_louvain": (lambda s, d: K.communities(_grouped(tree(s, d))).drop("g"), None),
     "graph_persistence": (lambda s, d: K.persistence(_grouped(_trade_links(s, d).withColumnRenamed("count", "w"))).drop("g"), None),
-    "graph_hitting_times": (lambda s, d: K.hitting_times(ring(s, d).withColumn("g", F.lit(0))).drop("g"), None),
-    "graph_structure_matrix": (q_order, None),
+    "graph_hitting_times": (lambda s, d: K.hitting_times(_region_ring(s, d)).drop("g"), HITTING_SQL),
+    "graph_structure_matrix": (
+        q_order,
+        f"with {TREE_SQL}, n as (select src as node from tree union select dst from tree) select node, row_number() over (order by node) - 1 as position, row_number() over (order by node) - 1 as level from n",
+    ),
 }
 
 

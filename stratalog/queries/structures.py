@@ -286,7 +286,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "memory_recall": (q_recall, "select left(sha1(p_brand || ':' || p_partkey), 12) as id, p_partkey::varchar as fingerprint from part where p_size < 20 and p_size <> 7 and p_partkey % 2 = 1 and p_brand = 'Brand#11'"),
     "node_detail": (q_detail, _detail_sql()),
     "event_chains": (q_chains, CHAINS_SQL),
-    "input_hash": (lambda s, d: T.input_hash(table(s, d, "nation"), "n_regionkey", "n_nationkey", "n_name"), None),
+    "input_hash": (
+        lambda s, d: T.input_hash(table(s, d, "nation"), "n_regionkey", "n_nationkey", "n_name"),
+        "select n_regionkey, sha256(string_agg(id, chr(10) order by id)) as hash from (select n_regionkey, sha256(n_nationkey || chr(0) || n_name) as id from nation) group by 1",
+    ),
 }
 
 
