@@ -188,9 +188,16 @@ def run_string(spark: SparkSession, text: str, facts: Mapping[str, DataFrame] |
     return evaluate(spark, parse(text), facts, allow_recursion)
 
 
+def _rule_texts(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(path, text) of the rule files of a folder, which are as few and small as people write them."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.dl").text(folder)
+    rows = files.select("_metadata.file_path", "value").collect() if Path(folder).is_dir() or "://" in folder else []
+    return sorted((r[0].removeprefix("file://").removeprefix("file:"), r[1]) for r in rows)
+
+
 def run_dirs(spark: SparkSession, rule_dirs: Sequence[str], fact_dirs: Sequence[str] = (), allow_recursion: bool = False) -> RunResult:
-    """All ``*.dl`` files of the folders, in the order of the folders and by name within one, over the fact files of the others."""
-    parts = [(str(p), p.read_text(encoding="utf-8")) for d in rule_dirs for p in sorted(Path(d).glob("*.dl"))]
+    """All ``*.dl`` files of the folders, in the order of the folders and by name within one, over the fact files of the others. Folders may be anywhere that Spark can read."""
+    parts = [part for d in rule_dirs for part in _rule_texts(spark, str(d))]
     if not parts:
         raise DatalogError("runner.noRules", f"no rules in {', '.join(map(str, rule_dirs)) or 'no folder'}")
     program = merge(parts)

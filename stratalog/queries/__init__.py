@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, checks, datalog, graphs, structures
+from . import analytics, checks, datalog, graphs, scans, structures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return checks.queries() | datalog.queries() | analytics.queries() | graphs.queries() | structures.queries()
+    return checks.queries() | scans.queries() | datalog.queries() | analytics.queries() | graphs.queries() | structures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return checks.oracle_sql() | datalog.oracle_sql() | analytics.oracle_sql() | graphs.oracle_sql() | structures.oracle_sql()
+    return checks.oracle_sql() | datalog.oracle_sql() | analytics.oracle_sql() | graphs.oracle_sql() | structures.oracle_sql() | scans.oracle_sql()

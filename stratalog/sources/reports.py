@@ -82,3 +82,18 @@ def matrix_markdown(order: DataFrame, edges: DataFrame, most: int = 60) -> str:
     head = "| | " + " | ".join(str(i + 1) for i in range(len(names))) + " |"
     body = [f"| {i + 1} {a} | " + " | ".join("■" if i == j else "x" if (a, b) in marks else "" for j, b in enumerate(names)) + " |" for i, a in enumerate(names)]
     return "\n".join([head, "|" + "---|" * (len(names) + 1), *body])
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """One small file under exactly this name, wherever Spark can write; replaced as a whole."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}._writing")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(aside, at):
+        raise OSError(f"could not write {path}")
