@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import store
+from ..session import free_names, store
 from .text import WordHashes, gram_hashes
 
 SPACE = " \t\n\v\f\r"
@@ -163,7 +163,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rule (``vote_symbols`` and so on). kept is false where base_failed,
     otherwise posterior >= threshold. A null text has no words, so it fails the
     base test, as an empty one does. Repeated rows count as often as they
-    stand; null ids and other columns change nothing.
+    stand; null ids and other columns change nothing, and result columns step
+    aside where the id has their name.
 
     One pass counts and votes. EM needs no documents, only how often each
     pattern of votes occurs among those that pass the base test: at most three
@@ -188,11 +189,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))],
-                names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_pattern"],
+                names=["_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_pattern"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, _pattern int"
+    schema = f"_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, _pattern int"
     seen = store(docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(scan, schema), "votes")
 
     tally = seen.where(~F.col("base_failed")).groupBy("_pattern").count().collect()
@@ -203,14 +204,14 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = F.broadcast(spark.createDataFrame(scores, "_pattern int, posterior double"))
 
     digit = lambda i: (F.floor(F.col("_pattern") / F.lit(3 ** (len(names) - 1 - i))) % 3 - 1).cast("int")
-    return (
-        seen.join(known, "_pattern", "left")
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-        .select(
-            id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-            F.when(~F.col("base_failed"), F.col("posterior")).alias("posterior"), *(digit(i).alias(f"vote_{n}") for i, n in enumerate(names)),
-        )
-    )
+    columns = {
+        **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")},
+        "kept": ~F.col("base_failed") & (F.col("posterior") >= threshold),
+        "posterior": F.when(~F.col("base_failed"), F.col("posterior")),
+        **{f"vote_{n}": digit(i) for i, n in enumerate(names)},
+    }
+    aliases = free_names([id_col], *columns)
+    return seen.join(known, "_pattern", "left").select(F.col("_id").alias(id_col), *(c.alias(a) for c, a in zip(columns.values(), aliases, strict=True)))
 
 
 def _votes(patterns: np.ndarray, rules: int) -> np.ndarray:

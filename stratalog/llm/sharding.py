@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import store, with_fields
+from ..session import free_names, store, with_fields
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -38,7 +38,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     Returns ``id_col``, size (UTF-8 bytes of the text plus 8), text_crc32, law
     (``key``), shard, slot (gapless from 0 in each shard) and grown_shard (with
     one shard more). Only the key and the number of shards decide the shard: a
-    null key has a shard like any other, rows with equal keys share one, a null
+    null key has a shard like any other (result columns step aside where it has
+    their name), rows with equal keys share one, a null
     text counts as empty. Columns other than the two named are not read.
 
     The text is reduced to its size and checksum before anything moves. Slots
@@ -68,17 +69,17 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
             begun += counts
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(shard), pa.array(grown), pa.array(local), pa.array(np.full(len(key), lane, np.int32))],
-                names=[id_col, "size", "text_crc32", "shard", "grown_shard", "_local", "_lane"],
+                names=["_id", "size", "text_crc32", "shard", "grown_shard", "_local", "_lane"],
             )
 
-    schema = f"`{id_col}` {kind}, size long, text_crc32 long, shard int, grown_shard int, _local long, _lane int"
+    schema = f"_id {kind}, size long, text_crc32 long, shard int, grown_shard int, _local long, _lane int"
     placed = store(slim.mapInArrow(number, schema), "shards")
     ends = placed.groupBy("shard", "_lane").agg((F.max("_local") + 1).alias("n"))
     before = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select("shard", "_lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(starts, ["shard", "_lane"]).select(
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_local")).alias("slot"), "grown_shard"
-    )
+    names = free_names([id_col], "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    columns = [F.col("size"), F.col("text_crc32"), F.lit("key"), F.col("shard"), F.col("_start") + F.col("_local"), F.col("grown_shard")]
+    return placed.join(starts, ["shard", "_lane"]).select(F.col("_id").alias(id_col), *(c.alias(n) for c, n in zip(columns, names, strict=True)))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id") -> None:
