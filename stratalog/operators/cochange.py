@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hundredths, thousandths
+from ..session import running_sums
 
 
 def _small(commits: DataFrame, most_files: int) -> DataFrame:
@@ -53,13 +54,14 @@ def log_growth(pairs: DataFrame, min_partners: int = 2) -> DataFrame:
     return g.select("file", thousandths(F.ln(F.col("s") / F.col("partners") + 1)).alias("growth_x1000"), "partners")
 
 
-def lag_one_excess(commits: DataFrame, min_joint: int = 3, min_excess: float = 0.15) -> DataFrame:
+def lag_one_excess(commits: DataFrame, min_joint: int = 3, min_excess: float = 0.15, most_files: int = 50) -> DataFrame:
     """(a, b, joint, excess_x1000): how much likelier b changes in the commit after one of a than in any commit.
 
     Commits are numbered 0 to T-1 without gaps; a's are counted up to T-2, b's over all. Fewer than four commits say nothing.
+    Commits of more than ``most_files`` files are skipped, which bounds what two neighbours add to the join.
     """
-    c = commits.select("idx", "file").distinct()
-    span = c.agg((F.max("idx") + 1).alias("t"))
+    c = _small(commits, most_files)
+    span = commits.agg((F.max("idx") + 1).alias("t"))
     follows = c.select((F.col("idx") + 1).alias("idx"), F.col("file").alias("a")).join(c.select("idx", F.col("file").alias("b")), "idx").where("a != b").groupBy("a", "b").agg(F.count("*").alias("joint"))
     totals = c.groupBy("file").agg(F.count("*").alias("n"), F.max("idx").alias("last"))
     out = follows.where(F.col("joint") >= min_joint).join(totals.select(F.col("file").alias("a"), F.col("n").alias("na"), "last"), "a").join(totals.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
@@ -69,11 +71,11 @@ def lag_one_excess(commits: DataFrame, min_joint: int = 3, min_excess: float = 0
     return out.select("a", "b", "joint", thousandths(excess).alias("excess_x1000")).where(F.col("excess_x1000") >= int(min_excess * 1000))
 
 
-def lift(commits: DataFrame, min_count: int = 3, min_lift: float = 2.0) -> DataFrame:
-    """(a, b, count, lift_x1000); a file's occurrences count duplicates within a commit, pairs do not."""
+def lift(commits: DataFrame, min_count: int = 3, min_lift: float = 2.0, most_files: int = 50) -> DataFrame:
+    """(a, b, count, lift_x1000); a file's occurrences count duplicates within a commit, pairs do not, nor commits of more than ``most_files`` files."""
     totals = commits.groupBy("file").agg(F.count("*").alias("n"))
     t = commits.agg(F.count_distinct("idx").alias("t"))
-    c = commits.select("idx", "file").distinct()
+    c = _small(commits, most_files)
     pairs = c.select("idx", F.col("file").alias("a")).join(c.select("idx", F.col("file").alias("b")), "idx").where("a < b").groupBy("a", "b").agg(F.count("*").alias("count"))
     out = pairs.where(F.col("count") >= min_count).join(totals.select(F.col("file").alias("a"), F.col("n").alias("na")), "a").join(totals.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
     out = out.join(F.broadcast(t), F.lit(True))  # one row
@@ -106,9 +108,8 @@ def prune_transitive(edges: DataFrame) -> DataFrame:
 
 def commits_from_log(lines: DataFrame, marker: str = "COMMIT") -> DataFrame:
     """(idx, file) from log lines (n, line), newest first: a marker line opens each commit; idx counts from the oldest."""
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.col("line").startswith(marker)
-    numbered = lines.withColumn("c", F.sum(F.when(opens, 1).otherwise(0)).over(w))
+    numbered = running_sums(lines, [], [F.col("n")], c=F.when(opens, 1).otherwise(0))
     total = numbered.agg(F.max("c").alias("t"))
     files = numbered.where(~opens & (F.trim("line") != "") & (F.col("c") > 0)).join(F.broadcast(total), F.lit(True))
     return files.select((F.col("t") - F.col("c")).alias("idx"), F.trim("line").alias("file"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import thousandths
+from ..session import running_sums
 
 
 def entropy(df: DataFrame, key: str, value: str, min_total: int = 3) -> DataFrame:
@@ -37,15 +38,10 @@ def kl_divergence(after: DataFrame, before: DataFrame, key: str, target: str, we
 
 def pareto_rank(df: DataFrame, group: str, key: str, weight: str, share: float = 0.8) -> DataFrame:
     """(group, rank, keys): how many of a group's heaviest keys hold ``share`` of its weight."""
-    w = Window.partitionBy(group).orderBy(F.desc(weight), key)
-    run = df.select(
-        group,
-        F.row_number().over(w).alias("rank"),
-        F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"),
-        F.sum(weight).over(Window.partitionBy(group)).alias("total"),
-        F.count("*").over(Window.partitionBy(group)).alias("keys"),
-    )
-    return run.where(F.col("running") >= share * F.col("total")).groupBy(group).agg(F.min("rank").cast("bigint").alias("rank"), F.max("keys").alias("keys"))
+    totals = df.groupBy(group).agg(F.sum(weight).alias("total"), F.count("*").alias("keys")).select(F.col(group).alias("_g"), "total", "keys")
+    run = running_sums(df.select(group, key, weight), [group], [F.desc(weight), F.col(key)], rank=F.lit(1), running=F.col(weight))
+    held = run.join(totals, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("running") >= share * F.col("total"))
+    return held.groupBy(group).agg(F.min("rank").cast("bigint").alias("rank"), F.max("keys").alias("keys"))
 
 
 def wasserstein(after: DataFrame, before: DataFrame, group: str, key: str, weight: str) -> DataFrame:
@@ -53,8 +49,7 @@ def wasserstein(after: DataFrame, before: DataFrame, group: str, key: str, weigh
     a = after.groupBy(group, key).agg(F.sum(weight).alias("a"))
     b = before.groupBy(group, key).agg(F.sum(weight).alias("b"))
     both = a.join(b, [group, key], "full_outer").na.fill(0, ["a", "b"])
-    w = Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumn("gap", F.abs(F.sum(F.col("a") - F.col("b")).over(w)))
+    run = running_sums(both, [group], [F.col(key)], gap=F.col("a") - F.col("b")).withColumn("gap", F.abs("gap"))
     out = run.groupBy(group).agg(F.sum("gap").alias("work"), F.greatest(F.sum("a"), F.sum("b")).alias("mass"))
     return out.select(group, F.when(F.col("mass") > 0, thousandths(F.col("work") / F.col("mass"))).otherwise(0).alias("distance_x1000"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import glob_regex, thousandths
-from ..session import cut
+from ..session import Growing, cut
 from .components import connected_components
 from .kernels import strong_components_in_task
 
@@ -78,16 +78,16 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth): fewest steps from any seed (node) along the edges; a frontier join per step."""
     e = edges.select("src", "dst").distinct()
-    known = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front, step = known, 0
+    front, step = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0))), 0
+    known = Growing(front)
     while depth is None or step < depth:
         step += 1
-        new = front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
+        new = front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(known.df, "node", "left_anti")
         front = cut(new.withColumn("depth", F.lit(step)))
         if front.isEmpty():
             break
-        known = cut(known.unionByName(front))
-    return known
+        known.add(front)
+    return known.df
 
 
 def affected(edges: DataFrame, changed: DataFrame, depth: int | None = None, tests: str = r"(^|/)(tests?|__tests__)/|\.(test|spec)\.") -> DataFrame:
@@ -100,15 +100,15 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int = 16) -> Dat
     """(source, node, path): for every source (node) the first of the shortest paths to each node more than one step away."""
     e = edges.select("src", "dst").where("src != dst").distinct()
     front = sources.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array("node").alias("path")).distinct()
-    known = cut(front)
-    front = known
+    front = cut(front)
+    known = Growing(front)
     for _ in range(depth):
         new = front.join(e, front.at == e.src).groupBy("source", F.col("dst").alias("at")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        front = cut(new.join(known, ["source", "at"], "left_anti"))
+        front = cut(new.join(known.df, ["source", "at"], "left_anti"))
         if front.isEmpty():
             break
-        known = cut(known.unionByName(front))
-    return known.where(F.size("path") > 2).select("source", F.col("at").alias("node"), "path")
+        known.add(front)
+    return known.df.where(F.size("path") > 2).select("source", F.col("at").alias("node"), "path")
 
 
 def arch_violations(edges: DataFrame, rules: list[tuple[str, str, str, bool]]) -> DataFrame:

@@ -72,16 +72,22 @@ def untested_ranking(files: DataFrame, edges: DataFrame, tested: DataFrame, writ
 def anchor_matches(anchors: DataFrame, files: DataFrame) -> DataFrame:
     """(anchor, file): a document's anchor names a file by its whole path, by a suffix after a slash, or by a glob with ``*``.
 
-    Whole paths and suffixes join on equality, over the suffixes of each path;
-    only anchors with a star are compared one by one, broadcast as the few rows
-    that a project's documents hold.
+    Whole paths and suffixes join on equality, over the suffixes of each path.
+    A star stays within one part of a path, so an anchor with stars has as many
+    parts as its files, and the two meet on that number and on the longest part
+    without a star, where there is one; only then is the pattern tried.
     """
     parts = F.split("file", "/")
     ends = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("anchor"))
     plain = anchors.where(~F.col("anchor").contains("*")).select("anchor").distinct().join(ends, "anchor").select("anchor", "file")
     stars = anchors.where(F.col("anchor").contains("*")).select("anchor").distinct()
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("anchor", r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", "[^/]*"), F.lit("$"))
-    starred = files.select("file").join(F.broadcast(stars.withColumn("re", pattern)), F.regexp("file", F.col("re"))).select("anchor", "file")
+    pieces = F.split("anchor", "/")
+    fixed = F.filter(F.transform(pieces, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))), lambda p: ~p["x"].contains("*"))
+    keyed = stars.withColumns({"re": pattern, "_n": F.size(pieces), "_f": F.array_max(fixed)}).withColumns({"_i": F.coalesce("_f.i", F.lit(-1)), "_x": F.coalesce("_f.x", F.lit(""))})
+    places = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("x"))), F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
+    cut_up = files.select("file", F.size(parts).alias("_n"), F.explode(places).alias("p")).select("file", "_n", F.col("p.i").alias("_i"), F.col("p.x").alias("_x"))
+    starred = cut_up.join(keyed, ["_n", "_i", "_x"]).where(F.regexp("file", F.col("re"))).select("anchor", "file")
     return plain.unionByName(starred).distinct()
 
 

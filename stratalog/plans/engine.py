@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang import DatalogError, Program, merge, parse, stratify
-from ..session import cut
+from ..session import Growing, cut
 from ..sources.facts import facts_frame, read_facts
 from .compiler import Catalog, check_head, compile_aggregate, compile_rule, empty, kind_of, schema_of
 
@@ -155,14 +155,15 @@ def evaluate(spark: SparkSession, program: Program, facts: Mapping[str, DataFram
 
 
 def _fixpoint(catalog: Catalog, rels: Sequence[str], rules: list, given: Mapping[str, DataFrame], max_rounds: int) -> int:
-    """Semi-naive evaluation of a recursive stratum; the number of rounds."""
+    """Semi-naive evaluation of a recursive stratum; the number of rounds. What is known is the union of what the rounds have found, not written anew by each."""
     own = set(rels)
     base = [r for r in rules if not any(a.rel in own for a in r.positive)]
     step = [r for r in rules if any(a.rel in own for a in r.positive)]
     delta: dict[str, DataFrame] = {}
+    whole: dict[str, Growing] = {}
     for rel in rels:
         delta[rel] = cut(_union([given[rel], *(compile_rule(r, catalog) for r in base if r.head.rel == rel)]).distinct())
-        catalog.frames[rel] = delta[rel]
+        catalog.frames[rel], whole[rel] = delta[rel], Growing(delta[rel])
     for n in range(1, max_rounds + 1):
         fresh: dict[str, list[DataFrame]] = {}
         for rule in step:
@@ -179,7 +180,8 @@ def _fixpoint(catalog: Catalog, rels: Sequence[str], rules: list, given: Mapping
         if not found:
             return n
         for rel, new in found.items():
-            catalog.frames[rel] = cut(catalog.frames[rel].unionByName(new))
+            whole[rel].add(new)
+            catalog.frames[rel] = whole[rel].df
         delta = found
     raise DatalogError("eval.roundLimit", f"no fixpoint after {max_rounds} rounds")
 

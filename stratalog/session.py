@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULTS = {
@@ -53,6 +54,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Growing:
+    """A DataFrame that grows part by part and is read as their union.
+
+    Parts are merged like the digits of a counter, so a row is written again
+    only as often as the number of parts has digits; the base never is.
+    """
+
+    def __init__(self, base: DataFrame):
+        self.base, self.parts = base, []
+
+    def add(self, part: DataFrame) -> None:
+        """part should have its lineage cut already."""
+        level = 0
+        while self.parts and self.parts[-1][0] == level:
+            part, level = cut(self.parts.pop()[1].unionByName(part)), level + 1
+        self.parts.append((level, part))
+
+    @property
+    def df(self) -> DataFrame:
+        out = self.base
+        for _, part in self.parts:
+            out = out.unionByName(part)
+        return out
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[Column], **values: Column) -> DataFrame:
+    """df with the running sum of each value within its group, in the order, the row's own included.
+
+    Ranges of the order are summed in a task each, so a large group is spread
+    over many; those that begin within a group carry on with the sums of the
+    ranges before, of which there is one row for each range.
+    """
+    group_, own = [F.col(g) for g in group], list(values)
+    ranged = store(df.withColumns(values).repartitionByRange(*group_, *order).withColumn("_run", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_run", *group_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy(*group_, "_run").agg(*(F.sum(v).alias(v) for v in own))
+    before = Window.partitionBy(*group_).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_run").alias("_r"), *(F.sum(v).over(before).alias(f"_c{i}") for i, v in enumerate(own)))
+    same = F.col("_run") == F.col("_r")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = ranged.join(F.broadcast(carried.where("_c0 is not null")), same, "left")  # a range has at most one group that began before it
+    here = {v: F.sum(v).over(within) + F.coalesce(f"_c{i}", F.lit(0)) for i, v in enumerate(own)}
+    return joined.withColumns(here).select(*df.columns, *own)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/stratalog-{name}-{uuid.uuid4().hex}"

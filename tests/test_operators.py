@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.operators import diff as D
 from stratalog.operators import distribution as V
 from stratalog.operators import structure as T
+from stratalog.session import Growing, running_sums
 
 
 def test_nearest_rank(spark):
@@ -71,3 +74,41 @@ def test_max_coverage_and_empty_inputs(spark):
     assert V.entropy(sets.where("false"), "t", "f").count() == 0
     assert V.entropy(spark.createDataFrame([("k", "x")] * 4, "k string, v string"), "k", "v").head()["entropy_x1000"] == 0
     assert V.entropy(spark.createDataFrame([("k", "x"), ("k", "y")] * 2, "k string, v string"), "k", "v").head()["entropy_x1000"] == 1000
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums(spark, parts):
+    """One group with most rows, nulls among the groups, ties broken by the key."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 2, 2, 2, 2]), i, rng.randrange(-5, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, k int, v int").repartition(parts)
+    with_parts = spark.conf.get("spark.sql.shuffle.partitions")
+    out = {r["k"]: (r["s"], r["n"]) for r in running_sums(df, ["g"], [F.col("k").desc()], s=F.col("v"), n=F.lit(1)).collect()}
+    assert with_parts and len(out) == 500
+    for g, k, _ in rows:
+        before = [v for h, j, v in rows if h == g and j >= k]
+        assert out[k] == (sum(before), len(before))
+    assert running_sums(df.where("false"), ["g"], [F.col("k")], s=F.col("v")).count() == 0
+
+
+def test_growing_sets_are_written_seldom(spark):
+    whole, seen = Growing(spark.range(0)), 0
+    for i in range(11):
+        whole.add(spark.range(10 * i, 10 * i + 10))
+        seen += 10
+        assert whole.df.count() == seen and len(whole.parts) == bin(i + 1).count("1")
+
+
+def test_anchors_with_stars(spark):
+    files = ["src/a.ts", "src/b.ts", "src/x/a.ts", "a.ts", "lib/src/a.ts", "src/ab.spec.ts", "é/(x).ts"]
+    anchors = ["src/*.ts", "*/a.ts", "a.ts", "*", "src/*/*.ts", "*/*", "src/a*.ts", "x/a.ts", "é/(*).ts", "nothing/*"]
+    got = {tuple(r) for r in T.anchor_matches(spark.createDataFrame([(a,) for a in anchors], "anchor string"), spark.createDataFrame([(f,) for f in files], "file string")).collect()}
+    wanted = set()
+    for a in anchors:
+        for f in files:
+            if "*" in a:
+                hit = re.fullmatch("".join("[^/]*" if c == "*" else re.escape(c) for c in a), f)
+            else:
+                hit = f == a or f.endswith("/" + a)
+            wanted |= {(a, f)} if hit else set()
+    assert got == wanted
