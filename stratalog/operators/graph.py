@@ -182,6 +182,46 @@ def cycle_records(components: DataFrame) -> DataFrame:
     return g.select(F.substring(F.sha1(F.array_join("members", "|").cast("binary")), 1, 12).alias("id"), F.size("members").alias("size"), "members")
 
 
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(id, size, members, path) of the strongly connected components of two nodes or more.
+
+    The path is a shortest way round from the least member: the first in the
+    order of its nodes. Only edges within components are walked, a step of all
+    components at once.
+    """
+    found = cut(strong_components(edges))
+    home = found.select(F.col("node").alias("dst"), F.col("component").alias("_to"))
+    inner = edges.select("src", "dst").where("src != dst").distinct().join(found.select(F.col("node").alias("src"), "component"), "src").join(home, "dst").where("component = _to").select("component", "src", "dst")
+    inner, records = cut(inner), cycle_records(found)
+    ids = found.select("component", "node").groupBy("component").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("members"))
+    start = found.groupBy("component").agg(F.min("node").alias("node"))
+    front = start.select("component", F.col("node").alias("at"), F.array(F.col("node").cast("string")).alias("path"), F.col("node").alias("first"))
+    seen, rounds = Growing(cut(front.select("component", "at"))), []
+    while True:
+        step = front.join(inner.withColumnsRenamed({"component": "_c", "src": "_s"}), (F.col("component") == F.col("_c")) & (F.col("at") == F.col("_s")))
+        step = cut(step.groupBy("component", "first", F.col("dst").alias("at")).agg(F.min(F.concat("path", F.array(F.col("dst").cast("string")))).alias("path")))
+        rounds.append(step.where("at = first").select("component", "path"))
+        closed = rounds[-1].select("component")
+        front = cut(step.where("at != first").join(seen.df, ["component", "at"], "left_anti").join(closed, "component", "left_anti"))
+        if front.isEmpty():
+            break
+        seen.add(front.select("component", "at"))
+    done = rounds[0]
+    for more in rounds[1:]:
+        done = done.unionByName(more)
+    return ids.join(done, "component").join(records, "members").select("id", "size", "members", "path")
+
+
+def module_ranks(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 500) -> DataFrame:
+    """(node, rank): PageRank until the ranks move by less than ``tolerance`` in all, over the largest, to six digits."""
+    e = edges.select("src", "dst").where("src != dst").distinct().withColumn("w", F.lit(1.0))
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst"))).distinct()
+    n = nodes.count()
+    ranks = _rank(e, nodes.withColumn("p", F.lit(1.0) / max(1, n)), rounds, damping, tolerance)
+    most = ranks.agg(F.max("rank").alias("_most"))
+    return ranks.join(F.broadcast(most), F.lit(True)).select("node", F.round(F.col("rank") / F.col("_most"), 6).alias("rank"))  # one row
+
+
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """(node, rank) after a fixed number of rounds; the rank of nodes without edges out is shared by all."""
     e = edges.select("src", "dst").where("src != dst").distinct()

@@ -130,6 +130,26 @@ def structural_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value") for name, df in tables.items()])
 
 
+def diff_counters(before: dict[str, tuple[DataFrame, list[str]]], after: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(counter, value): rows added, removed and changed in each kind of structure, zeros included.
+
+    A kind is a table and the columns that identify its rows; its other columns
+    are what can change. Tables are compared by one join on the key, so counters
+    of any number of kinds are one union.
+    """
+    out = []
+    for kind, (old, keys) in before.items():
+        new, _ = after[kind]
+        rest = [c for c in old.columns if c not in keys]
+        tag = lambda df, side: df.select(*keys, F.xxhash64(F.lit(0), *rest).alias(side)).dropDuplicates(keys)  # noqa: B023, E731
+        both = tag(old, "_b").join(tag(new, "_a"), keys, "full_outer")
+        counts = both.agg(
+            F.count(F.when(F.col("_b").isNull(), 1)).alias("added"), F.count(F.when(F.col("_a").isNull(), 1)).alias("removed"), F.count(F.when(F.col("_a") != F.col("_b"), 1)).alias("changed")
+        )
+        out.append(counts.select(F.explode(F.array(*(F.struct(F.lit(f"{kind} {c}").alias("counter"), F.col(c).alias("value")) for c in ("added", "removed", "changed")))).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def structural_checks(before: dict[str, DataFrame], after: dict[str, DataFrame], drop: float = 0.1) -> DataFrame:
     """(check, subject) of the five regressions.
 

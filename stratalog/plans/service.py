@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import hashlib
+import json
 import sys
 import threading
 import uuid
@@ -121,7 +122,7 @@ def within(spark: SparkSession, seconds: float, df: DataFrame) -> list | None:
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """``run`` evaluates folders of rules over folders of facts; ``parse`` checks rule files; ``check`` fails on violations that a baseline lacks."""
+    """``run`` evaluates folders of rules over folders of facts; ``parse`` checks rule files; ``check`` fails on violations that a baseline lacks; ``query`` asks an endpoint over a folder of tables, ``serve`` answers them over HTTP."""
     p = argparse.ArgumentParser(prog="stratalog")
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="evaluate rules")
@@ -139,6 +140,14 @@ def main(arguments: list[str] | None = None) -> int:
     check_.add_argument("--sarif", action="store_true")
     check_.add_argument("--timeout", type=float, default=0)
     sub.add_parser("parse", help="check rule files").add_argument("files", nargs="+")
+    query = sub.add_parser("query", help="ask an endpoint")
+    query.add_argument("endpoint")
+    query.add_argument("--data", required=True, help="a folder with a Parquet table for each relation")
+    query.add_argument("--limit", type=int, default=1000)
+    query.add_argument("--arg", action="append", default=[], metavar="name=value")
+    server = sub.add_parser("serve", help="answer endpoints over HTTP")
+    server.add_argument("--data", required=True)
+    server.add_argument("--port", type=int, default=8321)
     a = p.parse_args(arguments)
     try:
         if a.command == "parse":
@@ -146,6 +155,8 @@ def main(arguments: list[str] | None = None) -> int:
             print(f"{len(program.decls)} relations, {len(program.rules)} rules, {len(program.facts)} facts, {len(program.aggregates)} aggregates")
             return 0
         spark = SparkSession.getActiveSession() or SparkSession.builder.appName("stratalog").getOrCreate()
+        if a.command in ("query", "serve"):
+            return _endpoints(a, spark)
         result = run_dirs(spark, a.rules, a.facts, a.allow_recursion)
         return _run(a, result) if a.command == "run" else _check(a, spark, result)
     except DatalogError as e:
@@ -153,6 +164,25 @@ def main(arguments: list[str] | None = None) -> int:
         return 2
 
 
+def _endpoints(a: argparse.Namespace, spark: SparkSession) -> int:
+    from .endpoints import FolderRelations, call, serve
+
+    relations = FolderRelations(spark, a.data)
+    if a.command == "serve":
+        serve(relations, port=a.port).serve_forever()
+        return 0
+    try:
+        rows, more = call(relations, a.endpoint, a.limit, **dict(x.split("=", 1) for x in a.arg))
+    except (KeyError, TypeError, ValueError) as e:
+        print(e.args[0] if e.args else e, file=sys.stderr)
+        return 2
+    for row in rows:
+        print(json.dumps(row, default=str, ensure_ascii=False))
+    if more:
+        print(f"more than {a.limit} rows", file=sys.stderr)
+    return 0
+
+
 def _run(a: argparse.Namespace, result: RunResult) -> int:
     text = result.json() + "\n" if a.json else result.text()
     sys.stdout.write(text)
