@@ -7,6 +7,8 @@ sum-of-squares identity gives in time linear in the features.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,9 +23,12 @@ from .text import LOWER, WordHashes
 
 #: Hashed word features; structure and metadata features have places of their own behind them.
 BUCKETS = 1 << 15
+#: Features of documents that are scored at once.
+BATCH_FEATURES = 1 << 15
 #: Upper limits of the bins of each structure statistic.
 BINS = np.array([0.005, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95])
 LOG_BINS = np.array([1.5, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14])
+_BINS, _LOG_BINS = BINS.tolist(), LOG_BINS.tolist()
 STATISTICS = ("symbols", "marked", "lettered", "upper", "digits", "distinct", "top_word", "bigrams", "dup_lines", "ended", "word_length", "words")
 SYMBOLS = b"#*$%&|<>!=+~^_@{}[]\\"
 _SPACE = b" \t\n\v\f\r"
@@ -43,10 +48,8 @@ class Buckets(WordHashes):
         return out
 
 
-def statistics(text: str) -> list[float]:
-    """Shares between 0 and 1, then mean word length and log of the number of words."""
-    data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
+def statistics(text: str, data: bytes, words: list[bytes], counts: Counter) -> list[float]:
+    """Shares between 0 and 1, then mean word length and log of the number of words; ``data`` is the text, words and their counts are in lower case."""
     n = len(words)
     if not n:
         return [0.0] * len(STATISTICS)
@@ -54,9 +57,6 @@ def statistics(text: str) -> list[float]:
     chars = max(1, len(data) - without(_SPACE))
     letters = max(1, without(_LETTERS))
     lines = [x for x in text.split("\n") if x.strip()]
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
     pairs = set(zip(words, words[1:], strict=False))
     return [
         without(SYMBOLS) / chars, len(data.translate(None, _NO_MARK).split()) / n, len(data.translate(None, _NO_LETTER).split()) / n,
@@ -69,17 +69,19 @@ def statistics(text: str) -> list[float]:
 def features(text: str | None, metadata: Sequence[float | None], buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values: words by the root of their count, together of length one; statistics and metadata as one of their bins."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    at, times = np.unique(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), return_counts=True)
+    data = text.encode("utf-8", "surrogatepass")
+    words = data.translate(LOWER).split()
+    counts = Counter(words)
+    known = np.fromiter(map(buckets.__getitem__, counts), np.int64, len(counts))
+    at, back = np.unique(known, return_inverse=True)
+    times = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts)), len(at))
     value = np.sqrt(times)
-    value /= max(1e-9, np.sqrt(times.sum()))
-    stats, width = statistics(text), len(BINS) + 1
-    own = [
-        BUCKETS + i * width + int(np.searchsorted(LOG_BINS if i >= len(stats) - 2 else BINS, x)) for i, x in enumerate(stats)
-    ]
+    value /= max(1e-9, np.sqrt(len(words)))
+    stats, width = statistics(text, data, words, counts), len(BINS) + 1
+    own = [BUCKETS + i * width + bisect_left(_LOG_BINS if i >= len(stats) - 2 else _BINS, x) for i, x in enumerate(stats)]
     for i, x in enumerate(metadata, len(stats)):
         missing = x is None or x != x
-        own.append(BUCKETS + i * width + (len(LOG_BINS) + 1 if missing else int(np.searchsorted(LOG_BINS, np.log1p(max(0.0, x))))))
+        own.append(BUCKETS + i * width + (len(LOG_BINS) + 1 if missing else bisect_left(_LOG_BINS, float(np.log1p(max(0.0, x))))))
     return np.concatenate([at, own]), np.concatenate([value, np.ones(len(own))])
 
 
@@ -181,10 +183,16 @@ def score_column(docs: DataFrame, machine: Machine, text_col: str = "text", meta
         buckets, m = Buckets(), shared.value
         for texts, *more in batches:
             out = np.empty(len(texts))
-            more = more[: len(metadata)]
+            columns = [c.tolist() for c in more[: len(metadata)]]  # a missing number is NaN, which is missing to features too
+            rows: list[tuple[np.ndarray, np.ndarray]] = []
+            begin = held = 0
             for i, text in enumerate(texts):
-                at, x = features(text, [None if pd.isna(c.iat[i]) else float(c.iat[i]) for c in more], buckets)
-                out[i] = m.score(at, x, np.zeros(1, np.int64))[0]
+                rows.append(features(text, [c[i] for c in columns], buckets))
+                held += len(rows[-1][0])
+                if held > BATCH_FEATURES or i + 1 == len(texts):
+                    lengths = np.array([len(at) for at, _ in rows])
+                    out[begin : i + 1] = m.score(np.concatenate([at for at, _ in rows]), np.concatenate([x for _, x in rows]), np.cumsum(lengths) - lengths)
+                    begin, held, rows = i + 1, 0, []
             yield pd.Series(out)
 
     # a single column would come without its tuple
