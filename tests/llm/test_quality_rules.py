@@ -73,3 +73,23 @@ def test_verdicts_agree_with_labels(spark):
     labels = spark.read.parquet(f"{path}/labels.parquet").collect()
     share = {q: np.mean([kept[r["doc_id"]] for r in labels if r["quality"] == q]) for q in (0, 1)}
     assert share[1] > 0.9 and share[0] < share[1] - 0.3, share
+
+
+@pytest.mark.parametrize("odd", ["noise", "inverted"])
+def test_a_rule_that_is_wrong(odd):
+    """Four sound rules and one that votes by chance, or the wrong way round: the verdicts stay those of the four."""
+    rng = np.random.default_rng(8)
+    n = 40_000
+    good = rng.random(n) < 0.8
+    called, alarm = np.array([0.75, 0.6, 0.7, 0.8]), np.array([0.05, 0.1, 0.02, 0.04])
+    poor = np.where(good[:, None], rng.random((n, 4)) < alarm, rng.random((n, 4)) < called)
+    last = rng.random(n) < 0.3 if odd == "noise" else np.where(good, rng.random(n) < 0.5, rng.random(n) < 0.1)
+    votes = np.where(np.column_stack([poor, last]), -1, 1)
+    patterns, weight = np.unique(votes, axis=0, return_counts=True)
+    model = Q.fit(patterns, weight.astype(float))
+    with_it = model.posterior(votes) >= 0.5
+    four, four_weight = np.unique(votes[:, :4], axis=0, return_counts=True)
+    without = Q.fit(four, four_weight.astype(float)).posterior(votes[:, :4]) >= 0.5
+    assert (without == good).mean() > 0.95
+    assert (with_it == good).mean() > (without == good).mean() - 0.01
+    assert model.accuracies[4, 1] <= 0.75, "what calls many sound documents poor is not believed to be exact"
