@@ -72,3 +72,19 @@ def query_key(value: str | int | float | tuple) -> str:
     if value != value or value in (float("inf"), float("-inf")):
         raise DatalogError("key.notFinite", f"{value!r} is not finite")
     return f"n\0{value}"
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a of a text's UTF-8 bytes, as a long: the affinity by which work is dealt to a fixed number of workers."""
+    octets = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    step = lambda h, x: ((h.bitwiseXOR(F.conv(x, 16, 10).cast("bigint"))) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(octets, F.lit(2166136261).cast("bigint"), step)
+
+
+def age_text(seconds: Column) -> Column:
+    """How long ago, in the largest unit that fills up: ``3 days ago``."""
+    out = F.concat(seconds.cast("string"), F.lit(" seconds ago"))
+    for size, unit in ((60, "minute"), (3600, "hour"), (86400, "day"), (604800, "week"), (2629800, "month"), (31557600, "year")):
+        n = F.floor(seconds / size)
+        out = F.when(n >= 1, F.concat(n.cast("string"), F.when(n == 1, f" {unit} ago").otherwise(f" {unit}s ago"))).otherwise(out)
+    return out

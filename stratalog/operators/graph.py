@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import glob_regex, thousandths
@@ -70,6 +70,20 @@ def node_status(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataF
     return n.select("node", F.when(F.col("e"), "entry").when(F.col("sure"), "connected").when(F.col("sure").isNotNull(), "uncertain").otherwise("orphan").alias("status"))
 
 
+def health(status: DataFrame) -> DataFrame:
+    """One row: files, entries, connected, orphans, uncertain, and the share of connected files among those that are no entries in hundredths (100 without any)."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    t = status.agg(F.count("*").alias("files"), n("entry").alias("entries"), n("connected").alias("connected"), n("orphan").alias("orphans"), n("uncertain").alias("uncertain"))
+    others = F.col("files") - F.col("entries")
+    return t.withColumn("health_x100", F.when(others > 0, F.floor(F.col("connected") * 100 / others + 0.5)).otherwise(100).cast("bigint"))
+
+
+def container_of(path: Column, depth: int = 3) -> Column:
+    """The first ``depth`` folders of a path, or as many as it has."""
+    folders = F.split(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "/")
+    return F.array_join(F.slice(folders, 1, depth), "/")
+
+
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
     """Who points at the node, by its whole id or as the part after the last colon."""
     return edges.where((F.col("dst") == node) | F.endswith(F.col("dst"), F.lit(f":{node}"))).select("src", "dst").distinct()

@@ -45,6 +45,28 @@ def flows(calls: DataFrame, entries: DataFrame, sinks: DataFrame, depth: int = 8
     return near.join(sinks, "node").select("node", "sink", "depth").distinct()
 
 
+def downstream(emits: DataFrame, listeners: DataFrame) -> DataFrame:
+    """(entry, event, listener): the entries that a flow sets off in turn, one event further: its emits (entry, event) met by listeners (entry, event)."""
+    heard = listeners.select(F.col("entry").alias("listener"), "event").distinct()
+    return emits.select("entry", "event").distinct().join(heard, "event").where("entry != listener").select("entry", "event", "listener")
+
+
+def merge_partials(parts: DataFrame, key: str, sums: list[str] = (), maxima: list[str] = (), sets: list[str] = (), maps: list[str] = (), lists: list[str] = ()) -> DataFrame:
+    """One row for each key from partial results of any number of workers: numbers added or maximised, sets united, maps of counts added up, lists appended and sorted.
+
+    Each fold is associative and commutative, so parts may come in any order
+    and are folded before they are shuffled where that makes them smaller.
+    """
+    flat = lambda c: F.flatten(F.collect_list(c))
+    folds = [*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima), *(F.array_sort(F.array_distinct(flat(c))).alias(c) for c in sets), *(F.array_sort(flat(c)).alias(c) for c in lists)]
+    out = parts.groupBy(key).agg(*folds) if folds else parts.select(key).distinct()
+    for c in maps:  # by entry, so that a large map is never held by one row of a shuffle
+        entries = parts.select(key, F.explode(c).alias("_k", "_v")).groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
+        folded = entries.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(c))
+        out = out.join(folded, key, "left")
+    return out
+
+
 def truth_points(signals: DataFrame) -> DataFrame:
     """(concept, writers, readers, canonical): sorted file lists of each concept's write and read signals (concept, file, role); canonical if one file alone writes it."""
     s = signals.select("concept", "file", "role").distinct()

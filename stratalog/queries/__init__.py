@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, asked, checks, datalog, graphs, scans, structures
+from . import analytics, asked, checks, datalog, graphs, pieces, scans, structures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return asked.queries() | checks.queries() | scans.queries() | datalog.queries() | analytics.queries() | graphs.queries() | structures.queries()
+    return pieces.queries() | asked.queries() | checks.queries() | scans.queries() | datalog.queries() | analytics.queries() | graphs.queries() | structures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return asked.oracle_sql() | checks.oracle_sql() | datalog.oracle_sql() | analytics.oracle_sql() | graphs.oracle_sql() | structures.oracle_sql() | scans.oracle_sql()
+    return pieces.oracle_sql() | asked.oracle_sql() | checks.oracle_sql() | datalog.oracle_sql() | analytics.oracle_sql() | graphs.oracle_sql() | structures.oracle_sql() | scans.oracle_sql()
