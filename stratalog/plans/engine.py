@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang import DatalogError, Program, merge, parse, stratify
-from ..session import Growing, cut
+from ..session import Growing, cut, store
 from ..sources.facts import facts_frame, read_facts
-from .compiler import Catalog, check_head, compile_aggregate, compile_rule, empty, kind_of, schema_of
+from .compiler import Catalog, check_head, compile_aggregate, compile_rule, empty, kind_of, schema_of, tuple_text
 
 
 @dataclass
@@ -54,13 +54,20 @@ class RunResult:
         quote = lambda v: str(v) if not isinstance(v, str) else '"' + v.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t") + '"'
         return "".join(f"{rel}({', '.join(map(quote, row))}).\n" for rel in self.outputs for row in self.rows(rel))
 
-    def json(self) -> str:
-        return json.dumps({"outputs": {rel: [list(r) for r in self.rows(rel)] for rel in self.outputs}, "stats": self.stats}, ensure_ascii=False)
+    def json(self, proofs: Sequence[str] = ()) -> str:
+        """Outputs and statistics, with proof trees of the relations named."""
+        out = {"outputs": {rel: [list(r) for r in self.rows(rel)] for rel in self.outputs}, "stats": self.stats}
+        if proofs:
+            out["proofs"] = {rel: [p.as_dict() for p in self.proofs(rel).values()] for rel in proofs}
+        return json.dumps(out, ensure_ascii=False)
 
-    def proofs(self, rel: str) -> dict[str, Proof]:
-        """A proof of every tuple of a derived relation: of its derivations, the first by round, rule and body.
+    def derivations(self, rel: str) -> DataFrame:
+        """(tuple, round, rule, body): of every tuple that ``rel`` rests on and that no fact gives, its first derivation by round, rule and body.
 
-        Provenance is collected, so this is for inspecting results.
+        All ways to derive a tuple are listed once. Each round settles the
+        tuples whose bodies hold by then, and strikes them from the bodies of
+        the ways still open, so what is written shrinks from round to round;
+        nothing is collected.
         """
         needed, todo = set(), [rel]
         while todo:
@@ -68,34 +75,63 @@ class RunResult:
             if name not in needed:
                 needed.add(name)
                 todo += [a.rel for r in self.program.rules if r.head.rel == name for a in r.positive]
-        ways: dict[str, list[tuple[int, list[str]]]] = {}
-        from .compiler import tuple_text
-
-        for i, rule in enumerate(self.program.rules):
-            if rule.head.rel in needed:
-                own = compile_rule(rule, self.catalog, proofs=True)
-                for head, body in own.select(tuple_text(rule.head.rel, self.catalog.kinds(rule.head.rel)), "body").distinct().collect():
-                    ways.setdefault(head, []).append((i, list(body)))
-        given = {
-            r[0]
-            for name in needed
-            for r in self.catalog.given[name].select(tuple_text(name, self.catalog.kinds(name))).collect()
-        } if hasattr(self.catalog, "given") else set()
-        found: dict[str, Proof] = {}
+        text = lambda name: tuple_text(name, self.catalog.kinds(name))
+        ways = [
+            compile_rule(rule, self.catalog, proofs=True).select(text(rule.head.rel).alias("tuple"), F.lit(i).alias("rule"), "body").distinct()
+            for i, rule in enumerate(self.program.rules)
+            if rule.head.rel in needed
+        ]
+        spark = self.catalog.spark
+        none = spark.createDataFrame([], "tuple string, round int, rule int, body array<string>")
+        if not ways:
+            return none
+        given = _union([self.catalog.given[name].select(text(name).alias("tuple")) for name in sorted(needed)]).distinct()
+        open_ = store(_union(ways).join(given, "tuple", "left_anti").withColumn("way", F.monotonically_increasing_id()), "ways")
+        heads = open_.select("tuple").distinct()
+        wants = cut(open_.select("way", F.explode(F.array_distinct("body")).alias("want")).join(heads.withColumnRenamed("tuple", "want"), "want", "left_semi"))
+        out, n = Growing(none), 0
         while True:
-            ready = {}
-            for head, options in ways.items():
-                if head in found or head in given:
-                    continue
-                fit = [(i, body) for i, body in options if all(b in found or b in given or b not in ways for b in body)]
-                if fit:
-                    ready[head] = min(fit)
-            if not ready:
-                break
-            for head, (i, body) in ready.items():
-                found[head] = Proof(head, i, [found.get(b) or Proof(b) for b in body])
-        own = {x[0] for x in self.catalog.frame(rel).select(tuple_text(rel, self.catalog.kinds(rel))).collect()}
-        return {t: found.get(t) or Proof(t) for t in sorted(own)}
+            n += 1
+            fit = open_.join(wants.select("way"), "way", "left_anti").join(out.df.select("tuple"), "tuple", "left_anti")
+            first = fit.groupBy("tuple").agg(F.min(F.struct("rule", "body")).alias("d"))
+            new = cut(first.select("tuple", F.lit(n).alias("round"), F.col("d.rule").alias("rule"), F.col("d.body").alias("body")))
+            if new.isEmpty():
+                return out.df
+            out.add(new)
+            wants = cut(wants.join(new.select(F.col("tuple").alias("want")), "want", "left_anti"))
+
+    def proofs(self, rel: str, tuples: Sequence[str] | None = None) -> dict[str, Proof]:
+        """Proof trees of tuples of a relation, given as text, or of all of it: only what these trees hold is collected."""
+        found = self.derivations(rel)
+        own = self.catalog.frame(rel).select(tuple_text(rel, self.catalog.kinds(rel)).alias("tuple")).distinct()
+        if tuples is not None:
+            own = own.where(F.col("tuple").isin(list(tuples)))
+        asked = sorted(r["tuple"] for r in own.collect())
+        spark, known, front = self.catalog.spark, {}, asked
+        while front:
+            if tuples is None and len(known) == 0:
+                rows = found.collect()
+            else:
+                rows = found.join(F.broadcast(spark.createDataFrame([(t,) for t in front], "tuple string")), "tuple").collect()
+            known |= {r["tuple"]: (r["rule"], list(r["body"])) for r in rows}
+            front = [] if tuples is None else sorted({b for r in rows for b in r["body"]} - known.keys())
+
+        trees: dict[str, Proof] = {}
+
+        def tree(t: str) -> Proof:
+            stack = [t]
+            while stack:
+                top = stack[-1]
+                rule, body = known.get(top, (None, []))
+                left = [b for b in body if b not in trees]
+                if left:
+                    stack += left
+                else:
+                    trees[top] = Proof(top, rule, [trees[b] for b in body])
+                    stack.pop()
+            return trees[t]
+
+        return {t: tree(t) for t in asked}
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:

@@ -184,9 +184,9 @@ def _endpoints(a: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def _run(a: argparse.Namespace, result: RunResult) -> int:
-    text = result.json() + "\n" if a.json else result.text()
+    text = result.json(a.proofs) + "\n" if a.json else result.text()
     sys.stdout.write(text)
-    for rel in a.proofs:
+    for rel in () if a.json else a.proofs:
         for proof in result.proofs(rel).values():
             print(proof.text())
     some = any(not df.isEmpty() for df in result.outputs.values())

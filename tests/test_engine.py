@@ -182,3 +182,14 @@ def test_filters_reach_the_scan(spark, sf):
     got = evaluate(spark, parse('.decl O(k: number, s: symbol)\n.input O\n.decl F(k: number)\nF(K) :- O(K, "F").'), {"O": orders})
     plan = got.catalog.frame("F")._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "EqualTo(o_orderstatus,F)" in plan.replace(" ", "")
+
+
+def test_proofs_of_some_tuples(spark):
+    """Derivations are a relation; a proof asked for one tuple holds what that one rests on, and no more."""
+    text = ".decl E(a: number, b: number)\n.input E\n.decl R(a: number, b: number)\n.output R\nR(A, B) :- E(A, B).\nR(A, C) :- R(A, B), E(B, C).\nR(7, 8)."
+    got = run_string(spark, text, {"E": spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")}, allow_recursion=True)
+    found = {r["tuple"]: (r["round"], r["rule"], list(r["body"])) for r in got.derivations("R").collect()}
+    assert len(found) == 21 and found["R(0, 1)"] == (1, 0, ["E(0, 1)"]) and found["R(0, 4)"] == (4, 1, ["R(0, 3)", "E(3, 4)"])
+    proofs = got.proofs("R", ["R(1, 4)", "R(7, 8)", "R(9, 9)"])
+    assert sorted(proofs) == ["R(1, 4)", "R(7, 8)"] and proofs["R(7, 8)"].rule is None
+    assert proofs["R(1, 4)"].text().split("\n") == ["R(1, 4) (rule 1)", "  R(1, 3) (rule 1)", "    R(1, 2) (rule 0)", "      E(1, 2) (fact)", "    E(2, 3) (fact)", "  E(3, 4) (fact)"]

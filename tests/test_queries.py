@@ -8,9 +8,7 @@ from stratalog import queries as core
 
 QUERIES, SQL = core.queries(), core.oracle_sql()
 #: Sequential or sampled algorithms that SQL cannot express; test_graph and test_operators hold them against other versions.
-WITHOUT_SQL = {
-    "dl_proofs", "compression_distance", "fact_head", "graph_personalized_pagerank", "graph_articulation", "graph_min_cut", "graph_spectral", "graph_louvain", "graph_persistence", "graph_hitting_times", "graph_structure_matrix", "input_hash",
-}
+WITHOUT_SQL = {"compression_distance", "graph_min_cut", "graph_louvain", "graph_persistence"}
 
 
 def test_all_that_sql_can_express_has_a_statement():

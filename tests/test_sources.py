@@ -132,7 +132,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["parse", str(tmp_path / "r" / "rules.dl")]) == 0 and "1 rules" in capsys.readouterr().out
     assert main(["run", rules, "--facts", data, "--exit-on-output"]) == 1
     assert capsys.readouterr().out == 'Violation("BIG", "a.ts", 1, "too big").\n'
-    assert main(["run", rules, "--facts", data, "--json", "--proofs", "Violation"]) == 0 and "(rule 0)" in capsys.readouterr().out
+    assert main(["run", rules, "--facts", data, "--proofs", "Violation"]) == 0 and "(rule 0)" in capsys.readouterr().out
+    assert main(["run", rules, "--facts", data, "--json", "--proofs", "Violation"]) == 0 and json.loads(capsys.readouterr().out)["proofs"]["Violation"][0]["rule"] == 0
     assert main(["check", rules, "--facts", data, "--update-baseline", str(tmp_path / "base.facts")]) == 1
     assert "a.ts:1: [BIG] too big" in capsys.readouterr().out
     assert main(["check", rules, "--facts", data, "--baseline", str(tmp_path / "base.facts")]) == 0
