@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import free_names, store
-from .text import WordHashes, alnum_words, gram_hashes, mix
+from .text import WordHashes, alnum_words, gram_hashes, mix, small_batches
 
 WINDOW = 10
 GRAM = 5
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 #: Bits for each benchmark fingerprint in the map that goes to the scan, and the most the map has in all (8 MB).
 BITS_EACH, MAP_BITS = 64, 1 << 26
 #: Benchmark fingerprints up to this size are broadcast to the candidates, more are merged with them.
@@ -171,6 +171,7 @@ def find_contamination(
     far as the words agree: hashes find, words decide. The driver gets the map
     and nothing that grows with the benchmark or the documents.
     """
+    small_batches(docs.sparkSession)
     prints = store(benchmark_prints(benchmark, item_col, item_text_col), "prints")
     bits, lengths = print_map(prints)
     shared = docs.sparkSession.sparkContext.broadcast(bits)

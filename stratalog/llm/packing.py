@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import free_names, store
+from .text import small_batches
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -358,6 +359,7 @@ def pack_documents(
     file need not lie on the executors.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
     piece_, start_, length_, crc_, ids_, sequence_, offset_ = free_names([id_col], "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_text"))

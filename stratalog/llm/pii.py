@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..session import free_names, with_fields
+from .text import small_batches
 
 ROUNDS = 8
 
@@ -285,7 +286,7 @@ class Pseudonyms:
             value = m[kind]
             at = (kind, value)
             if at not in self.known:
-                if len(self.known) > 50_000:
+                if len(self.known) > 20_000:
                     self.known.clear()
                 self.known[at] = getattr(self, kind)(value)
             out = self.known[at]
@@ -326,6 +327,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", undo: bool
 
     Each text is read where it lies: no shuffle, and memory of one batch.
     """
+    small_batches(docs.sparkSession)
     names = free_names(docs.columns, *(f"n_{k}" for k in Pseudonyms.KINDS))
     at = docs.columns.index(text_col)
     columns, by = docs.columns, -1 if undo else 1

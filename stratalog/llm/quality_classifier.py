@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, WordHashes
+from .text import LOWER, WordHashes, small_batches
 
 #: Hashed word features; structure and metadata features have places of their own behind them.
 BUCKETS = 1 << 15
@@ -150,6 +150,7 @@ def fit(
     labels or several documents counts once for each pair, up to the bound.
     Only features of the sample reach the driver.
     """
+    small_batches(docs.sparkSession)
     size = BUCKETS + (len(STATISTICS) + len(metadata)) * (len(BINS) + 1)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
@@ -176,6 +177,7 @@ def fit(
 
 def score_column(docs: DataFrame, machine: Machine, text_col: str = "text", metadata: Sequence[str] = ()) -> Column:
     """The score of each row, between 0 and 1; null texts score as empty ones. The machine's size is fixed, so it is broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Machine(machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32)))
 
     @F.pandas_udf("double")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import free_names, store
-from .text import WordHashes, gram_hashes
+from .text import WordHashes, gram_hashes, small_batches
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -173,6 +173,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded in the same way.
     """
     spark, names = docs.sparkSession, list(RULES)
+    small_batches(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

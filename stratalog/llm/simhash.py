@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut, free_names, store
-from .text import lower_words, mix
+from .text import lower_words, small_batches
 
 #: The bits of a fingerprint in four blocks: fingerprints that differ in two bits at most agree on two blocks at least.
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
@@ -193,6 +193,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     meet in a partial aggregate, so a group of copies of any size costs one row
     for each task.
     """
+    small_batches(docs.sparkSession)
     marked = store(docs.select(id_col, fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
     least = cut(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
     linked = connected_components(fingerprint_links(least.select("fp")))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import cut, free_names, store
 from .simhash import BKTree
-from .text import lower_words, mix
+from .text import lower_words, mix, small_batches
 
 #: A pair of similarity s shares a shard in one table with probability s ** DRAWS: at 0.8 that is 0.9993 in any of 24, at 0.3 0.017, at 0.1 0.00002.
 TABLES, DRAWS = 24, 6
@@ -277,6 +277,7 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 5
     out at last is broadcast while it is measured to be small; beyond that the
     texts are merged with it.
     """
+    small_batches(docs.sparkSession)
     number, sign = free_names(docs.columns, "_row", "_sign")
     marked = store(docs.withColumns({number: F.monotonically_increasing_id(), sign: signatures(F.col(text_col), width)}), "marked")
     own = [F.col(sign)[c].alias(c) for c in ("digest", "a", "b", "n", "keys")]

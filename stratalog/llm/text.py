@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import SparkSession
 
 #: A-Z to a-z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -23,10 +24,25 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
 
 
+#: Rows of an Arrow batch where the session leaves that at its default of 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set Arrow batches of ``BATCH_ROWS`` rows in a session that has not chosen a size itself.
+
+    Texts are kilobytes each, so a batch of the default size is tens of megabytes, several times over in the
+    JVM and in each Python worker, which keep what they have once allocated.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for frequent words; forgets all at ``limit`` words so that memory stays bounded."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 60_000):
         super().__init__()
         self.limit = limit
 
