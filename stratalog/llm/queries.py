@@ -85,6 +85,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3_quality_rules: its counts and base test."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_sharding: nothing is lost, sizes add up, and the slots of each shard run from 0 without a gap."""
+    shards = op10_sharding(spark, sf_dir).groupBy("shard").agg(
+        F.count("*").alias("n"), F.sum("size").alias("size"), ((F.min("slot") == 0) & (F.max("slot") == F.count("*") - 1) & (F.count_distinct("slot") == F.count("*"))).alias("gapless"),
+        F.count(F.when((F.col("grown_shard") != F.col("shard")) & (F.col("grown_shard") != 24), 1)).alias("strays"),
+    )
+    return shards.agg(F.sum("n").alias("docs"), F.sum("size").alias("size"), F.bool_and("gapless").alias("gapless"), F.sum("strays").alias("strays"), F.bool_and(F.col("shard").between(0, 23)).alias("within"))
+
+
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
 OP2_SQL = """
@@ -177,6 +191,23 @@ from own left join above using (dir)
 """
 
 
+_BLANK = r"\x20\x09-\x0D"
+
+COUNTS_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') as w from documents),
+g as (select r, i, count(*) over (partition by r, g) as n from (select r, i, array_to_string(w[i : i + 2], ' ') as g from (select r, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3))),
+p as (select r, count(distinct k) as n from (select r, unnest([i, i + 1, i + 2]) as k from g where n > 1) group by r),
+l as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(body, chr(10))) as line from d) where regexp_matches(line, '[^{_BLANK}]') group by r),
+c as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         cast(coalesce(l.n, 0) as bigint) as n_dup_lines, cast(coalesce(p.n, 0) as bigint) as n_repeat_words
+  from d left join p using (r) left join l using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c
+"""
+
+TOTALS_SQL = "select count(*) as docs, cast(sum(coalesce(strlen(text), 0) + 8) as bigint) as size, true as gapless, cast(0 as bigint) as strays, true as within from documents"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -189,8 +220,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "quality_rule_counts": quality_rule_counts,
+        "shard_totals": shard_totals,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_licences": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_licences": OP7_SQL, "quality_rule_counts": COUNTS_SQL, "shard_totals": TOTALS_SQL}
