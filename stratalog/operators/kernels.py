@@ -12,6 +12,7 @@ from collections import defaultdict, deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..lang.stratify import components
 
@@ -61,8 +62,11 @@ def cut_nodes(adj: dict) -> list:
     return sorted(cut_parts(adj)[0])
 
 
-def articulation_points(edges: DataFrame, group: str = "g") -> DataFrame:
-    """(group, node, severity): cut nodes of each undirected graph; severity is the number of parts left without the node."""
+def articulation_points(edges: DataFrame, group: str = "g", nodes: DataFrame | None = None) -> DataFrame:
+    """(group, node, severity): cut nodes of each undirected graph; severity is the number of parts left without the node.
+
+    ``nodes`` (group, node) may name nodes without edges, each of which is a part too.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cuts, components_ = cut_parts(_adjacency(pdf))
@@ -70,7 +74,12 @@ def articulation_points(edges: DataFrame, group: str = "g") -> DataFrame:
         return pd.DataFrame(rows, columns=[group, "node", "severity"])
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, node {kinds['src']}, severity long")
+    found = edges.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, node {kinds['src']}, severity long")
+    if nodes is None:
+        return found
+    ends = edges.where("src != dst").select(group, F.explode(F.array("src", "dst")).alias("node"))
+    alone = nodes.select(group, "node").distinct().join(ends, [group, "node"], "left_anti").groupBy(group).agg(F.count("*").alias("_alone"))
+    return found.join(alone, group, "left").select(group, "node", (F.col("severity") + F.coalesce("_alone", F.lit(0))).alias("severity"))
 
 
 def max_flow(adj: dict[object, dict[object, int]], sources: list, sinks: list) -> int:

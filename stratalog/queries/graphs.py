@@ -196,6 +196,14 @@ def q_arch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.arch_violations(tree(spark, sf_dir), [("direct", "c*", "n1?", False), ("reach", "n*", "wor*", True)])
 
 
+def q_articulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree, and suppliers as nodes without edges."""
+    alone = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"))
+    edges = tree(spark, sf_dir)
+    nodes = alone.unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node")))
+    return K.articulation_points(_grouped(edges), nodes=_grouped(nodes)).drop("g")
+
+
 def q_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey")).alias("p"))
     e = _trade_links(spark, sf_dir)
@@ -276,8 +284,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         f"with {TREE_SQL} select 'direct' as rule, src, dst from tree where src like 'c%' and dst similar to 'n1.' union all select 'reach', 'n' || n_nationkey, 'world' from nation",
     ),
     "graph_articulation": (
-        lambda s, d: K.articulation_points(_grouped(tree(s, d))).drop("g"),
-        f"with {TREE_SQL}, ends as (select src as node from tree union all select dst from tree) select node, count(*) as severity from ends group by 1 having count(*) > 1",
+        q_articulation,
+        f"with {TREE_SQL}, ends as (select src as node from tree union all select dst from tree) select node, count(*) + (select count(*) from supplier) as severity from ends group by 1 having count(*) > 1",
     ),
     "graph_min_cut": (q_mincut, None),
     "graph_spectral": (
