@@ -9,6 +9,7 @@ share then has a kept gram in common.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import free_names, store
-from .text import WordHashes, alnum_words, gram_hashes, mix, small_batches
+from .text import alnum_words, gram_hashes, mix, small_batches, word_hashes
 
 WINDOW = 10
 GRAM = 5
@@ -68,14 +69,13 @@ def benchmark_prints(benchmark: DataFrame, item_col: str = "item_id", text_col:
     """(print, n, left, right, item): the fingerprints of every item, with the words around."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for item, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = alnum_words(text.as_py())
                 n = min(len(words), WINDOW)
                 if not n:
                     continue
-                at, prints = prints_of(hashes.of(words), n)
+                at, prints = prints_of(word_hashes(words, len(words)), n)
                 sides = [around(words, int(i), n) for i in at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(prints.view(np.int64)), pa.array([n] * len(at), pa.int32()), pa.array([x for x, _ in sides], _AROUND), pa.array([y for _, y in sides], _AROUND), pa.array([item.as_py()] * len(at), pa.string())],
@@ -107,7 +107,7 @@ class Scanner:
     """Finds the places in texts whose fingerprints the map holds."""
 
     def __init__(self, bits: np.ndarray, lengths: list[int]):
-        self.bits, self.lengths, self.hashes = bits, lengths, WordHashes()
+        self.bits, self.lengths = bits, lengths
 
     def held(self, prints: np.ndarray) -> np.ndarray:
         place = prints & np.uint64(len(self.bits) * 64 - 1)
@@ -128,7 +128,7 @@ class Scanner:
     def _chunk(self, docs: list[list[bytes]]) -> Iterator[tuple[int, list[dict]]]:
         lengths = np.array([len(d) for d in docs], np.int64)
         begins, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(docs)), lengths)
-        h = self.hashes.of([w for d in docs for w in d])
+        h = word_hashes(chain.from_iterable(docs), len(owner))
         found: dict[int, list[dict]] = {}
         for n in self.lengths:
             at, prints = prints_of(h, n)

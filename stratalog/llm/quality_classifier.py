@@ -15,11 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, WordHashes, small_batches
+from .text import LOWER, small_batches, word_hashes
 
 #: Hashed word features; structure and metadata features have places of their own behind them.
 BUCKETS = 1 << 15
@@ -38,16 +37,6 @@ _NO_MARK = bytes(set(range(256)) - {*SYMBOLS, *_SPACE})
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 
 
-class Buckets(WordHashes):
-    """word -> bucket."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 29) % BUCKETS
-        return out
-
-
 def statistics(text: str, data: bytes, words: list[bytes], counts: Counter) -> list[float]:
     """Shares between 0 and 1, then mean word length and log of the number of words; ``data`` is the text, words and their counts are in lower case."""
     n = len(words)
@@ -66,13 +55,13 @@ def statistics(text: str, data: bytes, words: list[bytes], counts: Counter) -> l
     ]
 
 
-def features(text: str | None, metadata: Sequence[float | None], buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, metadata: Sequence[float | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values: words by the root of their count, together of length one; statistics and metadata as one of their bins."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.translate(LOWER).split()
     counts = Counter(words)
-    known = np.fromiter(map(buckets.__getitem__, counts), np.int64, len(counts))
+    known = (word_hashes(counts, len(counts), 29) % np.uint64(BUCKETS)).astype(np.int64)
     at, back = np.unique(known, return_inverse=True)
     times = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts)), len(at))
     value = np.sqrt(times)
@@ -158,11 +147,10 @@ def fit(
     joined = texts.join(F.broadcast(chosen), "_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
         for b in batches:
             table = b.to_pydict()
             names = [n for n in table if n.startswith("_m")]
-            made = [features(t, [table[n][i] for n in names], buckets) for i, t in enumerate(table["_text"])]
+            made = [features(t, [table[n][i] for n in names]) for i, t in enumerate(table["_text"])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(table["_label"], pa.int32()), pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())],
                 names=["_id", "_label", "_at", "_x"],
@@ -182,14 +170,14 @@ def score_column(docs: DataFrame, machine: Machine, text_col: str = "text", meta
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        buckets, m = Buckets(), shared.value
+        m = shared.value
         for texts, *more in batches:
             out = np.empty(len(texts))
             columns = [c.tolist() for c in more[: len(metadata)]]  # a missing number is NaN, which is missing to features too
             rows: list[tuple[np.ndarray, np.ndarray]] = []
             begin = held = 0
             for i, text in enumerate(texts):
-                rows.append(features(text, [c[i] for c in columns], buckets))
+                rows.append(features(text, [c[i] for c in columns]))
                 held += len(rows[-1][0])
                 if held > BATCH_FEATURES or i + 1 == len(texts):
                     lengths = np.array([len(at) for at, _ in rows])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import free_names, store
-from .text import WordHashes, gram_hashes, small_batches
+from .text import gram_hashes, small_batches, word_hashes
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -44,7 +44,7 @@ class Counts:
     n_marked: int  #: words that hold a symbol or a mark of exclamation
 
 
-def count(text: str | None, hashes: WordHashes) -> Counts:
+def count(text: str | None) -> Counts:
     if not text:
         return Counts(*[0] * 12)
     data = text.encode("utf-8", "surrogatepass")
@@ -52,7 +52,7 @@ def count(text: str | None, hashes: WordHashes) -> Counts:
     n = len(words)
     repeated = 0
     if n >= 3:
-        grams = gram_hashes(hashes.of(words), 3)
+        grams = gram_hashes(word_hashes(words, n), 3)
         _, back, times = np.unique(grams, return_inverse=True, return_counts=True)
         at = np.flatnonzero(times[back] > 1)
         covered = np.zeros(n, bool)
@@ -176,11 +176,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                c = count(text.as_py(), hashes)
+                c = count(text.as_py())
                 pattern = 0
                 for rule in RULES.values():
                     pattern = 3 * pattern + rule(c) + 1

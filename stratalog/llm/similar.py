@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import cut, free_names, store
 from .simhash import BKTree
-from .text import lower_words, mix, small_batches
+from .text import gram_hashes, lower_words, mix, small_batches, word_hashes
 
 #: A pair of similarity s shares a shard in one table with probability s ** DRAWS: at 0.8 that is 0.9993 in any of 24, at 0.3 0.017, at 0.1 0.00002.
 TABLES, DRAWS = 24, 6
@@ -44,13 +44,9 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text; none for a text without words."""
+    """Sorted distinct 64-bit hashes of the word shingles of a text, of the whole text if it has fewer words; none for a text without words."""
     words = lower_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    join, digest = b" ".join, xxhash.xxh64_intdigest
-    shingles = {join(s) for s in zip(*(words[i:] for i in range(width)), strict=False)} if len(words) > width else {join(words)}
-    return np.unique(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
+    return np.unique(gram_hashes(word_hashes(words, len(words)), min(width, len(words)))) if words else np.zeros(0, np.uint64)
 
 
 def set_fingerprint(hashes: np.ndarray) -> np.ndarray:

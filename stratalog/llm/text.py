@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import repeat
+
 import numpy as np
 import xxhash
 from pyspark.sql import SparkSession
@@ -39,21 +42,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words; forgets all at ``limit`` words so that memory stays bounded."""
-
-    def __init__(self, limit: int = 60_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 17)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Iterable[bytes], n: int, seed: int = 17) -> np.ndarray:
+    """64-bit hashes of n words. Hashing a word anew takes no longer than finding it in a dictionary of words, and keeps nothing."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

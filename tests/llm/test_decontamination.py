@@ -112,7 +112,7 @@ def _local_report(docs, benchmark):
     for r in benchmark.collect():
         own = D.alnum_words(r["text"])
         n = min(10, len(own))
-        for at, p in zip(*D.prints_of(scanner.hashes.of(own), n), strict=True):
+        for at, p in zip(*D.prints_of(D.word_hashes(own, len(own)), n), strict=True):
             prints.append((int(p), n, *D.around(own, int(at), n), r["item_id"]))
     for r in docs.collect():
         ((_, found),) = scanner.scan([r["text"]])

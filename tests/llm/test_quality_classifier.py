@@ -89,7 +89,6 @@ def test_hard_rows(spark):
 
 
 def test_whole_texts_are_read():
-    buckets = C.Buckets()
-    a, x = C.features(LONG, [], buckets)
-    b, y = C.features(LONG + " unseen", [], buckets)
+    a, x = C.features(LONG, [])
+    b, y = C.features(LONG + " unseen", [])
     assert len(a) != len(b) or not np.array_equal(x, y)
