@@ -187,17 +187,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Texts that are null or without words have the fingerprint zero and link
     like any other. A null id gets its class too and is never its least id
     unless the class has no other. Repeated rows stay repeated; other columns
-    are not read.
+    are not read, and result columns step aside where the id has their name.
 
     Texts are read once; what moves afterwards is fingerprints. Equal ones
     meet in a partial aggregate, so a group of copies of any size costs one row
     for each task.
     """
     small_batches(docs.sparkSession)
-    marked = store(docs.select(id_col, fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
-    least = cut(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
+    marked = store(docs.select(F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
+    least = cut(marked.groupBy("fp").agg(F.min("_id").alias("_least")))
     linked = connected_components(fingerprint_links(least.select("fp")))
     tied = least.join(linked, least.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("_root"), "_least")
     best = tied.groupBy("_root").agg(F.min("_least").alias("component_id"))
     classes = tied.join(best, "_root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    print_, component = free_names([id_col], "fingerprint", "component_id")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return marked.join(classes, "fp").select(F.col("_id").alias(id_col), digits.alias(print_), F.col("component_id").alias(component))

@@ -49,6 +49,13 @@ def test_hard_rows(spark):
     assert S.near_duplicate_classes(empty_docs(spark)).count() == 0
 
 
+def test_names_step_aside(spark):
+    docs = spark.createDataFrame([(2, "a b c d"), (1, "a b c d")], "fp long, text string")
+    assert sorted(tuple(r) for r in S.near_duplicate_classes(docs, "fp").select("fp", "component_id").collect()) == [(1, 1), (2, 1)]
+    out = S.near_duplicate_classes(docs.withColumnRenamed("fp", "fingerprint"), "fingerprint")
+    assert out.columns == ["fingerprint", "fingerprint_", "component_id"]
+
+
 def test_long_text_is_read_to_its_end():
     text = " ".join(f"w{i}" for i in range(70_000))
     assert S.fingerprint(text) == print_of(text)
