@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import thousandths
-from ..session import running_sums
+from ..session import running_sums, store
 
 
 def entropy(df: DataFrame, key: str, value: str, min_total: int = 3) -> DataFrame:
@@ -104,11 +104,18 @@ def compressed_length(text: Column) -> Column:
 
 
 def compression_distance(df: DataFrame, id_col: str, name: str, text: str, bucket: tuple[int, int] = (2, 20), ratio: tuple[float, float] = (0.4, 2.5), most: float = 0.7) -> DataFrame:
-    """(a, b, ncd_x1000) of texts with one name: buckets of 2 to 20 rows, sizes not too far apart, distance up to ``most``."""
-    n = F.count("*").over(Window.partitionBy(name))
-    sized = df.withColumn("_n", n).where(F.col("_n").between(*bucket)).select(name, F.col(id_col).alias("i"), F.col(text).alias("t"), compressed_length(F.col(text)).alias("c"))
-    a, b = (sized.select(name, *(F.col(x).alias(x + s) for x in "itc")) for s in "ab")
-    pairs = a.join(b, name).where("ia < ib").where(F.col("ca").cast("double").between(ratio[0] * F.col("cb"), ratio[1] * F.col("cb")))
+    """(a, b, ncd_x1000) of texts with one name: buckets of 2 to 20 rows, sizes not too far apart, distance up to ``most``. Ids are unique.
+
+    Pairs are made of ids and compressed lengths, and only those of like
+    lengths fetch their texts.
+    """
+    own = df.select(name, F.col(id_col).alias("i"), F.col(text).alias("t"))
+    few = own.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n").between(*bucket)).select(name)
+    sizes = store(own.join(few, name, "left_semi").select(name, "i", compressed_length(F.col("t")).alias("c")), "sizes")
+    a, b = (sizes.select(name, F.col("i").alias(f"i{s}"), F.col("c").alias(f"c{s}")) for s in "ab")
+    pairs = a.join(b, name).where("ia < ib").where(F.col("ca").cast("double").between(ratio[0] * F.col("cb"), ratio[1] * F.col("cb"))).drop(name)
+    for s in "ab":
+        pairs = pairs.join(own.select(F.col("i").alias(f"i{s}"), F.col("t").alias(f"t{s}")), f"i{s}")
     joint = pairs.withColumn("cab", compressed_length(F.concat("ta", "tb")))
     ncd = (F.col("cab") - F.least("ca", "cb")) / F.greatest("ca", "cb")
     return joint.where(ncd <= most).select(F.col("ia").alias("a"), F.col("ib").alias("b"), thousandths(ncd).alias("ncd_x1000"))
