@@ -210,8 +210,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, w
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["node", "a", "b", "hashes"])
 
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    members = store(keyed.join(shared, "key").select("key", "node", "n"), "members")
+    shared = store(keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "shared")
+    members = store(keyed.join(_small(shared, 16), "key").select("key", "node", "n"), "members")
     ends = store(members.select("node").distinct(), "ends")
     sets = store(texts.join(_small(ends, 16), "node", "left_semi").mapInArrow(hashed, "node long, a long, b long, hashes array<long>"), "sets")
 
