@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..lang import DatalogError, Program
-from ..lang.stratify import dependencies
+from ..lang.stratify import dependencies, restricted
 from ..plans import evaluate
 from ..plans.compiler import KINDS
 
@@ -105,7 +105,8 @@ def watch(
 
     ``changes`` is a streaming DataFrame (rel, op, row). After each batch,
     ``on_result`` gets the batch and the outputs that depend on what it
-    touched; other outputs stand and are not computed. Batches that arrive while one
+    touched; other outputs stand, and neither they nor relations that only
+    they read are computed or scanned. Batches that arrive while one
     runs wait and come together, which is the engine's own debouncing.
     """
     log = ChangeLog(spark, program, f"{folder.rstrip('/')}/relations")
@@ -119,7 +120,8 @@ def watch(
                 log.compact(rel)
         wanted = affected_outputs(program, touched)
         if wanted:
-            result = evaluate(spark, program, {rel: log.current(rel) for rel in program.inputs}, allow_recursion)
+            own = restricted(program, wanted)
+            result = evaluate(spark, own, {rel: log.current(rel) for rel in own.inputs}, allow_recursion)
             on_result(number, {rel: result.named(rel) for rel in wanted})
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder.rstrip('/')}/progress").trigger(**(trigger or {"availableNow": True})).start()
