@@ -18,6 +18,7 @@ from ..sources import records as R
 from ..sources import reports as W
 from ..streaming.changes import CHANGE_SCHEMA, ChangeLog, affected_outputs, watch
 from ..streaming.incremental import Database, IncrementalError
+from ..streaming.partitions import PartitionMemo
 from ..streaming.spans import stream_series
 from .common import RING_SQL, ring, table
 
@@ -268,6 +269,16 @@ def q_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, total long, misses long, kept long")
 
 
+def q_memo_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of each customer's orders, after some orders changed, some customers went and others came."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    memo = PartitionMemo("o_custkey", lambda df: df.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "F", 1)).alias("done")))
+    memo.refresh(o.where("o_custkey % 10 != 3"))
+    later = o.where("o_custkey % 10 != 7").withColumn("status", F.when(F.col("o_orderkey") % 100 == 1, "F").otherwise(F.col("status")))
+    result = memo.refresh(later)
+    return result.withColumns({"recomputed": F.lit(memo.recomputed).cast("bigint"), "removed": F.lit(memo.removed).cast("bigint")})
+
+
 def q_memo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for value in ("a", 7, -1, ("a", 1), ("a", ("b", 2))):
@@ -402,6 +413,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         "with a as (select count(*) as n, count(*) filter (n_nationkey > 10) as m from nation where n_regionkey = 2) select 0 as run, n as rows, 1 as hits from a union all select 1, n, 1 from a union all select 2, m, 1 from a",
     ),
     "memo_cells": (q_memo, _MEMO_SQL),
+    "memo_partitions": (
+        q_memo_partitions,
+        """with l as (select o_custkey, case when o_orderkey % 100 = 1 then 'F' else o_orderstatus end as status, o_orderstatus as was from orders where o_custkey % 10 != 7),
+        r as (select count(distinct o_custkey) as recomputed from l where o_custkey % 10 = 3 or status != was), g as (select count(distinct o_custkey) as removed from orders where o_custkey % 10 = 7)
+        select o_custkey, count(*) as n, count(*) filter (status = 'F') as done, any_value(recomputed) as recomputed, any_value(removed) as removed from l, r, g group by o_custkey""",
+    ),
     "memo_keys": (
         q_memo_keys,
         _values([("'a'", "s~a"), ("7", "n~7"), ("-1", "n~-1"), ("('a', 1)", "t|s~a|n~1"), ("('a', ('b', 2))", "t|s~a|t|s~b|n~2"), ("True", "key.invalidType"), ("nan", "key.notFinite"), ("None", "key.invalidType")], "value", "key"),

@@ -182,3 +182,27 @@ def test_span_streams(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, truth.select("kind", "key", "bucket", "count", "mean").collect()))
     edges = drained(lambda s: stream_call_edges(s), "append").groupBy("from_file", "from_fn", "to_file", "to_fn").count()
     assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, spans.call_edges(frame).collect()))
+
+
+def test_partition_memo(spark):
+    """Only changed partitions reach the function; results are those of the whole input each time, null keys and repeated rows included."""
+    from stratalog.streaming.partitions import PartitionMemo
+
+    seen = []
+
+    def total(df):
+        seen.append(sorted((r["f"] for r in df.select("f").distinct().collect()), key=str))
+        return df.groupBy("f").agg(F.sum("v").alias("v"))
+
+    frame = lambda rows: spark.createDataFrame(rows, "f string, v long")
+    memo = PartitionMemo("f", total)
+    rows = [("a", 1), ("a", 2), ("b", 3), (None, 4), ("c", 5)]
+    read = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert read(memo.refresh(frame(rows))) == [("a", 3), ("b", 3), ("c", 5), (None, 4)]
+    memo.refresh(frame(rows[::-1]))
+    assert len(seen) == 1 and (memo.recomputed, memo.removed) == (0, 0), "an order is no change"
+    changed = [("a", 1), ("a", 2), ("a", 2), (None, 9), ("d", 1), ("c", 5)]
+    assert read(memo.refresh(frame(changed))) == [("a", 5), ("c", 5), ("d", 1), (None, 9)]
+    assert seen[1] == [None, "a", "d"]
+    assert (memo.recomputed, memo.removed) == (3, 1)
+    assert read(memo.refresh(frame(changed).where("false"))) == [] and memo.removed == 4
