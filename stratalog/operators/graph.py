@@ -227,7 +227,7 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
 
 
 def module_ranks(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 500) -> DataFrame:
-    """(node, rank): PageRank until the ranks move by less than ``tolerance`` in all, over the largest, to six digits."""
+    """(node, rank): PageRank until the ranks move by less than ``tolerance`` in all and stand (see ``_rank``), over the largest, to six digits."""
     e = edges.select("src", "dst").where("src != dst").distinct().withColumn("w", F.lit(1.0))
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst"))).distinct()
     n = nodes.count()
@@ -255,7 +255,11 @@ def personalized_pagerank(edges: DataFrame, personal: DataFrame, rounds: int = 5
     return _rank(e, boosts.select("node", p.alias("p")), rounds, damping, tolerance)
 
 
-def _rank(edges: DataFrame, base: DataFrame, rounds: int, damping: float, tolerance: float | None) -> DataFrame:
+def _rank(edges: DataFrame, base: DataFrame, rounds: int, damping: float, tolerance: float | None, steady: float = 1e-12) -> DataFrame:
+    """Ranks after ``rounds``, or earlier with a tolerance: once they move by less than it in all, and none by more than ``steady`` of the largest.
+
+    Ranks sum to one, so the more nodes there are, the less a movement in all says of the digits of one.
+    """
     out = edges.groupBy("src").agg(F.sum("w").alias("t"))
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")))
     base = cut(base.join(out.select(F.col("src").alias("node"), F.lit(False).alias("sink")), "node", "left").na.fill(True, ["sink"]))
@@ -270,8 +274,9 @@ def _rank(edges: DataFrame, base: DataFrame, rounds: int, damping: float, tolera
             continue
         new = cut(new)
         if tolerance is not None:
-            moved = new.join(rank.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0]
-            if (moved or 0.0) < tolerance:
+            step = F.abs(F.col("rank") - F.col("old"))
+            moved, most, top = new.join(rank.select("node", F.col("rank").alias("old")), "node").agg(F.sum(step), F.max(step), F.max("rank")).head()
+            if (moved or 0.0) < tolerance and (most or 0.0) <= steady * (top or 0.0):
                 return new
         rank = new
     return rank

@@ -193,3 +193,19 @@ def test_event_chains(spark):
     listens = spark.createDataFrame([("e1", "f2"), ("e2", "f3"), ("e3", "f4"), ("e4", "f1")], "event string, file string")
     chains = [tuple(r["events"].split(">")) for r in G.event_chains(emits, listens).collect()]
     assert ("e1", "e2", "e3") in chains and all(len(c) <= 3 for c in chains)
+
+
+def test_module_ranks_stand_to_all_digits(spark):
+    """A star of many leaves: the sum of movements is small long before the leaves' ranks stand to six digits of the largest."""
+    pairs = [(a, f"p{a[1:]}{i}") for a in (f"s{j}" for j in range(40)) for i in range(3)] + [(f"s{j}", "hub") for j in range(0, 40, 7)] + [(f"s{j}", f"s{j + 1}") for j in range(39)]
+    nodes = sorted({n for p in pairs for n in p})
+    at, n = {x: i for i, x in enumerate(nodes)}, len(nodes)
+    out = np.bincount([at[a] for a, _ in pairs], minlength=n)
+    m = np.zeros((n, n))
+    for a, b in pairs:
+        m[at[b], at[a]] = 1 / out[at[a]]
+    m[:, out == 0] = 1 / n
+    truth = np.linalg.solve(np.eye(n) - 0.85 * m, np.full(n, 0.15 / n))
+    for tolerance in (1e-6, 1e-2):
+        found = dict(rows(G.module_ranks(edges(spark, pairs, group=False), tolerance=tolerance), "node", "rank"))
+        assert max(abs(found[x] - truth[at[x]] / truth.max()) for x in nodes) <= 5.1e-7
