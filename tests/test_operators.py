@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratalog.operators import diff as D
 from stratalog.operators import distribution as V
+from stratalog.operators import series as S
 from stratalog.operators import structure as T
 from stratalog.session import Growing, running_sums
 
@@ -112,3 +113,41 @@ def test_anchors_with_stars(spark):
                 hit = f == a or f.endswith("/" + a)
             wanted |= {(a, f)} if hit else set()
     assert got == wanted
+
+
+def spiky(spark, files, functions, days=20, seed=7):
+    rng = random.Random(seed)
+    rows = [("symbol", f"f{i}:g{j}", d, 1) for i, n in zip(range(files), functions, strict=True) for j in range(n) for d in rng.sample(range(days), rng.randrange(2, 7))]
+    return spark.createDataFrame(rows, "kind string, key string, bucket long, count long"), rows
+
+
+def test_lag_excess_joins_nothing_after_its_blocks(spark):
+    df, rows = spiky(spark, 3, (9, 12, 7))
+    rows += [("symbol", f"f{i}:copy", d, 1) for i in range(3) for d in (1, 4, 9, 13)]
+    df = spark.createDataFrame(rows, df.schema)
+    at = {}
+    for _, k, d, _ in rows:
+        at.setdefault(f"symbol:{k}", set()).add(d)
+    truth = set()
+    for a, x in at.items():
+        able = len([d for d in x if d < 19])
+        for b, y in at.items():
+            joint = len({d + 1 for d in x} & y)
+            if a != b and able >= 3 and joint and joint / able - len(y) / 20 >= 0.15:
+                truth.add((a, b, able, joint, int(np.floor((joint / able - len(y) / 20) * 1000))))
+    for block, members in ((1024, 1000), (5, 2)):
+        found = S.lag_excess(df, 20, block=block, members=members)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("FlatMapGroupsIn") and "Join" not in plan[: plan.index("FlatMapGroupsIn")]
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(truth) and set(got) == truth
+
+
+def test_lag_rollup_is_the_rollup_of_pairs(spark):
+    df, _ = spiky(spark, 40, (1500, *[3] * 38, 0))
+    whole = {tuple(r) for r in S.file_rollup(S.lag_excess(df, 20, min_excess=0.3)).collect()}
+    for block in (4096, 60):
+        found = S.lag_rollup(df, 20, min_excess=0.3, block=block)
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsIn")[0]
+        got = [tuple(r) for r in found.collect()]
+        assert whole and len(got) == len(whole) and set(got) == whole
