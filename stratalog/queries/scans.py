@@ -343,12 +343,18 @@ def q_stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.create_map(F.lit("code.filepath"), F.concat(F.lit("/app/"), user, F.lit(".ts")), F.lit("code.function"), F.col("event_type"))
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = e.select(F.col("event_id").alias("span_id"), (F.col("event_id") - 1).alias("parent_id"), pairs.alias("attributes"), ms.alias("start_ms"), ms.alias("end_ms"), F.floor(F.col("value") * 100).cast("bigint").alias("duration_ms"))
-    rows.repartition(3).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    name = f"series_{at.rsplit('-', 1)[-1]}"
-    series = stream_series(stream, 1704067200000, 86_400_000, root="/app")
-    series.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    each = spark.sparkContext.defaultParallelism  # three batches of as many files as there are cores
+    rows.repartition(3 * each).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{at}/in")
+    series, last = stream_series(stream, 1704067200000, 86_400_000, root="/app"), []
+
+    def keep(whole: DataFrame, number: int) -> None:
+        """Each batch brings the whole result; the driver holds the place of the last one only."""
+        whole.write.mode("overwrite").parquet(f"{at}/out/{number}")
+        last[:] = [f"{at}/out/{number}"]
+
+    series.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(series.schema).parquet(*last)
 
 
 def q_text_normal(spark: SparkSession, sf_dir: str) -> DataFrame:

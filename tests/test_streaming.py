@@ -206,3 +206,11 @@ def test_partition_memo(spark):
     assert seen[1] == [None, "a", "d"]
     assert (memo.recomputed, memo.removed) == (3, 1)
     assert read(memo.refresh(frame(changed).where("false"))) == [] and memo.removed == 4
+
+
+def test_stream_result_stays_out_of_the_driver(spark):
+    from stratalog.queries import queries
+
+    found = queries()["stream_series"](spark, "/root/testdata/sf0.001")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("series_")], "a table in the driver's memory"
+    assert found.inputFiles() and found.count()
