@@ -315,18 +315,18 @@ def q_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same changes as a stream of files; only what they touch is evaluated."""
+    """The same changes as a stream of files, however many each batch has; only what they touch is evaluated."""
     at, results = scratch_path(spark, "watch"), {}
-    for i, batch in enumerate(_changes(spark, sf_dir)):
-        batch.coalesce(1).write.parquet(f"{at}/in/{i}")
-    stream = spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{at}/in/*")
+    stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(f"{at}/in/*")
 
     def keep(number: int, outputs: dict[str, DataFrame]) -> None:
         for rel, df in outputs.items():
             df.write.mode("overwrite").parquet(f"{at}/out/{rel}-{number}")
             results[rel] = f"{at}/out/{rel}-{number}"
 
-    watch(spark, parse(ROUTES), stream, f"{at}/state", keep).awaitTermination()
+    for i, batch in enumerate(_changes(spark, sf_dir)):
+        batch.write.parquet(f"{at}/in/{i}")
+        watch(spark, parse(ROUTES), stream, f"{at}/state", keep).awaitTermination()  # takes what is new
     assert set(results) == {"Open"}
     return spark.read.parquet(results["Open"])
 

@@ -214,3 +214,14 @@ def test_stream_result_stays_out_of_the_driver(spark):
     found = queries()["stream_series"](spark, "/root/testdata/sf0.001")
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("series_")], "a table in the driver's memory"
     assert found.inputFiles() and found.count()
+
+
+def test_watched_changes_keep_their_files(spark, tmp_path, monkeypatch):
+    from stratalog.queries import scans
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").repartition(5)
+    monkeypatch.setattr(scans, "table", lambda s, d, name: orders)
+    monkeypatch.setattr(scans, "scratch_path", lambda s, name: str(tmp_path / name))
+    got = {r["o"] for r in scans.q_watch(spark, "").collect()}
+    assert got == {r[0] for r in orders.where("o_orderkey % 5 != 0 and o_orderstatus = 'O'").select("o_orderkey").collect()}
+    assert len(list((tmp_path / "watch/in/0").glob("*.parquet"))) > 1, "one task wrote a whole batch"
