@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .diff import sorted_digest
 from .graph import degrees, reach
 
-
+BROADCAST_BYTES = 32 << 20
 
 def usage_spread(reads: DataFrame, key: str, by: str, samples: int = 3, low: int = 2) -> DataFrame:
     """(key, reads, readers, low, samples): how often and by how many readers a name is read; low below ``low`` readers."""
@@ -101,7 +101,9 @@ def anchor_matches(anchors: DataFrame, files: DataFrame) -> DataFrame:
     """
     parts = F.split("file", "/")
     ends = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("anchor"))
-    plain = anchors.where(~F.col("anchor").contains("*")).select("anchor").distinct().join(ends, "anchor").select("anchor", "file")
+    size = anchors.agg(F.sum(F.octet_length("anchor") + 64)).head()[0] or 0
+    few = lambda a: F.broadcast(a) if size <= BROADCAST_BYTES else a.hint("merge")  # noqa: E731 - never the exploded paths, which plans take for no larger than the files
+    plain = ends.join(few(anchors.where(~F.col("anchor").contains("*")).select("anchor").distinct()), "anchor").select("anchor", "file")
     stars = anchors.where(F.col("anchor").contains("*")).select("anchor").distinct()
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("anchor", r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", "[^/]*"), F.lit("$"))
     pieces = F.split("anchor", "/")
@@ -109,7 +111,7 @@ def anchor_matches(anchors: DataFrame, files: DataFrame) -> DataFrame:
     keyed = stars.withColumns({"re": pattern, "_n": F.size(pieces), "_f": F.array_max(fixed)}).withColumns({"_i": F.coalesce("_f.i", F.lit(-1)), "_x": F.coalesce("_f.x", F.lit(""))})
     places = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("x"))), F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
     cut_up = files.select("file", F.size(parts).alias("_n"), F.explode(places).alias("p")).select("file", "_n", F.col("p.i").alias("_i"), F.col("p.x").alias("_x"))
-    starred = cut_up.join(keyed, ["_n", "_i", "_x"]).where(F.regexp("file", F.col("re"))).select("anchor", "file")
+    starred = cut_up.join(few(keyed), ["_n", "_i", "_x"]).where(F.regexp("file", F.col("re"))).select("anchor", "file")
     return plain.unionByName(starred).distinct()
 
 

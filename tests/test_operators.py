@@ -14,7 +14,7 @@ from stratalog.operators import diff as D
 from stratalog.operators import distribution as V
 from stratalog.operators import series as S
 from stratalog.operators import structure as T
-from stratalog.session import Growing, running_sums
+from stratalog.session import Growing, parts_for, running_sums
 
 
 def test_nearest_rank(spark):
@@ -151,3 +151,16 @@ def test_lag_rollup_is_the_rollup_of_pairs(spark):
         assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsIn")[0]
         got = [tuple(r) for r in found.collect()]
         assert whole and len(got) == len(whole) and set(got) == whole
+
+
+def test_anchors_travel_and_paths_do_not(spark):
+    anchors = spark.createDataFrame([("f7.ts",), ("d1/f*.ts",)], "anchor string")
+    files = spark.createDataFrame([(f"d{i % 3}/f{i}.ts",) for i in range(30)], "file string")
+    found = T.anchor_matches(anchors, files)
+    assert {tuple(r) for r in found.collect()} == {("f7.ts", "d1/f7.ts")} | {("d1/f*.ts", f"d1/f{i}.ts") for i in range(1, 30, 3)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
+
+
+def test_partitions_follow_the_rows(spark):
+    assert parts_for(10, spark) == int(spark.conf.get("spark.sql.shuffle.partitions")) and parts_for(50_000_001, spark) == 101
