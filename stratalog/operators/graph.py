@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import glob_regex, thousandths
-from ..session import Growing, cut
+from ..session import Growing, cut, parts_for, store
 from .components import connected_components
 from .kernels import strong_components_in_task
 
@@ -48,9 +48,12 @@ def component_metrics(edges: DataFrame, component: DataFrame, abstract: DataFram
 
     Ca counts the distinct outside nodes that point in, Ce the distinct outside nodes pointed at.
     """
-    named = edges.select("src", "dst").distinct().join(component.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(component.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs != cd")
-    ca = named.groupBy(F.col("cd").alias("component")).agg(F.count_distinct("src").alias("ca"))
-    ce = named.groupBy(F.col("cs").alias("component")).agg(F.count_distinct("dst").alias("ce"))
+    ends = store(edges.select("src", "dst"), "edges")
+    parts = parts_for(ends.count(), edges.sparkSession)
+    named = ends.join(component.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(component.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst").where("cs != cd")
+    outside = lambda c, node: named.select(F.col(c).alias("component"), node).repartition(parts, "component", node).distinct().groupBy("component")
+    ca = outside("cd", "src").agg(F.count("src").alias("ca"))
+    ce = outside("cs", "dst").agg(F.count("dst").alias("ce"))
     nodes = component.groupBy("component").agg(F.count("*").alias("nodes"))
     if abstract is None:
         share = nodes.select("component", F.lit(0.0).alias("a"))
