@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hundredths, thousandths
-from ..session import running_sums
+from ..session import parts_for, running_sums
 
 
 def _small(commits: DataFrame, most_files: int) -> DataFrame:
@@ -60,9 +60,12 @@ def lag_one_excess(commits: DataFrame, min_joint: int = 3, min_excess: float = 0
     Commits are numbered 0 to T-1 without gaps; a's are counted up to T-2, b's over all. Fewer than four commits say nothing.
     Commits of more than ``most_files`` files are skipped, which bounds what two neighbours add to the join.
     """
-    c = _small(commits, most_files)
+    rows = commits.count()
+    n, m = (parts_for(k * rows, commits.sparkSession) for k in (1, 4))  # two neighbours add a row for each pair of their files
+    c = _small(commits.repartition(n, "idx"), most_files)
     span = commits.agg((F.max("idx") + 1).alias("t"))
-    follows = c.select((F.col("idx") + 1).alias("idx"), F.col("file").alias("a")).join(c.select("idx", F.col("file").alias("b")), "idx").where("a != b").groupBy("a", "b").agg(F.count("*").alias("joint"))
+    after = c.select((F.col("idx") + 1).alias("idx"), F.col("file").alias("a")).repartition(n, "idx")
+    follows = after.join(c.select("idx", F.col("file").alias("b")), "idx").where("a != b").select("a", "b").repartition(m, "a", "b").groupBy("a", "b").agg(F.count("*").alias("joint"))
     totals = c.groupBy("file").agg(F.count("*").alias("n"), F.max("idx").alias("last"))
     out = follows.where(F.col("joint") >= min_joint).join(totals.select(F.col("file").alias("a"), F.col("n").alias("na"), "last"), "a").join(totals.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
     out = out.join(F.broadcast(span), F.lit(True)).where("t >= 4")  # one row
