@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import thousandths
-from ..session import running_sums, store
+from ..session import cut, parts_for, running_sums, store
 
 
 def entropy(df: DataFrame, key: str, value: str, min_total: int = 3) -> DataFrame:
@@ -81,14 +81,18 @@ def hamming_pairs(df: DataFrame, id_col: str, code: str, block: list[str], most:
     """(a, b, distance) of rows in one block whose codes differ in at most ``most`` bits.
 
     Distinct codes meet each other within their block; rows come in afterwards,
-    so a block of many equal codes is not paired with itself code by code.
+    so a block of many equal codes is not paired with itself code by code. The
+    pairs are counted first, from the codes' frequencies: small sides make many
+    of them, so they and not the sides say how many tasks spell them out.
     """
-    codes = df.select(*block, code).distinct()
-    l, r = codes.select(*block, F.col(code).alias("ca")), codes.select(*block, F.col(code).alias("cb"))
+    codes = cut(df.groupBy(*block, code).agg(F.count("*").alias("n")))
+    l, r = codes.select(*block, F.col(code).alias("ca"), F.col("n").alias("na")), codes.select(*block, F.col(code).alias("cb"), F.col("n").alias("nb"))
     near = l.join(r, block).where(F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most)
+    pairs = near.agg(F.sum(F.col("na") * F.col("nb"))).head()[0] or 0
+    tasks = min(parts_for(pairs, df.sparkSession, 5_000_000), 4096)
     a = df.select(*block, F.col(id_col).alias("a"), F.col(code).alias("ca"))
     b = df.select(*block, F.col(id_col).alias("b"), F.col(code).alias("cb"))
-    out = a.join(near, [*block, "ca"]).join(b, [*block, "cb"]).where("a < b")
+    out = a.join(near.drop("na", "nb"), [*block, "ca"]).repartition(tasks, *block, "cb").join(b, [*block, "cb"]).where("a < b")
     return out.select("a", "b", F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))).cast("bigint").alias("distance"))
 
 

@@ -164,3 +164,13 @@ def test_anchors_travel_and_paths_do_not(spark):
 
 def test_partitions_follow_the_rows(spark):
     assert parts_for(10, spark) == int(spark.conf.get("spark.sql.shuffle.partitions")) and parts_for(50_000_001, spark) == 101
+
+
+def test_hamming_pairs_are_spread_by_their_number(spark):
+    rows = [(i, i % 2, (i * 7) % 64) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, g int, code long")
+    found = V.hamming_pairs(df, "i", "code", ["g"], 1)
+    truth = {(a, b, (x ^ y).bit_count()) for a, g, x in rows for b, h, y in rows if a < b and g == h and (x ^ y).bit_count() <= 1}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(truth) and set(got) == truth
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
