@@ -227,9 +227,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, w
         if turn < STAR_ROUNDS:
             pairs = mixed.where(order != F.col("first")).groupBy("node", "class").agg(F.min("first").alias("first"), F.min_by("lead", "first").alias("lead"))
             pairs = store(pairs.select(F.col("node").alias("src"), F.col("lead").alias("dst"), "class", F.col("first").bitwiseXOR(F.lit(ORDERS[turn])).alias("to"), "first"), "pairs")
-            found = cut(alike(pairs.select("src", "dst"), sets, similarity))
+            found = store(alike(pairs.select("src", "dst"), sets, similarity), "found")
             links.append(found)
-            classes = cut(joined_classes(classes, pairs.join(found, ["src", "dst"]).select("class", "to", "first")))
+            classes = store(joined_classes(classes, pairs.join(found, ["src", "dst"]).select("class", "to", "first")), "classes")
     links.append(cut(compare_shards(mixed.select("key", "node", "class", "n"), sets, similarity)))
     return _union(links)
 
@@ -239,11 +239,12 @@ def joined_classes(classes: DataFrame | None, steps: DataFrame) -> DataFrame:
 
     Every class follows its first step, and the steps of the classes so reached, up to eight in all. Nodes of one
     class are linked, then; that nodes which are linked may still be in different classes only costs comparisons.
+    Steps are stored each time, as a plan of all doublings would hold the first eight times over.
     """
-    to = steps.groupBy("class").agg(F.min_by("to", "first").alias("to"))
+    to = store(steps.groupBy("class").agg(F.min_by("to", "first").alias("to")), "steps")
     for _ in range(3):
         onward = to.select(F.col("class").alias("to"), F.col("to").alias("far"))
-        to = to.join(onward, "to", "left").select("class", F.coalesce("far", "to").alias("to"))
+        to = store(to.join(onward, "to", "left").select("class", F.coalesce("far", "to").alias("to")), "steps")
     if classes is None:
         return to.select(F.col("class").alias("node"), F.col("to").alias("class"))
     old = classes.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class"))

@@ -162,3 +162,22 @@ def test_shards_bring_together_by_similarity():
             x, y = both.copy(), np.concatenate([both[:k], rng.integers(0, 1 << 63, 200 - k, np.uint64)])
             shared.append((N.shard_keys(x) == N.shard_keys(y)).mean())
         assert low <= np.mean(shared) <= high, (s, np.mean(shared))
+
+
+def test_joined_classes_read_their_steps_once_or_twice(spark):
+    rng = random.Random(5)
+    steps = [(c, rng.randrange(c), rng.randrange(100)) for c in range(1, 60) for _ in range(2)]
+    first = {c: min((f, t) for x, t, f in steps if x == c)[1] for c in {c for c, _, _ in steps}}
+
+    def after(c, n=8):
+        return after(first[c], n - 1) if n and c in first else c
+
+    new = N.joined_classes(None, spark.createDataFrame(steps, "class long, to long, first long"))
+    assert dict(new.collect()) == {c: after(c) for c in first}
+    old = spark.createDataFrame([(n, n - 1) for n in range(2, 60, 2)], "node long, class long")
+    both = N.joined_classes(old, spark.createDataFrame(steps, "class long, to long, first long"))
+    rows = both.collect()
+    held = dict(old.collect())
+    assert len(rows) == len(dict(rows)) and dict(rows) == {n: after(held.get(n, n)) for n in {*first, *held}}
+    leaves = both._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves <= 4, f"the plan reads {leaves} tables"
