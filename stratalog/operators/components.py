@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import remove, store_at
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -39,14 +39,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     diameter shrinks to a star in a logarithmic number of rounds. Aggregates
     are partial before the shuffle and the joins are plain inner joins, which
     adaptive execution splits where one node has very many edges. Null ends
-    and self-loops are ignored.
+    and self-loops are ignored. Rounds are stored as files, of which the next
+    one reads as many to a task as their size allows, so that few links are
+    few tasks; a round's files go when the next ones are there.
     """
     a, b = F.col(src), F.col(dst)
-    now = cut(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    now, path = store_at(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links")
     seen = _digest(now)
     if seen[0]:
         for _ in range(max_rounds):
-            now = cut(_small_star(_large_star(now)))
+            old = path
+            now, path = store_at(_small_star(_large_star(now)), "links")
+            remove(edges.sparkSession, old)
             digest = _digest(now)
             if digest == seen:
                 break
