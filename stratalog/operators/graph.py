@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import glob_regex, thousandths
-from ..session import Growing, cut, parts_for, store
+from ..session import Growing, cut, parts_for, running_sums, store
 from .components import connected_components
 from .kernels import strong_components_in_task
+from .kernels import structure_matrix as structure_matrix_in_task
 
-__all__ = ["affected", "arch_violations", "bottleneck", "bottleneck_static", "component_metrics", "connected_components", "container_edges", "curvature", "degrees", "event_chains", "hub_threshold", "modularity", "neighbours", "node_status", "pagerank", "personalized_pagerank", "reach", "shortest_paths", "strong_components", "transitive_closure"]
+__all__ = ["affected", "arch_violations", "bottleneck", "bottleneck_static", "component_metrics", "connected_components", "container_edges", "curvature", "degrees", "event_chains", "hub_threshold", "modularity", "neighbours", "node_status", "pagerank", "personalized_pagerank", "reach", "shortest_paths", "strong_components", "structure_matrix", "transitive_closure"]
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -193,6 +194,74 @@ def strong_components(edges: DataFrame, max_rounds: int = 100, one_task: int = 2
     return done.join(sizes, "component").select("node", "component")
 
 
+def structure_matrix(edges: DataFrame, group: str = "g", one_task: int = 200_000) -> DataFrame:
+    """(group, node, position, level) as ``kernels.structure_matrix`` orders them; a graph of up to ``one_task`` edges goes to one task.
+
+    Beyond that nodes are numbered in their order and strong components are one
+    node each. The order takes the least node that waits for none, so a node
+    comes in the turn of the greatest one among itself and what it waits for:
+    by that one first, which goes ahead of all others of its turn, and these
+    are a graph of their own, ordered in the same way. Every node has the path
+    of its turns then, and the paths are sorted. A turn of up to ``one_task``
+    rows is ordered in a task. Rounds are as many as steps lie on a longest way
+    within a turn, so chains of many nodes take long.
+    """
+    sizes = edges.groupBy(group).agg(F.count("*").alias("_n"))
+    large = [r[0] for r in sizes.where((F.col("_n") > one_task) & F.col(group).isNotNull()).select(group).collect()]
+    if not large:
+        return structure_matrix_in_task(edges, group)
+    hit = F.coalesce(F.col(group).isin(large), F.lit(False))
+    return structure_matrix_in_task(edges.where(~hit), group).unionByName(_large_matrix(edges.where(hit), group, one_task))
+
+
+def _large_matrix(edges: DataFrame, group: str, one_task: int) -> DataFrame:
+    e = store(edges.select(group, "src", "dst").distinct(), "edges")
+    names = e.select(group, F.col("src").alias("node")).unionByName(e.select(group, F.col("dst").alias("node"))).distinct()
+    nodes = store(running_sums(names, [], [F.col(group), F.col("node")], id=F.lit(1).cast("bigint")), "nodes")
+    at = lambda end, number: nodes.select(group, F.col("node").alias(end), F.col("id").alias(number))
+    ids = store(e.join(at("src", "a"), [group, "src"]).join(at("dst", "b"), [group, "dst"]).where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")), "ids")
+    strong = store(strong_components(ids, one_task=one_task), "strong")
+    home = lambda end: strong.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    within = ids
+    if not strong.isEmpty():
+        moved = ids.join(home("src"), "src", "left").join(home("dst"), "dst", "left")
+        within = store(moved.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")).where("src != dst").distinct(), "within")
+    members = nodes.join(home("id"), "id", "left").select(group, "node", "id", F.coalesce("_id", "id").alias("c"))
+    left, done = members.where("id = c").select("c", F.array().cast("array<bigint>").alias("path")), []
+    while True:
+        turns = _turns(within)
+        done.append(left.join(turns, "c", "left_anti").select("c", F.array_append("path", F.col("c")).alias("path"), F.lit(0).cast("bigint").alias("sub")))
+        if turns.isEmpty():
+            break
+        left = store(left.join(turns, "c").select("c", F.array_append("path", F.col("m")).alias("path")).withColumn("h", F.xxhash64("path")), "left")
+        own = lambda end: left.select(F.col("c").alias(end), "h", F.element_at("path", -1).alias(f"_{end}"))  # noqa: B023, E731
+        within = within.join(own("src"), "src").join(own("dst").drop("h"), "dst").where("_src = _dst").select("h", "src", "dst")
+        rows = store(within.unionByName(left.select("h", F.col("c").alias("src"), F.col("c").alias("dst"))), "rows")  # a node without edges is one too
+        over = store(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("h"), "over")
+        # turns whose hashes are equal are ordered together, which leaves the order within each as it is
+        ready = structure_matrix_in_task(rows.join(over, "h", "left_anti"), "h").select(F.col("node").alias("c"), (F.col("position") + 1).alias("sub"))
+        done.append(left.join(store(ready, "ready"), "c").select("c", "path", "sub"))
+        if over.isEmpty():
+            break
+        left, within = left.join(over, "h", "left_semi").select("c", "path"), store(rows.join(over, "h", "left_semi").where("src != dst").select("src", "dst"), "within")
+    ordered = done[0]
+    for more in done[1:]:
+        ordered = ordered.unionByName(more)
+    out = running_sums(members.join(ordered, "c"), [group], [F.col("path"), F.col("sub"), F.col("id")], position=F.lit(1).cast("bigint"), level=(F.col("id") == F.col("c")).cast("bigint"))
+    return out.select(group, "node", (F.col("position") - 1).alias("position"), (F.col("level") - 1).alias("level"))
+
+
+def _turns(edges: DataFrame) -> DataFrame:
+    """(c, m) of the nodes that wait for a greater one, directly or over others: the greatest."""
+    moved = store(edges.groupBy(F.col("dst").alias("c")).agg(F.max("src").alias("m")).where("m > c"), "moved")
+    known = moved
+    while not moved.isEmpty():
+        seen = edges.join(moved, edges.src == moved.c).groupBy("dst").agg(F.max("m").alias("m")).select(F.col("dst").alias("c"), "m")
+        moved = store(seen.join(known.select("c", F.col("m").alias("_m")), "c", "left").where("m > coalesce(_m, c)").select("c", "m"), "moved")
+        known = store(known.join(moved, "c", "left_anti").unionByName(moved), "known")
+    return known
+
+
 def cycle_records(components: DataFrame) -> DataFrame:
     """(id, size, members): the id is the start of the SHA-1 of the sorted members."""
     g = components.groupBy("component").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("members"))

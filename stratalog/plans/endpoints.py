@@ -99,7 +99,7 @@ def cycles(r: Relations) -> DataFrame:
 @endpoint
 def dsm(r: Relations) -> DataFrame:
     """(node, position, level): the order of a dependency matrix."""
-    return K.structure_matrix(r["edges"].withColumn("g", F.lit(0))).drop("g")
+    return G.structure_matrix(r["edges"].withColumn("g", F.lit(0))).drop("g")
 
 
 @endpoint

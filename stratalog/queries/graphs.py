@@ -212,7 +212,7 @@ def q_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.structure_matrix(_grouped(tree(spark, sf_dir))).drop("g")
+    return G.structure_matrix(_grouped(tree(spark, sf_dir))).drop("g")
 
 
 _D = f"with {SUPPLY_SQL}, o as (select src, count(*) as o from supply group by 1), i as (select dst, count(*) as i from supply group by 1)"

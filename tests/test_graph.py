@@ -209,3 +209,21 @@ def test_module_ranks_stand_to_all_digits(spark):
     for tolerance in (1e-6, 1e-2):
         found = dict(rows(G.module_ranks(edges(spark, pairs, group=False), tolerance=tolerance), "node", "rank"))
         assert max(abs(found[x] - truth[at[x]] / truth.max()) for x in nodes) <= 5.1e-7
+
+
+@pytest.mark.parametrize(("seed", "one_task"), [(3, 0), (4, 0), (5, 6)])
+def test_structure_matrix_of_a_large_graph_is_that_of_one_task(spark, seed, one_task, monkeypatch):
+    rng = random.Random(seed)
+    pairs = [*random_edges(seed, 12, 14), *((b, a) for a, b in itertools.combinations(range(20, 26), 2) if rng.random() < 0.4), (30, 30)]
+    both = edges(spark, pairs, "long").unionByName(spark.createDataFrame([("h", 2, 1)], "g string, src long, dst long"))
+    known = rows(K.structure_matrix(both), "g", "position", "node", "level")
+    held, own = [], K.structure_matrix
+    monkeypatch.setattr(G, "structure_matrix_in_task", lambda e, group: held.append(e.groupBy(group).count().agg({"count": "max"}).head()[0] or 0) or own(e, group))
+    assert rows(G.structure_matrix(both, one_task=one_task), "g", "position", "node", "level") == known
+    assert max(held) <= one_task, "a task held a larger graph"
+
+
+def test_structure_matrix_of_names(spark):
+    pairs = [(f"c{i}", f"n{i % 3}") for i in range(30)] + [(f"n{i}", "a") for i in range(3)]
+    df = edges(spark, pairs)
+    assert rows(G.structure_matrix(df, one_task=8), "position", "node", "level") == rows(K.structure_matrix(df), "position", "node", "level")
