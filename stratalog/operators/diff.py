@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import scratch_path, store
+
 
 def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], watched: list[str]) -> DataFrame:
     """keys and change (added, removed, changed) of rows that differ; keys are unique on each side."""
@@ -65,13 +70,91 @@ def fact_ids(df: DataFrame, relation: str, columns: list[str]) -> DataFrame:
     return df.withColumn("id", F.sha2(F.concat(F.lit(relation), F.lit("\0"), canonical_json(*columns)).cast("binary"), 256))
 
 
-def sorted_digest(rows: DataFrame, group: str, item: str, alias: str) -> DataFrame:
+class Sha256:
+    """SHA-256 whose state is bytes, so that one task can carry on where another has ended: OpenSSL's SHA256_Init, _Update and _Final."""
+
+    def __init__(self, state: bytes | None = None):
+        self.lib = ctypes.CDLL(ctypes.util.find_library("crypto"))
+        self.context = ctypes.create_string_buffer(state or bytes(112), 112)  # SHA256_CTX is 28 words
+        if state is None:
+            self.lib.SHA256_Init(self.context)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.context, data, ctypes.c_size_t(len(data)))
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, ctypes.create_string_buffer(self.context.raw, 112))
+        return out.raw.hex()
+
+    @staticmethod
+    def there() -> bool:
+        """Whether OpenSSL's library is found and does as hashlib."""
+        try:
+            first = Sha256()
+            first.update(b"a" * 100)
+            second = Sha256(first.context.raw)
+            second.update(b"b")
+            return second.hexdigest() == hashlib.sha256(b"a" * 100 + b"b").hexdigest()
+        except (OSError, AttributeError, TypeError):
+            return False
+
+
+def sorted_digest(rows: DataFrame, group: str, item: str, alias: str, each: int = 1_000_000) -> DataFrame:
     """(group, n, alias): SHA-256 of each group's distinct items, sorted and joined by line ends.
 
-    A digest of an order is sequential by nature: a group's items are sorted by
-    Spark, which spills, and stream through one task that holds nothing of them.
+    A digest of an order is sequential by nature. A group of up to ``each``
+    items is sorted by Spark, which spills, and streams through one task that
+    holds nothing of it. Larger ones are dealt into ranges of about as many,
+    and a task for each range, one after the other, carries on with the state
+    that the last one has left, so that what a task reads does not grow with
+    the group. Without OpenSSL's library these too stream through one task.
     """
+    items = store(rows.select(group, item).distinct(), "items")
+    sizes = items.groupBy(group).agg(F.count("*").alias("n")).where((F.col("n") > each) & F.col(group).isNotNull())
+    large = [tuple(r) for r in sizes.collect()] if Sha256.there() else []
+    if not large:
+        return _digests_in_task(items, group, item, alias)
+    hit = F.coalesce(F.col(group).isin([g for g, _ in large]), F.lit(False))
+    done = _digests_by_range(items.where(hit), group, item, -(-sum(n for _, n in large) // each))
     kind = rows.schema[group].dataType.simpleString()
+    return _digests_in_task(items.where(~hit), group, item, alias).unionByName(rows.sparkSession.createDataFrame(done, f"`{group}` {kind}, n long, {alias} string"))
+
+
+def _digests_by_range(items: DataFrame, group: str, item: str, parts: int) -> list[tuple]:
+    """(group, n, digest) of each group; only states of 112 bytes come to the driver."""
+    spark, path = items.sparkSession, scratch_path(items.sparkSession, "ranges")
+    ranged = items.select(group, item).repartitionByRange(parts, group, item).withColumn("_run", F.spark_partition_id())
+    ranged.write.partitionBy("_run").parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    kind, done, now, n, state = items.schema[group].dataType, [], None, 0, None
+
+    def carry(now: object, n: int, state: bytes | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, out = Sha256(state), []
+        for batch in batches:
+            keys, texts, end = batch.column(0), batch.column(1), 0
+            runs = [(keys[0].as_py(), len(keys))] if len(keys) and keys[0] == keys[-1] else [(k, sum(1 for _ in g)) for k, g in groupby(keys.to_pylist())]
+            for key, size in runs:
+                if n and key != now:
+                    out.append((now, n, None, sha.hexdigest()))
+                    n, sha = 0, Sha256()
+                sha.update(b"\n" * (n > 0) + "\n".join(texts.slice(end, size).to_pylist()).encode())
+                now, n, end = key, n + size, end + size
+        out.append((now, n, sha.context.raw, None))
+        columns = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], to_arrow_type(kind)), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.binary(), pa.string()), strict=True))], names=[group, "n", "state", "digest"])
+
+    for run in sorted(r[0] for r in ranged.select("_run").distinct().collect()):
+        own = ranged.where(F.col("_run") == run).select(group, item).coalesce(1).sortWithinPartitions(group, item)
+        found = own.mapInArrow(lambda b, x=(now, n, state): carry(*x, b), f"`{group}` {kind.simpleString()}, n long, state binary, digest string").collect()
+        done += [(g, m, digest) for g, m, _, digest in found[:-1]]
+        now, n, state = found[-1][0], found[-1]["n"], bytes(found[-1]["state"])
+    last = Sha256(state)
+    return [*done, (now, n, last.hexdigest())]
+
+
+def _digests_in_task(items: DataFrame, group: str, item: str, alias: str) -> DataFrame:
+    kind = items.schema[group].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, state, out = None, 0, hashlib.sha256(), []
@@ -87,8 +170,8 @@ def sorted_digest(rows: DataFrame, group: str, item: str, alias: str) -> DataFra
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[group, "n", alias])
 
-    batch_type = to_arrow_type(rows.schema[group].dataType)
-    ordered = rows.select(group, item).distinct().repartition(group).sortWithinPartitions(group, item)
+    batch_type = to_arrow_type(items.schema[group].dataType)
+    ordered = items.select(group, item).repartition(group).sortWithinPartitions(group, item)
     return ordered.mapInArrow(digest, f"`{group}` {kind}, n long, {alias} string")
 
 

@@ -174,3 +174,16 @@ def test_hamming_pairs_are_spread_by_their_number(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(truth) and set(got) == truth
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sorted_digest_by_ranges_that_carry_on(spark, monkeypatch):
+    import hashlib
+
+    sizes = {"a": 1, "b": 700, "c": 3, "d": 250, "e": 40}
+    items = [(g, f"{g}é{i * 7919 % 1000:04d}{'x' * (i % 90)}") for g, n in sizes.items() for i in range(n)]
+    known = {g: (n, hashlib.sha256("\n".join(sorted(t for h, t in items if h == g)).encode()).hexdigest()) for g, n in sizes.items()}
+    df, held, own = spark.createDataFrame(items + items[:50], "g string, t string"), [], D._digests_in_task
+    monkeypatch.setattr(D, "_digests_in_task", lambda rows, *a: held.append(rows.groupBy("g").count().agg({"count": "max"}).head()[0]) or own(rows, *a))
+    assert {g: (n, h) for g, n, h in D.sorted_digest(df, "g", "t", "h", each=60).collect()} == known
+    assert max(held) <= 60, "a task read a larger group"
+    assert {g: (n, h) for g, n, h in D.sorted_digest(df, "g", "t", "h").collect()} == known
