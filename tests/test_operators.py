@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratalog.operators import diff as D
 from stratalog.operators import distribution as V
+from stratalog.operators import relational as R
 from stratalog.operators import series as S
 from stratalog.operators import structure as T
 from stratalog.session import Growing, parts_for, running_sums
@@ -187,3 +188,35 @@ def test_sorted_digest_by_ranges_that_carry_on(spark, monkeypatch):
     assert {g: (n, h) for g, n, h in D.sorted_digest(df, "g", "t", "h", each=60).collect()} == known
     assert max(held) <= 60, "a task read a larger group"
     assert {g: (n, h) for g, n, h in D.sorted_digest(df, "g", "t", "h").collect()} == known
+
+
+def test_shared_edges_over_blocks(spark, monkeypatch):
+    """Names of many blocks, of one, and of one side alone; repeated rows, nulls and nodes that stand on both sides."""
+    for name, size in (("BLOCK", 12), ("RUN", 5), ("FEW", 2)):
+        monkeypatch.setattr(R, name, size)
+    left = [(f"n{i}", i % 3) for i in range(90)] + [("n0", 0), ("n0", 1), (None, 0), ("n1", None), ("lone", 7)]
+    right = [(f"n{i}", i % 2) for i in range(60, 140)] + [("n60", 0), (None, 1), ("n99", None), ("alone", 8)]
+    got = R.shared_edges(spark.createDataFrame(left, "node string, name int"), spark.createDataFrame(right, "node string, name int"), "name")
+    want = {(a, b, x) for a, x in left for b, y in right if x is not None and x == y and a and b and a != b}
+    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == ["src", "dst", "name"] and len(rows) == len(want) and set(rows) == want
+    none = spark.createDataFrame([], "node string, name int")
+    assert R.shared_edges(none, none, "name").count() == 0
+
+
+def test_shared_edges_of_one_name_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 50, raising=False)
+    left, right = (spark.range(500).select(F.concat(F.lit(side), "id").alias("node"), F.lit("one").alias("name")) for side in "sc")
+    tasks = [r["count"] for r in R.shared_edges(left, right, "name").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 250_000 and max(tasks) < 25_000
+
+
+def test_shared_edges_take_little_of_a_file(spark, tmp_path):
+    """Every node of the right stands with the same run of nodes of the left, so that edges take a fraction of a byte each."""
+    left = spark.range(2_500).select(F.concat(F.lit("s"), "id").alias("node"), F.pmod(F.xxhash64("id"), F.lit(25)).alias("name"))
+    right = spark.range(25_000).select(F.concat(F.lit("c"), "id").alias("node"), F.pmod(F.xxhash64("id"), F.lit(25)).alias("name"))
+    out = R.shared_edges(left, right, "name")
+    out.write.parquet(str(tmp_path / "edges"))
+    rows = spark.read.parquet(str(tmp_path / "edges")).count()
+    assert rows == left.join(right, "name").count()
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 0.7 * rows
